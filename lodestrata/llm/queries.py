@@ -6,19 +6,89 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import avi, bpe, packing, quality, toxicity, url_lists, warc
 from .common import read
 
 
+def fetched(pages: DataFrame) -> DataFrame:
+    """pages has no fetch time: spread the captures over 180 days by their ids."""
+    return pages.withColumn("fetched", F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(15552000))))
+
+
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both derivatives of a response record of every page; the digests of the records' bytes stand for them."""
+    out = warc.derive(warc.responses(fetched(read(spark, sf_dir, "pages"))))
+    return out.select(
+        F.col("record_key").cast("long").alias("page_id"), "kind", "record_id", "refers_to", "target_uri", "warc_date", "source_payload_digest", "digest_ok",
+        "block_digest", "content_length", "title", "n_links", F.map_keys("source_headers").alias("source_header_names"), F.sha2("record", 256).alias("record_sha256"),
+    )
+
+
+def op3_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.digests(read(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated list entries, from the tables: every event acts on the hosts that share its user's bucket (a fifth of them on the domain above)."""
+    hosts = read(spark, sf_dir, "pages").select(url_lists.host(F.col("url")).alias("host")).where("host is not null").distinct()
+    hosts = hosts.withColumn("bucket", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("long") % 97)
+    events = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("effective"), (F.col("user_id") % 97).alias("bucket"), "event_type", "value")
+    action = F.when(F.col("event_type").isin("error", "signup"), "block").when(F.col("event_type") == "purchase", "allow").otherwise("remove")
+    key = F.when(F.col("event_id") % 5 == 0, F.substring_index("host", ".", -2)).otherwise(F.col("host"))
+    return events.join(hosts, "bucket").select(F.concat(F.lit("list"), F.col("event_id") % 3).alias("list_name"), key.alias("key"), action.alias("action"), F.col("value").alias("weight"), "effective")
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.as_of(fetched(read(spark, sf_dir, "pages")), list_entries(spark, sf_dir))
+
+
+OP9 = r"""
+with c as (
+  select page_id, to_timestamp(1704067200 + (page_id * 7919) % 15552000)::timestamp as fetched,
+    nullif(rtrim(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'), '') as host
+  from pages),
+h as (select distinct host, ('0x' || substr(md5(host), 1, 4))::bigint % 97 as bucket from c where host is not null),
+e as (
+  select 'list' || (event_id % 3) as list_name,
+    case when event_id % 5 = 0 then array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') else host end as key,
+    case when event_type in ('error', 'signup') then 'block' when event_type = 'purchase' then 'allow' else 'remove' end as action,
+    value as weight, ts::timestamp as valid_from
+  from events join h on user_id % 97 = bucket),
+l as (select list_name, key, valid_from, max({'action': action, 'weight': weight}) as last from e group by all),
+i as (select list_name, key, valid_from, last.action as action, lead(valid_from) over (partition by list_name, key order by valid_from) as valid_to from l),
+k as (
+  select page_id, fetched, unnest([array_to_string(list_slice(string_split(host, '.'), n, len(string_split(host, '.'))), '.') for n in range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)]) as key
+  from c where host is not null),
+m as (
+  select page_id, list_name, action from k join i using (key)
+  where action <> 'remove' and valid_from <= fetched and (valid_to is null or fetched < valid_to)),
+g as (select page_id, count(distinct list_name) as n, string_agg(distinct list_name, ',' order by list_name) as lists, bool_or(action = 'allow') as a, bool_or(action = 'block') as b from m group by 1)
+select c.page_id, host, coalesce(n, 0)::bigint as n_lists, coalesce(lists, '') as lists, coalesce(a, false) as allowed, coalesce(b, false) as blocked,
+  case when coalesce(b, false) and not coalesce(a, false) then 'drop' else 'keep' end as decision
+from c left join g using (page_id)
+"""
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_best_fit_packing, op10_byte_bpe)}
+FUNCTIONS = (op2_warc_derivatives, op3_avi_motion_jpeg, op4_best_fit_packing, op6_toxicity, op7_quality, op9_url_filters, op10_byte_bpe)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in FUNCTIONS}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_url_filters": OP9}
