@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, packing, quality, toxicity, url_lists, warc
+from . import avi, bpe, knn, packing, quality, toxicity, url_lists, warc
 from .common import read
 
 
@@ -34,6 +34,23 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", knn.scaled(F.col("embedding")).alias("v"))
+    return knn.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+OP5 = """
+with v as (
+  select vec_id, [floor(1024 * x::double) for x in embedding] as e from embeddings
+  where len(embedding) > 0 and list_bool_and([x is not null and isfinite(x::double) for x in embedding])),
+s as (
+  select q.vec_id as query_id, x.vec_id, list_dot_product(q.e, x.e)::bigint as score
+  from v q join v x on q.vec_id <> x.vec_id where q.vec_id % 100 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -88,7 +105,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-FUNCTIONS = (op2_warc_derivatives, op3_avi_motion_jpeg, op4_best_fit_packing, op6_toxicity, op7_quality, op9_url_filters, op10_byte_bpe)
+FUNCTIONS = (op2_warc_derivatives, op3_avi_motion_jpeg, op4_best_fit_packing, op5_voronoi_knn, op6_toxicity, op7_quality, op9_url_filters, op10_byte_bpe)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in FUNCTIONS}
 
-ORACLES: dict[str, str] = {"op9_url_filters": OP9}
+ORACLES: dict[str, str] = {"op5_voronoi_knn": OP5, "op9_url_filters": OP9}

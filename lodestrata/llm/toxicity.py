@@ -184,20 +184,23 @@ def fit(texts: list[str], labels: np.ndarray) -> Net:
         net.out[:] = 0
         return net
     part = np.arange(n) % 6
-    ids, whole, at = word_ids(pa.array(texts))
-    of = np.repeat(np.arange(n), np.diff(at))
+    base = part < 3
+    counts = np.zeros((2, (1 << BITS) + 1))
+    found, lang = [], []
+    for lo in range(0, n, 100):  # a few texts at a time, as arrays over bytes are large
+        ids, whole, at = word_ids(pa.array(texts[lo : lo + 100]))
+        lang.append(languages(whole, at))
+        for i in range(len(at) - 1):
+            own = ids[at[i] : at[i + 1]]
+            found.append(own)
+            if base[lo + i]:
+                counts[labels[lo + i], np.unique(own)] += 1
 
     def pick(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        take = np.concatenate([np.arange(at[i], at[i + 1]) for i in rows]) if len(rows) else np.zeros(0, int)
-        return ids[take], np.r_[0, np.cumsum(np.diff(at)[rows])]
+        take = [found[i] for i in rows]
+        return np.concatenate(take), np.r_[0, np.cumsum([len(x) for x in take])]
 
-    base = part < 3
-    counts = np.zeros((2, (1 << BITS) + 1))
-    for c in range(ids.shape[1]):
-        use = base[of]
-        pair = np.unique(np.stack([of[use], ids[use, c]], 1), axis=0)
-        for t in (0, 1):
-            counts[t] += np.bincount(pair[labels[pair[:, 0]] == t, 1], minlength=counts.shape[1])
+    lang = np.concatenate(lang)
     total = counts.sum(0)
     clean, bad = max(1, (labels[base] == 0).sum()), max(1, (labels[base] == 1).sum())
     odds = np.log((counts[1] + 0.1) / (bad + 0.2)) - np.log((counts[0] + 0.1) / (clean + 0.2))
@@ -214,7 +217,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Net:
             net.step(*pick(rows), labels[rows], 0.1 / (1 + 2 * epoch / epochs), past)
     last = np.flatnonzero(part == 5)
     net_z = np.concatenate([net.logits(*pick(last[i : i + 200])) for i in range(0, len(last), 200)]).astype(float)
-    lang = languages(whole, at)[last]
+    lang = lang[last]
     whole_cut = best_cut(net_z, labels[last])
     for j in range(len(LANGUAGES)):
         own = lang == j
