@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, knn, packing, quality, toxicity, url_lists, warc
+from . import avi, bpe, knn, ngram_jaccard, packing, quality, toxicity, url_lists, warc
 from .common import read
 
 
@@ -60,6 +60,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.classes(read(spark, sf_dir, "documents"))
+
+
 def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dated list entries, from the tables: every event acts on the hosts that share its user's bucket (a fifth of them on the domain above)."""
     hosts = read(spark, sf_dir, "pages").select(url_lists.host(F.col("url")).alias("host")).where("host is not null").distinct()
@@ -105,7 +109,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-FUNCTIONS = (op2_warc_derivatives, op3_avi_motion_jpeg, op4_best_fit_packing, op5_voronoi_knn, op6_toxicity, op7_quality, op9_url_filters, op10_byte_bpe)
+FUNCTIONS = (op2_warc_derivatives, op3_avi_motion_jpeg, op4_best_fit_packing, op5_voronoi_knn, op6_toxicity, op7_quality, op8_ngram_jaccard, op9_url_filters, op10_byte_bpe)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in FUNCTIONS}
 
 ORACLES: dict[str, str] = {"op5_voronoi_knn": OP5, "op9_url_filters": OP9}
