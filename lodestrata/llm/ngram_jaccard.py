@@ -319,3 +319,16 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = reps.select("n", "s1", "s2", "rep")
     out = sums.select("doc_id", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, the one with the smallest doc_id, and one row of each doc_id; a null doc_id stays.
+
+    Equal sets are linked, empty texts with nothing. Rows that repeat a doc_id are taken for one document.
+    """
+    found = classes(docs)
+    gone = keep(found.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    out = ids_join(docs, gone, "doc_id", "left_anti")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out

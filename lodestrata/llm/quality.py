@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import keep
+from .common import ids_join, keep
 
 SURE = 0.98  #: of a pseudo-label, by the view that gives it
 ROUNDS, FIRST_STEPS, STEPS = 2, 6, 3
@@ -257,3 +257,9 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFra
                 yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (a, m, s, s >= KEPT_FROM))], names=["doc_id", "text_score", "page_score", "score", "keep"])
 
     return table.select("doc_id", "text_view", "page_view").mapInArrow(run, SCORED)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the documents that are rejected; a null doc_id stays."""
+    bad = keep(score(docs, labels).where("not keep and doc_id is not null").select("doc_id").distinct(), "rejected")
+    return ids_join(docs, bad, "doc_id", "left_anti")

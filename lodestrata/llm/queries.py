@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, knn, ngram_jaccard, packing, quality, toxicity, url_lists, warc
+from . import avi, bpe, knn, lines, ngram_jaccard, packing, quality, toxicity, url_lists, warc
 from .common import read
 
 
@@ -17,6 +17,10 @@ def fetched(pages: DataFrame) -> DataFrame:
     return pages.withColumn("fetched", F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(15552000))))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(read(spark, sf_dir, "documents"))
+
+
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both derivatives of a response record of every page; the digests of the records' bytes stand for them."""
     out = warc.derive(warc.responses(fetched(read(spark, sf_dir, "pages"))))
@@ -109,7 +113,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-FUNCTIONS = (op2_warc_derivatives, op3_avi_motion_jpeg, op4_best_fit_packing, op5_voronoi_knn, op6_toxicity, op7_quality, op8_ngram_jaccard, op9_url_filters, op10_byte_bpe)
+FUNCTIONS = (op1_line_dedup, op2_warc_derivatives, op3_avi_motion_jpeg, op4_best_fit_packing, op5_voronoi_knn, op6_toxicity, op7_quality, op8_ngram_jaccard, op9_url_filters, op10_byte_bpe)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in FUNCTIONS}
 
 ORACLES: dict[str, str] = {"op5_voronoi_knn": OP5, "op9_url_filters": OP9}

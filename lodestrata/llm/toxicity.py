@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .common import ids_join, keep
 
 SAMPLE = 6000  #: labelled documents that the classifier may learn from, at most
 BITS, WIDTH, FILTERS, SPANS = 17, 8, 8, (1, 2, 3)
@@ -260,3 +261,9 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
                 )
 
     return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(run, SCORED)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the documents that are predicted toxic; a null doc_id stays."""
+    bad = keep(score(docs, train(docs, labels)).where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "toxic")
+    return ids_join(docs, bad, "doc_id", "left_anti")
