@@ -242,7 +242,7 @@ filtered("filter_neq", "events", "event_id, event_type", [{"field": "event_type"
 filtered("filter_range", "orders", "o_orderkey, o_totalprice", [{"field": "o_totalprice", "operator": "gte", "value": "100000"}, {"field": "o_totalprice", "operator": "lt", "value": 150000}], "o_totalprice >= 100000 and o_totalprice < 150000")
 filtered("filter_in", "orders", "o_orderkey, o_orderpriority", [{"field": "o_orderpriority", "operator": "in", "values": ["1-URGENT", "5-LOW"]}], "o_orderpriority in ('1-URGENT', '5-LOW')")
 filtered("filter_contains", "pages", "page_id, url", [{"field": "url", "operator": "contains", "value": "EXAMPLE.ORG"}], "contains(lower(url), 'example.org')")
-filtered("filter_mime", "part", "p_partkey, p_type", [{"field": "p_type", "operator": "mime_match", "value": "ECONOMY/*"}], "starts_with(lower(p_type), 'economy/')")
+filtered("filter_mime", "part", "p_partkey, p_type", [{"field": "p_type", "operator": "mime_match", "value": " Economy"}], "lower(p_type) = 'economy'")
 filtered("filter_date", "events", "event_id, ts", [{"field": "ts", "operator": "date_on_or_after", "value": "2024-01-05"}, {"field": "ts", "operator": "date_before", "value": "2024-01-09"}], "ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-09 23:59:59.999999'")
 filtered("filter_multi_field_or", "orders", "o_orderkey, o_orderstatus, o_orderpriority", [{"fields": ["o_orderstatus", "o_orderpriority"], "operator": "in", "values": ["F", "2-HIGH"]}], "o_orderstatus in ('F', '2-HIGH') or o_orderpriority in ('F', '2-HIGH')")
 filtered("filter_json_path", "events", "event_id, props", [{"field": "props.k", "operator": "gt", "value": 90}], "try_cast(json_extract_string(props, '$.k') as double) > 90")
