@@ -614,3 +614,125 @@ def transcript_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 2).alias("value"))
+
+
+PAGE_BANDS = """
+b as (
+  select source as doc_id, doc_id as page_index, 'top' as band, string_split(text, chr(10))[1] as text from documents
+  union all select source, doc_id, 'bottom', string_split(text, chr(10))[-1] from documents)"""
+
+
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of their source; their first and last lines are the bands."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_index"), F.split("text", "\n", -1).alias("l"))
+    return d.select("doc_id", "page_index", F.inline(F.array(F.struct(F.lit("top").alias("band"), F.element_at("l", 1).alias("text")), F.struct(F.lit("bottom").alias("band"), F.element_at("l", -1).alias("text")))))
+
+
+FURNITURE = PAGE_BANDS + r""",
+k as (select *, lower(trim(regexp_replace(regexp_replace(text, '\d+', '#', 'g'), '\s+', ' ', 'g'))) as key from b),
+p as (select doc_id, count(distinct page_index) as pages from b group by 1),
+f as (
+  select k.doc_id, band, key, count(distinct page_index) as on_pages, any_value(pages) as pages,
+    bool_or(regexp_matches(lower(trim(text)), '^(page|seite|p\.)?\s*[-–]?\s*\d{1,4}\s*[-–]?(\s*(/|of|von)\s*\d{1,4})?$|^[ivxlc]{1,7}$')) as is_number
+  from k join p on p.doc_id = k.doc_id where key <> '' group by 1, 2, 3)"""
+
+
+@query("with " + FURNITURE + " select doc_id, band, key, on_pages, is_number from f where is_number or on_pages >= greatest(2, round_even(pages * 0.02, 0))")
+def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import layout
+
+    return layout.furniture(bands(spark, sf_dir), 0.02)
+
+
+@query("select page_id, round(length(url) / length(html)::double * 1000, 6) as text_coverage, round(length(url) / length(html)::double * 1000, 6) < 10 as needs_ocr from pages")
+def page_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import layout
+
+    p = table(spark, sf_dir, "pages").select("page_id", F.length("url").alias("chars"), F.length("html").cast("double").alias("area"))
+    return layout.triage(p, 10.0).select("page_id", "text_coverage", "needs_ocr")
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of short documents on a page of two columns, as a stand-in for a layout analyser."""
+    d = table(spark, sf_dir, "documents").where("n_chars < 1500").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"\s+", " "), " ")).alias("i", "text"))
+    column, row, slot = (F.col("i") / 40).cast("int") % 2, (F.col("i") / 5).cast("int") % 8, F.col("i") % 5
+    x0, y0 = column * 300 + slot * 55.0, (F.col("i") / 80).cast("int") * 120.0 + row * 12.0
+    return d.select("doc_id", F.lit(0).cast("long").alias("page_index"), "text", x0.alias("x0"), y0.alias("y0"), (x0 + 50.0).alias("x1"), (y0 + 10.0).alias("y1"), F.lit(10.0).alias("font_size"))
+
+
+@query()
+def reading_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import layout
+
+    return layout.reading_order(cells(spark, sf_dir))
+
+
+@query("""
+with e as (
+  select 'j' || (user_id % 500) as job_id, ts as t, case event_type when 'error' then 'warning' when 'purchase' then 'done' else 'progress' end as kind, 'step ' || event_id || '/' || user_id as message from events)
+select job_id, max_by(case when kind = 'progress' then regexp_replace(message, '\\d+', '#', 'g') end, case when kind = 'progress' then {'t': t, 'm': message} end) as last_progress,
+  count(*) filter (kind = 'warning') as warnings, least(count(*) filter (kind = 'warning'), 100)::bigint as warnings_kept,
+  case when bool_or(kind = 'done') then 'done' else 'running' end as state, max(t) as updated_at
+from e group by 1""")
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import collections as co
+
+    kind = F.when(F.col("event_type") == "error", "warning").when(F.col("event_type") == "purchase", "done").otherwise("progress")
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("j"), F.col("user_id") % 500).alias("job_id"), F.col("ts").alias("at"), kind.alias("kind"), F.concat(F.lit("step "), "event_id", F.lit("/"), "user_id").alias("message"))
+    return co.fold_jobs(e)
+
+
+@query("select 'u' || left(sha256(source), 12) || '__' || lang as physical, source as owner, lang as logical from (select distinct source, lang from documents)")
+def collection_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import collections as co
+
+    return co.owned(table(spark, sf_dir, "documents").select(F.col("source").alias("owner"), F.col("lang").alias("logical")))
+
+
+@query("select sha256(text) as image_id, count(*) as found, string_agg(distinct source, ';' order by source) as places from documents group by 1")
+def image_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import collections as co
+
+    return co.images(table(spark, sf_dir, "documents").select(F.col("text").cast("binary").alias("content"), F.col("source").alias("place")))
+
+
+@query("""
+with w as (select user_id, event_id % 50 as token_id, value - 20 as weight from events),
+b as (select user_id, token_id, max(weight) as weight from w where weight > 0 group by 1, 2)
+select user_id, list(token_id order by token_id) as indices, list(weight order by token_id) as values from b group by 1""")
+def sparse_vector_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import collections as co
+
+    return co.sparse_vectors(table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 50).alias("token_id"), (F.col("value") - 20).alias("weight")), "user_id")
+
+
+@query(r"""
+with """ + CHUNKS + r""" select node_id, regexp_replace(text, '(?i)\b(idiot\w*)', '**\1**', 'g') as marked from c where regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])idiot')""")
+def keyword_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import collections as co
+
+    return search.find(chunks(spark, sf_dir), "idiot").select("node_id", co.highlighted(F.col("text"), ["idiot"]).alias("marked"))
+
+
+@query("""
+with e as (select doc_id, md5(text) as h from documents), l as (select e.*, row_number() over (partition by h order by doc_id) as n from e)
+select (h2.doc_id is not null) as known, count(*) as documents, count(*) filter (n = 1) as distinct_texts from l left join (select distinct doc_id from labels) h2 using (doc_id) group by 1""")
+def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
+    first = d.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
+    known = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("k", F.lit(True))
+    x = d.join(first, "doc_id", "left").join(known, "doc_id", "left")
+    return x.groupBy(F.coalesce("k", F.lit(False)).alias("known")).agg(F.count(F.lit(1)).alias("documents"), F.count("first").alias("distinct_texts"))
+
+
+@query("""
+select l_orderkey, count(*) as children, string_agg(l_returnflag || l_linestatus, ';' order by l_linenumber, l_returnflag || l_linestatus) as merged, case when count(distinct l_returnflag) = 1 then any_value(l_returnflag) else 'mixed' end as source_mix
+from lineitem group by 1""")
+def parent_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of children joined in their order for the parent, and one value or 'mixed'."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.array(F.concat("l_returnflag", "l_linestatus")).alias("tags"))
+    arrays = li.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("children"), F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "tags"))), lambda x: x["tags"])), ";").alias("merged"),
+        F.when(F.min("l_returnflag") == F.max("l_returnflag"), F.min("l_returnflag")).otherwise("mixed").alias("source_mix"),
+    )
+    return arrays
