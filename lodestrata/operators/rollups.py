@@ -60,6 +60,25 @@ def flagged(chunks: DataFrame, flags: DataFrame, least: str = "low") -> DataFram
     return chunks.join(f, "doc_id")
 
 
+def containing(docs: DataFrame, passages: DataFrame, words: int = 4) -> DataFrame:
+    """(query_id, doc_id): documents that hold a passage (query_id, passage).
+
+    An equi-join on the hash of some words inside the passage finds the candidates, the text decides. A passage
+    too short for that is looked for in every text.
+    """
+    parts = F.split("passage", r"\s+")
+    p = passages.withColumn("n", F.size(parts)).withColumn("key", F.when(F.col("n") >= words + 2, F.xxhash64(F.slice(parts, 2, words))))
+    w = F.split("text", r"\s+")
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, words))))
+    wanted = p.where("key is not null").select("query_id", "passage", "key")
+    hit = docs.select("doc_id", F.explode(keys).alias("key")).join(wanted.select("query_id", "key"), "key").select("query_id", "doc_id").distinct()
+    found = hit.join(docs.select("doc_id", "text"), "doc_id").join(passages, "query_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
+    short = p.where("key is null")
+    if short.take(1):
+        found = found.union(docs.join(short, F.contains("text", "passage")).select("query_id", "doc_id"))
+    return found
+
+
 def hit_rates(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     """Of every mode: queries, average latency, and the share of expectations met among queries that have any.
 

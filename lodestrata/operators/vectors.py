@@ -1,7 +1,6 @@
 """Dense, sparse and hybrid retrieval, re-ranking and greedy selection.
 
-Queries are few (a parameter, not a table that grows); rows are scored where they are read, and a top-k
-keeps k rows of every task.
+Rows are scored against blocks of queries, and a top-k keeps k rows of every query and task before any is sent.
 """
 
 from __future__ import annotations
@@ -30,17 +29,23 @@ def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
-def score_all(rows: DataFrame, queries: DataFrame, same: str | None = None) -> DataFrame:
-    """(query_id, vec_id, label, score): every row against a few queries, which are sent along with the tasks.
+def score_all(rows: DataFrame, queries: DataFrame, same: str | None = None, block: int = 1000) -> DataFrame:
+    """(query_id, vec_id, label, score): every row against every query, in blocks of about ``block`` queries.
 
+    One block is sent along with the tasks; with more, a row meets each block by an equi-join on its number.
     ``same``: score within equal values of this column only. Norms are computed once for each row.
     """
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"), *([F.col(same).alias("q_same")] if same else []))
     r = rows.select("vec_id", "embedding", norm(F.col("embedding")).alias("n"), "label")
-    on = F.col("query_id") != F.col("vec_id")
+    other = F.col("query_id") != F.col("vec_id")
+    blocks = -(-queries.count() // block)
     if same:
-        on = on & (F.col("q_same") == F.col(same))
-    both = r.join(F.broadcast(q), on)
+        both = r.join(F.broadcast(q) if blocks <= 1 else q, F.col(same) == F.col("q_same")).where(other)
+    elif blocks <= 1:
+        both = r.join(F.broadcast(q), other)
+    else:
+        q = q.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        both = r.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "__b").where(other)
     return both.select("query_id", "vec_id", "label", F.round(dot(F.col("embedding"), F.col("q")) / F.nullif(F.col("n") * F.col("qn"), F.lit(0.0)), 6).alias("score"))
 
 
@@ -57,7 +62,7 @@ def term_weights(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
 
 def sparse_scores(rows: DataFrame, queries: DataFrame, key: str, query_key: str) -> DataFrame:
     """Sums of products of weights over shared tokens. Only tokens of queries pass the first join."""
-    both = rows.join(F.broadcast(queries.select(query_key, "token", F.col("weight").alias("qw"))), "token")
+    both = rows.join(queries.select(query_key, "token", F.col("weight").alias("qw")), "token")
     return both.groupBy(query_key, key).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
 
 
