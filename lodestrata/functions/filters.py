@@ -70,17 +70,19 @@ class Field:
         self.kind = kind
 
     def any(self, test: Callable[[Column, T.DataType], Column]) -> Column:
-        """True if the value, or an element of it, passes; false where there is none."""
+        """True if the value, or an element of it, passes; false or null where there is none."""
         if not self.known:
             return F.lit(False)
         if isinstance(self.kind, T.ArrayType):
-            return F.coalesce(F.exists(self.column, lambda x: F.coalesce(test(x, self.kind.elementType), F.lit(False))), F.lit(False))
-        return F.coalesce(test(self.column, self.kind), F.lit(False))
+            return F.exists(self.column, lambda x: F.coalesce(test(x, self.kind.elementType), F.lit(False)))
+        return test(self.column, self.kind)
 
 
 def equal(c: Column, kind: T.DataType, value: Any) -> Column:
     if isinstance(kind, T.StringType):
-        return strip(c) == str(value).strip() if isinstance(value, str) and value.strip() else F.lit(False)
+        if not isinstance(value, str) or not value.strip():
+            return F.lit(False)
+        return F.contains(c, F.lit(value.strip())) & (strip(c) == value.strip())  # the first is one that scans can use
     if isinstance(kind, T.BooleanType):
         return c.cast("int") == value if isinstance(value, (bool, int)) else F.lit(False)
     if isinstance(kind, T.NumericType):
@@ -103,7 +105,7 @@ def test_of(op: str, value: Any, values: Sequence[Any]) -> Callable[[Column, T.D
 
         def ordered(c: Column, k: T.DataType) -> Column:
             if isinstance(k, T.NumericType):
-                return compare(c, F.lit(bound))
+                return compare(c, F.lit(int(bound) if isinstance(k, T.IntegralType) and bound.is_integer() else bound))
             return compare(c.try_cast("double"), F.lit(bound)) if isinstance(k, T.StringType) else F.lit(False)
 
         return ordered
@@ -141,7 +143,7 @@ def predicate(df: DataFrame, rules: Sequence[dict[str, Any]], strict: bool = Fal
         if test is None and strict:
             raise ValueError(f"{op} can't use this value: {rule}")
         hit = reduce(or_, [Field(df, f).any(test) for f in fields]) if test else F.lit(False)
-        out.append(~hit if op == "neq" else hit)
+        out.append(~F.coalesce(hit, F.lit(False)) if op == "neq" else hit)
     return reduce(and_, out, F.lit(True))
 
 

@@ -78,10 +78,13 @@ def test_strict_rules_raise(meta):
             filters.predicate(meta, [rule], strict=True)
 
 
-def test_filters_reach_the_scan(spark):
-    df = filters.matching(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), [{"field": "ts", "operator": "date_on_or_after", "value": "2024-01-05"}])
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan and "GreaterThanOrEqual(ts" in plan.split("PushedFilters")[1] or "coalesce" in plan
+@pytest.mark.parametrize("rule,want", [
+    ({"field": "ts", "operator": "date_on_or_after", "value": "2024-01-05"}, "GreaterThanOrEqual(ts"), ({"field": "user_id", "operator": "gt", "value": "7"}, "GreaterThan(user_id,7)"),
+    ({"field": "event_type", "operator": "eq", "value": "error"}, "StringContains(event_type,error)"),
+])
+def test_filters_reach_the_scan(spark, rule, want):
+    df = filters.matching(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), [rule]).select("event_id")
+    assert want in df._jdf.queryExecution().executedPlan().toString().split("PushedFilters: [")[1]
 
 
 def test_keywords_and_phrases(spark):
