@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS_IN_BATCH = 1000  #: of Arrow data between Spark and Python while a table is written
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
@@ -28,7 +31,13 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(min(int(before), ROWS_IN_BATCH) if int(before) > 0 else ROWS_IN_BATCH))  # texts may be long
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
@@ -46,9 +55,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ids_join(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", most: int = 2_000_000) -> DataFrame:
-    """Join df with a kept table of ids: broadcast where it counts at most ``most`` rows, shuffled beyond."""
-    return df.join(F.broadcast(ids) if ids.count() <= most else ids, key, how)
+def ids_join(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", most: int = 2_000_000, size: int | None = None) -> DataFrame:
+    """Join df with a kept table of ids: broadcast where it counts at most ``most`` rows, shuffled beyond.
+
+    ``size``: what counts instead, where rows hold lists.
+    """
+    return df.join(F.broadcast(ids) if (ids.count() if size is None else size) <= most else ids, key, how)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

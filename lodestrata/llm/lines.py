@@ -132,7 +132,7 @@ def probes(docs: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows))], names=["bucket", "key", "h1", "sig"])
 
         for batch in batches:
-            for b in tb.blocks(batch, "text", 1 << 20):
+            for b in tb.blocks(batch, "text"):
                 data, offs = tb.raw(b.column(1))
                 starts, ends, _, _ = line_spans(data, offs)
                 size = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
@@ -259,7 +259,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["h1", "doc_id", "line", "text"])
 
-    texts = ids_join(docs.select("doc_id", "text"), per_doc, "doc_id", "inner").mapInArrow(cut, "h1 long, doc_id long, line int, text string")
+    texts = ids_join(docs.select("doc_id", "text"), per_doc, "doc_id", "inner", size=wanted.count()).mapInArrow(cut, "h1 long, doc_id long, line int, text string")
     texts = keep(texts.dropDuplicates(["h1", "doc_id", "line"]).select("h1", F.struct("doc_id", "line").alias("at"), "text"), "texts")
     pairs = met.join(texts.select(F.col("h1").alias("a"), F.col("at").alias("at_a"), F.col("text").alias("x")), "a")
     pairs = pairs.join(texts.select(F.col("h1").alias("b"), F.col("at").alias("at_b"), F.col("text").alias("y")), "b")

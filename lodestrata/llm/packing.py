@@ -25,7 +25,7 @@ from . import textbytes as tb
 from .common import keep
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-MOST_CACHED = 600_000
+MOST_CACHED = 250_000
 #: A lower-case Latin-1 word and the marks behind it; of such a part the vocabulary's rules make these two tokens' worth of text.
 PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 _state: dict = {}

@@ -22,7 +22,7 @@ def inverse(x: int) -> int:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** j and BASE ** -j modulo 2 ** 64 for j up to n."""
     if "up" not in _powers or len(_powers["up"]) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 19)
         with np.errstate(over="ignore"):
             for name, b in (("up", BASE), ("down", U(inverse(int(BASE))))):
                 x = np.full(size, b, U)
@@ -51,7 +51,7 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0] if len(offs) else np.zeros(1, np.int64)
 
 
-def blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
+def blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """Parts of a batch with at most ``most`` bytes of text, or a single longer row."""
     if not batch.num_rows:
         return
