@@ -1,15 +1,16 @@
 """Exact Jaccard join of documents by word shingles with a token-group matrix.
 
 Equal shingle sets are one class, represented by its smallest doc_id. Classes are partitioned into groups
-by their first token, in an order that puts the most frequent tokens last, so that near copies mostly
-share a group. The matrix has, for every token that may witness a link (a set's first fifth in this
+by their least hash: among their frequent tokens where these are most of the set, as in large groups of
+near copies, else among the others. Tokens are ordered with the most frequent ones last. The matrix has, for every token that may witness a link (a set's first fifth in this
 order: sets that overlap by four fifths share one of these), the groups whose token union holds it. A
 class must reach four fifths of its own size with a group, and as what lies behind its first fifth
 counts at most for the rest, one witness in the union is needed: only such groups are opened.
 
-Opening compares with the group's leader first, then with one member of every component, and last with
-all members that are still in other components, so that thousands of near copies cost thousands of
-comparisons and no link between different components is missed. Before any text is fetched again, the
+Members are compared with their group's leader first. Then, a few times, every component opens a few of
+its groups for the leader of the group's largest component. At last every class is compared with all
+members of the groups it must open that are still in other components. So thousands of near copies cost
+thousands of comparisons, and no link between different components is missed. Before any text is fetched again, the
 parities of 1,024 hash bits bound how much two sets differ.
 """
 
@@ -22,24 +23,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textbytes as tb
 from .common import discard, ids_join, keep, partitions
 from .graphs import components
 
 WORDS, PERCENT = 5, 80
-HOT_TOKENS = 1 << 17  #: tokens that go last in the order; any number gives the same links
-HOT_IN_TASK = 8  #: rows of one task that make a token a candidate for it
+HOT_TOKENS = 1 << 19  #: tokens that go last in the order, at most; any number gives the same links
+HOT_IN_TASK = 2  #: rows of one task that make a token a candidate for it
 PARITY = 16  #: 64-bit words of parities
 SHORT_RUN = 24
+ROUNDS, GROUPS = 2, 6  #: before the last step: rounds at most, and groups that a component opens in each
 BITS = [f"w{i}" for i in range(PARITY)]
-SUMS = "hot boolean, doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{w} long" for w in BITS)
+SUMS = "hot boolean, doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{w} long" for w in BITS) + ", parity binary"
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(tb.U).view(np.int64))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Parities of hash bits, twice as many as tokens or more: their halves can be laid over each other."""
+    size = max(1024, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 1024
+    return np.packbits((np.bincount((s & tb.U(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def flips(x: bytes, y: bytes) -> int:
+    """How many parities differ, at the smaller size: two sets differ in as many tokens at least."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def summarise(docs: DataFrame) -> DataFrame:
     """Of each document set size, two fingerprints and parities; of each task its frequent tokens (hot: token in s1, rows in n)."""
 
@@ -73,20 +92,37 @@ def summarise(docs: DataFrame) -> DataFrame:
                 odd = np.bincount(at * (PARITY * 64) + (flat >> tb.U(54)).astype(np.int64), minlength=bits.size).reshape(bits.shape) & 1
                 words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(n), bool)), b.column(0), pa.array(n, pa.int64()), signed(s1), signed(s2), *(pa.array(words[:, i]) for i in range(PARITY))],
-                    names=["hot", "doc_id", "n", "s1", "s2", *BITS],
+                    [pa.array(np.zeros(len(n), bool)), b.column(0), pa.array(n, pa.int64()), signed(s1), signed(s2), *(pa.array(words[:, i]) for i in range(PARITY)), pa.array([parity(x) for x in sets], pa.binary())],
+                    names=["hot", "doc_id", "n", "s1", "s2", *BITS, "parity"],
                 )
                 held.append(flat)
-                if sum(map(len, held)) > 3_000_000:
+                if sum(map(len, held)) > 2_000_000:
                     fold()
         fold()
         use = counts >= HOT_IN_TASK
         zero = pa.array(np.zeros(use.sum(), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(use.sum(), bool)), zero, pa.array(counts[use]), signed(tokens[use]), *[zero] * (PARITY + 1)], names=["hot", "doc_id", "n", "s1", "s2", *BITS])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(use.sum(), bool)), zero, pa.array(counts[use]), signed(tokens[use]), *[zero] * (PARITY + 1), pa.nulls(use.sum(), pa.binary())], names=["hot", "doc_id", "n", "s1", "s2", *BITS, "parity"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SUMS)
 
 
+def frequent(found: DataFrame) -> np.ndarray:
+    """The HOT_TOKENS tokens that most rows hold, or a few less, the least frequent first."""
+    counts = keep(found.groupBy("s1").agg(F.sum("n").alias("rows")), "counts")
+    least, room = None, HOT_TOKENS
+    for rows, n in sorted(map(tuple, counts.groupBy("rows").count().collect()), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = rows
+    out = counts.where(F.col("rows") >= least).toArrow() if least is not None else None
+    discard(counts)
+    if out is None:
+        return np.zeros(0, tb.U)
+    rows, tokens = out.column("rows").to_numpy(), out.column("s1").to_numpy().view(tb.U)
+    return tokens[np.lexsort((tokens, rows))]
+
+
 def witnesses(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     """Bundles of first fifths: for each bucket of tokens the classes (doc_id, size, fingerprint, group) and (token, class) pairs.
 
@@ -107,19 +143,21 @@ def witnesses(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             n = np.array([v[1] for v in held.values()], np.int32)
             sig = np.array(list(held), np.int64)
             first = [v[2] for v in held.values()]
-            group = np.array([f[0] for f in first], tb.U)
-            of = np.repeat(np.arange(len(first)), [len(f) for f in first])
+            group = np.array([v[3] for v in held.values()], tb.U)
+            size = np.array([len(f) for f in first])
+            of = np.repeat(np.arange(len(first)), size)
+            rest = n[of] - (np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size))  # tokens from here on
             tok = np.concatenate(first)
             held.clear()
             bucket = ((tok & tb.U(0xFFFFFFFF)) % tb.U(buckets)).astype(np.int64)
             by = np.lexsort((of, bucket))
-            tok, of, bucket = tok[by], of[by], bucket[by]
+            tok, of, bucket, rest = tok[by], of[by], bucket[by], rest[by]
             edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
             rows = []
             for lo, hi in zip(edge[:-1], edge[1:]):
                 own, local = np.unique(of[lo:hi], return_inverse=True)
-                rows.append((int(bucket[lo]), doc[own].tobytes(), n[own].tobytes(), sig[own].tobytes(), group[own].tobytes(), tok[lo:hi].tobytes(), local.astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows))], names=["bucket", "doc", "n", "sig", "grp", "tok", "of"])
+                rows.append((int(bucket[lo]), doc[own].tobytes(), n[own].tobytes(), sig[own].tobytes(), group[own].tobytes(), tok[lo:hi].tobytes(), local.astype(np.int32).tobytes(), rest[lo:hi].astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows))], names=["bucket", "doc", "n", "sig", "grp", "tok", "of", "rest"])
 
         for batch in batches:
             for b in tb.blocks(batch, "text"):
@@ -133,91 +171,90 @@ def witnesses(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                             held[sig] = (d, *old[1:])
                         continue
                     p = len(s) - -(-PERCENT * len(s) // 100) + 1
+                    m, group = len(s), s[0]
                     if len(known):
                         i = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         is_hot = known[i] == s
-                        if is_hot.any():
-                            rest = s[is_hot][np.argsort(place[i[is_hot]], kind="stable")]
-                            s, m = np.r_[s[~is_hot], rest], len(s)
-                            held[sig] = (d, m, s[:p])
-                            continue
-                    held[sig] = (d, len(s), s[:p])
+                        frequent_, rare = s[is_hot], s[~is_hot]
+                        if len(frequent_):
+                            group = frequent_[0] if 2 * len(frequent_) >= m else rare[0]
+                            s = np.r_[rare, frequent_[np.argsort(place[i[is_hot]], kind="stable")]]
+                    held[sig] = (d, m, s[:p], group)
                 if len(held) >= 4096:
                     yield from flush()
         yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, doc binary, n binary, sig binary, grp binary, tok binary, of binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, doc binary, n binary, sig binary, grp binary, tok binary, of binary, rest binary")
 
 
 def qualify(bundles: DataFrame) -> DataFrame:
-    """(member, doc_id, n, grp): the members of groups (each in the bucket of its group's token), and the groups that a class must open.
+    """(member, doc_id, n, grp): the members of groups (each in the bucket of its first token), and the groups that a class must open.
 
-    A class opens a group for members that come before it by (size, id); the other way round is the others' work.
+    A class opens a group for members that come before it by (size, id); the other way round is the others'
+    work. With a witness as their first common token, two sets share what follows it in the shorter rest at
+    most, and for a group the largest rest, the smallest and the greatest size bound all members that hold it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
         base = 0
         for b in batches:
             for bucket, *row in zip(*(c.to_pylist() for c in b.columns)):
-                got = [np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.int32, np.int64, tb.U, tb.U, np.int32))]
+                got = [np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.int32, np.int64, tb.U, tb.U, np.int32, np.int32))]
                 got[5] = got[5] + base
                 base += len(got[0])
-                got.append(np.full(len(got[0]), bucket))
-                for c, g in zip(cols, got):
+                for c, g in zip(cols, [*got, np.full(len(got[0]), bucket)]):
                     c.append(g)
         if not base:
             return
-        doc, n, sig, grp, tok, of, bucket = map(np.concatenate, cols)
+        doc, n, sig, grp, tok, of, rest, bucket = map(np.concatenate, cols)
+        n, rest = n.astype(np.int64), rest.astype(np.int64)
         by = np.lexsort((doc, sig, bucket))
         first = np.r_[True, (sig[by][1:] != sig[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])]
         keep_doc = np.zeros(len(doc), bool)
         keep_doc[by[first]] = True
         use = keep_doc[of]
-        tok, of = tok[use], of[use]
-        home = tok == grp[of]
+        tok, of, rest = tok[use], of[use], rest[use]
         names = ["member", "doc_id", "n", "grp"]
-        own = of[home]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(own), bool)), pa.array(doc[own]), pa.array(n[own].astype(np.int64)), signed(grp[own])], names=names)
+        own = of[rest == n[of]]  # where a class's first token is
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(own), bool)), pa.array(doc[own]), pa.array(n[own]), signed(grp[own])], names=names)
         by = np.argsort(tok, kind="stable")
-        same = np.r_[False, tok[by][1:] == tok[by][:-1]]
-        run_of = np.cumsum(~same) - 1
-        long = np.bincount(run_of) > 1 if len(run_of) else np.zeros(0, bool)
-        by = by[long[run_of]]
-        tok, of = tok[by], of[by]
+        by = by[np.repeat(*(lambda c: (c > 1, c))(np.unique(tok, return_counts=True)[1]))]
+        tok, of, rest = tok[by], of[by], rest[by]
         if not len(tok):
             return
         by = np.lexsort((doc[of], n[of], tok))
-        tok, of = tok[by], of[by]
+        tok, of, rest = tok[by], of[by], rest[by]
         edge = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
         size = np.diff(np.r_[edge, len(tok)])
         length = np.repeat(size, size)
         left = np.repeat(edge + size, size) - np.arange(len(tok))  # places to the end of the run
-        asks: list[np.ndarray] = []  # (class, class whose group is asked for)
+        kinds, gid = np.unique(grp, return_inverse=True)
+        codes = [np.zeros(0, np.int64)]  # class and group as one number
         for k in range(1, min(SHORT_RUN, int(size.max()))):
             i = np.flatnonzero((length <= SHORT_RUN) & (left > k))
-            fit = 100 * n[of[i]].astype(np.int64) >= PERCENT * n[of[i + k]].astype(np.int64)
-            asks.append(np.stack([of[i + k][fit], of[i][fit]], 1))
-        asks = [np.concatenate(asks)] if asks else []
-        kinds, gid = np.unique(grp, return_inverse=True)
-        codes = [np.unique(asks[0][:, 0].astype(np.int64) * len(kinds) + gid[asks[0][:, 1]])] if asks else []
+            m, q = of[i], of[i + k]
+            fit = (100 * n[m] >= PERCENT * n[q]) & ((100 + PERCENT) * np.minimum(rest[i], rest[i + k]) >= PERCENT * (n[m] + n[q]))
+            codes.append(np.unique(q[fit] * len(kinds) + gid[m[fit]]))
         for lo, m in zip(edge[size > SHORT_RUN], size[size > SHORT_RUN]):
-            own = of[lo : lo + m]
-            g, at = np.unique(gid[own], return_index=True)
-            order = np.argsort(at, kind="stable")
-            g, at = g[order], at[order]
-            for x in range(0, m, 1024):
-                q = np.arange(x, min(m, x + 1024))
-                ok = at[None, :] < q[:, None]
-                qi, gi = np.nonzero(ok)
-                codes.append(np.unique(own[q[qi]].astype(np.int64) * len(kinds) + g[gi]))
+            own, far = of[lo : lo + m], rest[lo : lo + m]
+            by = np.argsort(gid[own], kind="stable")
+            g, at = np.unique(gid[own][by], return_index=True)
+            lead = by[at]  # the group's first member: its smallest
+            most, longest = np.maximum.reduceat(n[own][by], at), np.maximum.reduceat(far[by], at)
+            for x in range(0, m, 256):
+                q = np.arange(x, min(m, x + 256))[:, None]
+                nq = n[own[q]]
+                ok = (lead < q) & (100 * most >= PERCENT * nq) & ((100 + PERCENT) * np.minimum(far[q], longest) >= PERCENT * (nq + n[own[lead]]))
+                i, j = np.nonzero(ok)
+                codes.append(np.unique(own[x + i] * len(kinds) + g[j]))
             if len(codes) > 64:
                 codes = [np.unique(np.concatenate(codes))]
-        code = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+        code = np.unique(np.concatenate(codes))
         q, g = code // len(kinds), code % len(kinds)
         for x in range(0, len(q), 100_000):
             part = slice(x, x + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(q[part]), bool)), pa.array(doc[q[part]]), pa.array(n[q[part]].astype(np.int64)), signed(kinds[g[part]])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(q[part]), bool)), pa.array(doc[q[part]]), pa.array(n[q[part]]), signed(kinds[g[part]])], names=names)
 
     return bundles.mapInArrow(run, "member boolean, doc_id long, n long, grp long")
 
@@ -229,9 +266,18 @@ def near_enough(x: str, y: str):
     return (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)) & ((100 + PERCENT) * flips <= (100 - PERCENT) * (nx + ny))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    pairs = keep(pairs, "pairs")
+def verified(docs: DataFrame, parities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link: long parities sort out most of the others, then whole sets decide."""
+    tested = keep(pairs, "pairs")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [(100 + PERCENT) * flips(x, y) <= (100 - PERCENT) * n for n, x, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    sized = tested.join(parities.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a")
+    sized = sized.join(parities.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
+    pairs = keep(sized.select("a", "b", F.expr("na + nb"), "pa", "pb").mapInArrow(alike, "a long, b long"), "alike")
     ids = keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +302,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     left = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(found.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
     out = keep(both.select("a", "b", "x", "y").mapInArrow(links, "a long, b long").distinct(), "links")
-    discard(found, ids)
-    out._pairs = pairs
+    discard(found, ids, pairs)
+    out._pairs = tested
     return out
 
 
@@ -266,10 +312,10 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     sums = keep(summarise(docs), "sums")
-    hot = sums.where("hot").groupBy("s1").agg(F.sum("n").alias("rows")).orderBy(F.desc("rows"), "s1").limit(HOT_TOKENS).toArrow()
-    hot = hot.column("s1").combine_chunks().to_numpy().view(tb.U)[::-1].copy() if hot.num_rows else np.zeros(0, tb.U)
+    hot = frequent(sums.where("hot"))
     sums = sums.where("not hot").drop("hot")
     bits = sums.select("doc_id", *BITS).dropDuplicates(["doc_id"])
+    parities = sums.select("doc_id", "n", "parity").dropDuplicates(["doc_id"])
     buckets = partitions(spark)
     asked = keep(qualify(witnesses(docs, hot, buckets).repartition(buckets, "bucket")), "asked")
     asks = asked.where("not member").drop("member").distinct()
@@ -291,19 +337,31 @@ def classes(docs: DataFrame) -> DataFrame:
     def labelled(df: DataFrame) -> DataFrame:
         return df.withColumn("c", F.col("doc_id")) if comp is None else df.join(comp.select(F.col("v").alias("doc_id"), F.col("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
 
-    for step in range(3):
+    def few(round_: int) -> DataFrame:
+        """Pairs of a component's first class with the leaders of the largest components of a few groups that it must open."""
+        m, q = labelled(members), labelled(asks)
+        size = m.groupBy("grp", "c").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("doc_id"))
+        largest = size.groupBy("grp").agg(F.max_by("doc_id", F.struct("size", -F.col("doc_id"))).alias("doc_id"))
+        largest = m.join(largest, ["grp", "doc_id"], "left_semi")
+        one = q.groupBy("c", "grp").agg(F.min("doc_id").alias("doc_id"))
+        rank = F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("grp", F.lit(round_)), "grp"))
+        one = one.withColumn("rank", rank).where(F.col("rank") <= GROUPS).drop("rank")
+        return pairs_of(q.join(one, ["c", "grp", "doc_id"], "left_semi"), largest, True)
+
+    step, last = 0, False
+    while not last:
         if step == 0:
             pairs = pairs_of(leaders, members, False)
         else:
-            m, q = labelled(members), labelled(asks)
-            if step == 1:
-                m = m.join(m.groupBy("grp", "c").agg(F.min("doc_id").alias("doc_id")), ["grp", "c", "doc_id"], "left_semi")
-            pairs = pairs_of(q, m, True)
+            last = step > ROUNDS
+            pairs = pairs_of(labelled(asks), labelled(members), True) if last else few(step)
             for t in tested:
                 pairs = pairs.join(t, ["a", "b"], "left_anti")
-        links = verified(docs, pairs)
+        step += 1
+        links = verified(docs, parities, pairs)
         tested.append(links._pairs)
         if not links.take(1):
+            step = max(step, ROUNDS + 1) if step > 1 else step  # rounds that find nothing end
             continue
         if comp is None:
             comp = components(links)
