@@ -339,12 +339,14 @@ def classes(docs: DataFrame) -> DataFrame:
 
     def few(round_: int) -> DataFrame:
         """Pairs of a component's first class with the leaders of the largest components of a few groups that it must open."""
-        m, q = labelled(members), labelled(asks)
+        turn = F.xxhash64("grp", F.lit(round_))
+        own = F.row_number().over(Window.partitionBy("doc_id").orderBy(turn, "grp"))
+        m, q = labelled(members), labelled(asks.withColumn("own", own).where(F.col("own") <= GROUPS).drop("own"))
         size = m.groupBy("grp", "c").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("doc_id"))
         largest = size.groupBy("grp").agg(F.max_by("doc_id", F.struct("size", -F.col("doc_id"))).alias("doc_id"))
         largest = m.join(largest, ["grp", "doc_id"], "left_semi")
         one = q.groupBy("c", "grp").agg(F.min("doc_id").alias("doc_id"))
-        rank = F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("grp", F.lit(round_)), "grp"))
+        rank = F.row_number().over(Window.partitionBy("c").orderBy(turn, "grp"))
         one = one.withColumn("rank", rank).where(F.col("rank") <= GROUPS).drop("rank")
         return pairs_of(q.join(one, ["c", "grp", "doc_id"], "left_semi"), largest, True)
 
