@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import nearness
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -114,20 +116,10 @@ def mmr(candidates: DataFrame, k: int, trade: float = 0.5) -> DataFrame:
 
 
 def prune_near(rows: DataFrame, by: str, threshold: float = 0.95) -> DataFrame:
-    """Greedy pruning within bounded sets (key frames of a clip): a row stays if no kept row before it (by vec_id) is as near as the threshold."""
-
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        x = np.stack(pdf.embedding.to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        kept: list[int] = []
-        for i in range(len(x)):
-            if not kept or (x[kept] @ x[i]).max() < threshold:
-                kept.append(i)
-        return pdf.iloc[kept][[by, "vec_id"]]
-
-    kind = dict(rows.dtypes)[by]
-    return rows.select(by, "vec_id", "embedding").groupBy(by).applyInPandas(prune, f"{by} {kind}, vec_id long")
+    """Greedy pruning within sets of any size: a row stays if no kept row before it (by vec_id) is as near as the threshold."""
+    r = rows.select(by, "vec_id", F.col("embedding").alias("v"), F.to_json(F.struct(by)).alias("g"))
+    r = nearness.numbered(r, [F.col("g"), F.col("vec_id")])
+    return r.join(nearness.independent(r, threshold).select("pos"), "pos", "left_semi").select(by, "vec_id")
 
 
 def candidates(rows: DataFrame, stored: DataFrame, block: str, threshold: float = 0.86, k: int = 5) -> DataFrame:

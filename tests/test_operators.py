@@ -4,15 +4,18 @@ import datetime as dt
 import random
 import zipfile
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import AccumulatorParam
 from pyspark.sql import functions as F
 
 from lodestrata.functions import filters
 from lodestrata.functions import text as t
 from lodestrata.operators import entities as en
+from lodestrata.operators import nearness
 from lodestrata.operators import postprocess as pp
 from lodestrata.operators import resolution, rollups, search, segment, state, summary
 from lodestrata.operators import vectors as ve
@@ -221,6 +224,48 @@ def test_greedy_selection(spark):
     assert sorted(r.vec_id for r in ve.prune_near(v, "query_id").collect()) == [1, 3]
 
 
+def greedy(x, threshold, digits=9):
+    kept = []
+    for i in range(len(x)):
+        if not kept or np.round(x[kept] @ x[i], digits).max() < threshold:
+            kept.append(i)
+    return kept
+
+
+def clouds(n, seed=3):
+    """Vectors of a hot label (near copies, exact copies, a vector of no length) and of a small one without a name."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 8)) + 2 * rng.normal(size=(6, 8))[rng.integers(6, size=n)]
+    x[n // 3 : n // 2] = x[n // 4]
+    x[[5, n - 1]] = 0
+    return x, [None if i % 10 == 0 else 7 for i in range(n)]
+
+
+def test_pruning_of_a_large_set_is_no_single_task(spark, monkeypatch):
+    monkeypatch.setattr(nearness, "FEW", 40)
+    x, labels = clouds(600)
+    v = spark.createDataFrame([(i, a, c) for i, (a, c) in enumerate(zip(x.tolist(), labels))], "vec_id long, embedding array<double>, label int")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = set()
+    for label in (7, None):
+        own = np.array([i for i, c in enumerate(labels) if c == label])
+        want |= {(label, int(own[i])) for i in greedy(unit[own], 0.8)}
+    assert {(r.label, r.vec_id) for r in ve.prune_near(v, "label", 0.8).collect()} == want
+    plain = nearness.meet
+    monkeypatch.setattr(nearness, "meet", lambda a, b, match, schema: plain(a, b, lambda p, q: (seen.add(max(len(p), len(q))), match(p, q))[1], schema))
+    seen = spark.sparkContext.accumulator(0, Largest())
+    r = nearness.numbered(v.select("vec_id", F.col("embedding").alias("v"), F.to_json(F.struct("label")).alias("g")), [F.col("g"), F.col("vec_id")])
+    assert nearness.independent(r, 0.8, first=64).count() == len(want) and 0 < seen.value < 100
+
+
+class Largest(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
 def test_tables(spark, tmp_path):
     assert [tb.separator(x) for x in ("a;b\n1;2\n", "a,b\n1,2\n", "a\tb\n1\t2\n", "word")] == [";", ",", "\t", ","]
     (tmp_path / "a.csv").write_text("title;category\nHello world;x\n;y\n")
