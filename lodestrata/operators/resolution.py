@@ -1,49 +1,40 @@
 """Entity resolution: surfaces become canonical entities, one type at a time.
 
-The rule is sequential (a surface may attach to what an earlier one minted), so a type block is folded in one
-task; blocks are whole types, and the similarity search inside is by blocks of rows.
+The rule is sequential (a surface may attach to what an earlier one minted), but who mints is a greedy choice that
+Spark rounds settle (see nearness); the others then meet what was minted before them, in blocks of rows.
 """
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import nearness
 
 RESOLVED = "surface string, entity_type string, entity_id string, action string, similarity double"
 
 
+@F.pandas_udf(T.StringType())
+def alias(surface: pd.Series, kind: pd.Series) -> pd.Series:
+    return pd.Series([f"{k.lower()}:{s.strip().casefold()}" for s, k in zip(surface, kind)], dtype=object)
+
+
 def resolve(surfaces: DataFrame, threshold: float = 0.86, k: int = 5) -> DataFrame:
     """(surface, entity_type, mentions, embedding) in the order (-mentions, surface): a surface met before in any case is skipped,
     one near an entity of its type is attached to the nearest, any other mints one."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["mentions", "surface"], ascending=[False, True])
-        x = np.stack(pdf.embedding.to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        kept = np.zeros_like(x)
-        ids: list[str] = []
-        known: dict[tuple[str, str], str] = {}
-        out = []
-        for i, (surface, kind) in enumerate(zip(pdf.surface, pdf.entity_type)):
-            alias = (surface.strip().casefold(), kind.lower())
-            if alias in known:
-                out.append((surface, kind, known[alias], "skipped", 1.0))
-                continue
-            sims = np.round(kept[: len(ids)] @ x[i], 6)
-            if len(ids) and sims.max() >= threshold:
-                j = int(np.argmax(sims))
-                out.append((surface, kind, ids[j], "attached", float(sims[j])))
-                known[alias] = ids[j]
-            else:
-                new = hashlib.sha256(f"{alias[1]}:{alias[0]}".encode()).hexdigest()[:16]
-                kept[len(ids)] = x[i]
-                ids.append(new)
-                known[alias] = new
-                out.append((surface, kind, new, "minted", 0.0))
-        return pd.DataFrame(out, columns=["surface", "entity_type", "entity_id", "action", "similarity"])
-
-    return surfaces.groupBy(F.lower("entity_type").alias("block")).applyInPandas(lambda pdf: fold(pdf), RESOLVED)
+    s = surfaces.select("surface", "entity_type", "mentions", F.col("embedding").alias("v"), F.lower("entity_type").alias("g"), alias("surface", "entity_type").alias("alias"))
+    s = nearness.numbered(s, [F.col("g"), F.desc("mentions"), F.col("surface"), F.col("entity_type")]).drop("mentions")
+    firsts = nearness.keep(s.groupBy("g", "alias").agg(F.min("pos").alias("pos")))
+    r = nearness.keep(s.join(firsts.select("pos"), "pos", "left_semi").select("g", "pos", "v"))
+    minted = nearness.keep(nearness.independent(r, threshold, digits=6))
+    near = nearness.nearest_before(r.join(minted.select("pos"), "pos", "left_anti"), minted, 6)
+    fate = minted.select("pos", F.col("pos").alias("to"), F.lit("minted").alias("action"), F.lit(0.0).alias("similarity"))
+    fate = fate.unionByName(near.select("pos", "to", F.lit("attached").alias("action"), "similarity"))
+    entity = minted.select(F.col("pos").alias("to")).join(firsts.select(F.col("pos").alias("to"), F.substring(F.sha2("alias", 256), 1, 16).alias("entity_id")), "to")
+    fate = nearness.keep(firsts.join(fate.join(entity, "to"), "pos").select("g", "alias", F.col("pos").alias("first"), "entity_id", "action", "similarity"))
+    skipped = F.col("pos") != F.col("first")
+    return s.join(fate, ["g", "alias"]).select(
+        "surface", "entity_type", "entity_id", F.when(skipped, "skipped").otherwise(F.col("action")).alias("action"), F.when(skipped, 1.0).otherwise(F.col("similarity")).alias("similarity"),
+    )

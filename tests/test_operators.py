@@ -1,6 +1,7 @@
 """Rules of single operators on small inputs."""
 
 import datetime as dt
+import hashlib
 import random
 import zipfile
 
@@ -266,6 +267,31 @@ class Largest(AccumulatorParam):
         return max(a, b)
 
 
+def test_resolution_of_a_large_type_is_no_single_task(spark, monkeypatch):
+    monkeypatch.setattr(nearness, "FEW", 40)
+    x, _ = clouds(300)
+    rows = [(f"Name {i % 280}" if i % 3 else f" nAME {i % 280} ", "ORG", i * 7 % 11, x[i].tolist()) for i in range(300)]
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    known, kept, want = {}, [], []
+    for i in sorted(range(300), key=lambda i: (-rows[i][2], rows[i][0])):
+        name = f"org:{rows[i][0].strip().casefold()}"
+        sims = np.round(unit[kept] @ unit[i], 6)
+        if name in known:
+            want.append((rows[i][0], known[name], "skipped", 1.0))
+            continue
+        near = len(kept) and sims.max() >= 0.8
+        j = kept[int(np.argmax(sims))] if near else i
+        if not near:
+            kept.append(i)
+        known[name] = known[f"org:{rows[j][0].strip().casefold()}"] if near else hashlib.sha256(name.encode()).hexdigest()[:16]
+        want.append((rows[i][0], known[name], "attached" if near else "minted", float(sims.max()) if near else 0.0))
+    plain, seen = nearness.meet, spark.sparkContext.accumulator(0, Largest())
+    monkeypatch.setattr(nearness, "meet", lambda a, b, match, schema: plain(a, b, lambda p, q: (seen.add(max(len(p), len(q))), match(p, q))[1], schema))
+    got = resolution.resolve(spark.createDataFrame(rows, "surface string, entity_type string, mentions long, embedding array<double>"), 0.8).collect()
+    assert sorted((r.surface, r.entity_id, r.action, r.similarity) for r in got) == sorted(want)
+    assert {r.action for r in got} == {"minted", "attached", "skipped"} and 0 < seen.value < 100
+
+
 def test_tables(spark, tmp_path):
     assert [tb.separator(x) for x in ("a;b\n1;2\n", "a,b\n1,2\n", "a\tb\n1\t2\n", "word")] == [";", ",", "\t", ","]
     (tmp_path / "a.csv").write_text("title;category\nHello world;x\n;y\n")
