@@ -43,10 +43,10 @@ def is_transcript(df: DataFrame) -> bool:
     return "text" in have and ({"start_ts", "end_ts"} <= have or {"start_seconds", "end_seconds"} <= have)
 
 
-def transcript(segments: DataFrame, most: int = 50_000) -> DataFrame:
+def transcript(segments: DataFrame, most: int | None = None) -> DataFrame:
     """Segments with text, each time given both as seconds and as clock, numbered from 0 within their source file in order of time.
 
-    ``most`` is the format's limit of segments in a file.
+    ``most``: keep so many segments of a file only (a guard for single files; off by default).
     """
     for part in SEGMENT.split(", "):
         name, kind = part.split(" ")
@@ -59,7 +59,8 @@ def transcript(segments: DataFrame, most: int = 50_000) -> DataFrame:
         s = F.coalesce(F.col(f"{edge}_seconds").try_cast("double"), t.seconds(F.col(f"{edge}_ts")))
         out = out.withColumn(f"{edge}_seconds", s).withColumn(f"{edge}_ts", F.coalesce(t.non_blank(F.col(f"{edge}_ts")), F.when(s.isNotNull(), t.clock(s))))
     number = F.row_number().over(Window.partitionBy("source_file").orderBy("start_seconds", "end_seconds", "text")) - 1
-    return out.withColumn("sentence_index", number).where(F.col("sentence_index") < most)
+    out = out.withColumn("sentence_index", number)
+    return out if most is None else out.where(F.col("sentence_index") < most)
 
 
 def rtf_text(data: bytes) -> str:

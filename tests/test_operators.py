@@ -318,6 +318,12 @@ def test_json_and_transcripts(spark, tmp_path):
     assert len(out) == 2 and out[0].nested_keys == "a,a.b,a.b.c,d"
 
 
+def test_transcripts_of_any_length_stay_whole(spark):
+    turns = spark.range(50_010).select(F.lit("t").alias("text"), F.col("id").cast("double").alias("start_seconds"), F.col("id").cast("double").alias("end_seconds"), F.lit("f").alias("source_file"))
+    assert dc.transcript(turns).agg(F.count("*").alias("n"), F.max("sentence_index").alias("last")).first()[:] == (50_010, 50_009)
+    assert dc.transcript(turns, most=7).count() == 7
+
+
 def test_office_files(spark, tmp_path):
     (tmp_path / "a.rtf").write_bytes(rb"{\rtf1{\fonttbl{\f0 Arial;}}Hello \b bold\b0\par caf\'e9 \u8364?{\*\hidden x}}")
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
