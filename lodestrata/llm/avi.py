@@ -381,14 +381,14 @@ def digest(text: str | None) -> tuple:
     payload, frames = restore(file)
     d = differences(frames)
     cut = shots(d)
-    feature = f"frames={len(frames)};clips=" + ",".join(f"{a / FPS:.2f}-{b / FPS:.2f}@{x:.4f}" for a, b, x in cut[:64]) + f";mean={float(np.mean(d)):.6f};max={float(np.max(d)):.6f}"
+    feature = f"frames={len(frames)};clips=" + ",".join(f"{a / FPS:.2f}-{b / FPS:.2f}@{x:.4f}" for a, b, x in cut) + f";mean={float(np.mean(d)):.6f};max={float(np.max(d)):.6f}"
     return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature, len(frames), len(cut)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Store every whole text, read the stored bytes back and keep digests and features, one row for each row.
 
-    The feature lists the first 64 clips; n_clips counts all. Equal texts have equal values.
+    The feature lists all clips; n_clips counts them. Equal texts have equal values.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

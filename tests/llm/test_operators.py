@@ -251,6 +251,15 @@ def test_media_digests(spark):
     assert avi.digests(empty(spark)).count() == 0
 
 
+def test_features_list_every_clip():
+    frames = ["0" if i // 13 % 2 else "z" for i in range(70 * 13)]
+    a, b = "".join(x * 4096 for x in frames), "".join(x * 4096 for x in [*frames[:-13], frames[-14], *frames[-12:]])
+    a, b = avi.digest(a), avi.digest(b)
+    assert a[-1] == b[-1] == 70
+    x, y = ([c for c in r[6].split(";")[1].removeprefix("clips=").split(",")] for r in (a, b))
+    assert len(x) == len(y) == 70 and x[:68] == y[:68] and x[68:] != y[68:]
+
+
 # -- packing
 
 
