@@ -27,6 +27,8 @@ DERIVED = (
     "block_digest string, content_length long, title string, n_links int, block string, record binary"
 )
 HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg)\b.*?</\1\s*>|<![^>]*>|<\?[^>]*>", re.S | re.I)
+#: What can't hold a link: comments, and the bodies of scripts and styles (not their start tags).
+RAW = re.compile(r"<!--.*?-->|(<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>).*?</\2\s*>|(<(script|style)\b[^>]*>).*?</\4\s*>|<![^>]*>|<\?[^>]*>", re.S | re.I)
 BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|title|blockquote|pre|hr|dd|dt|dl|form|option)\b[^>]*>", re.I)
 CELLS = re.compile(r"</?(?:td|th)\b[^>]*>", re.I)
 TAG = re.compile(r"<[/a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
@@ -107,7 +109,7 @@ def derive_one(key: str, raw: bytes) -> list[tuple]:
     source_id, target, date = (field(headers, n) for n in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
     title = TITLE.search(page)
     title = BLANKS.sub(" ", htmllib.unescape(TAG.sub("", title[1]))).strip() if title else None
-    links = [{"path": f"{m[1].lower()}", "url": htmllib.unescape(m[2] or m[3] or m[4] or "")} for m in LINK.finditer(HIDDEN.sub(" ", page))]
+    links = [{"path": f"{m[1].lower()}", "url": htmllib.unescape(m[2] or m[3] or m[4] or "")} for m in LINK.finditer(RAW.sub(lambda m: m[1] or m[3] or " ", page))]
     info = {
         "Envelope": {
             "WARC-Header-Metadata": headers,

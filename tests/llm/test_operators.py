@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 import struct
@@ -127,6 +128,17 @@ def test_long_runs_of_lines_that_share_a_segment(spark):
 # -- WARC
 
 
+def test_links_of_scripts_and_of_hidden_parts():
+    page = (
+        "<a href=x>t</a><!-- <a href=no1> --><script src='a.js'>'<img src=no2>'</script><script>\"<a href=no3>\"</script><style>/*<img src=no4>*/</style>"
+        "<noscript><img src=b></noscript><template><iframe src=\"c\"></iframe></template><svg><a href=d></a></svg><SCRIPT defer SRC=e></SCRIPT ><img src=q>"
+    )
+    meta, conv = warc.derive_one("k", warc.response(1, "http://h/", page, "1970-01-01T00:00:00Z"))
+    links = json.loads(meta[14])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]["Links"]
+    assert [(x["path"], x["url"]) for x in links] == [("a", "x"), ("script", "a.js"), ("img", "b"), ("iframe", "c"), ("a", "d"), ("script", "e"), ("img", "q")]
+    assert meta[13] == conv[13] == 7 and conv[14] == "t"
+
+
 def test_derivatives_refer_to_their_response(spark):
     page = "<html><head><title>A &amp; B</title><style>x{}</style></head><body><p>One <b>two</b></p><script>no()</script><a href='/x?a=1&amp;b=2'>three</a><table><tr><td>4</td><td>5</td></tr></table></body></html>"
     pages = spark.createDataFrame([(1, "http://h/ö", page, 0), (2, None, None, 0), (1, "http://h/ö", page, 0)], "page_id long, url string, html string, kind int")
