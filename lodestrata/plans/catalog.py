@@ -369,12 +369,11 @@ def parent_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def parent_pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each language asks for its sixteen longest lines; their documents are the parents."""
+    """Every document's own lines, longest first, are one query's hits; the document is their parent."""
     c = chunks(spark, sf_dir).withColumn("child_tokens", t.estimated_tokens(F.col("text")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("child_tokens"), "doc_id", "ord"))
-    hits = c.withColumn("position", rank).where("position <= 16")
+    hits = c.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("child_tokens"), "ord")))
     parents = table(spark, sf_dir, "documents").select("doc_id", t.estimated_tokens(F.col("text")).alias("parent_tokens"))
-    h = hits.join(parents, "doc_id").select(F.crc32("lang").cast("long").alias("query_id"), "position", "node_id", F.col("doc_id").cast("string").alias("parent_id"), "parent_tokens", "child_tokens")
+    h = hits.join(parents, "doc_id").select(F.col("doc_id").alias("query_id"), "position", "node_id", F.col("doc_id").cast("string").alias("parent_id"), "parent_tokens", "child_tokens")
     return pp.pack_parents(h, 8000)
 
 

@@ -43,6 +43,12 @@ def test_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+def test_parents_are_packed_for_every_document(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(r"text rlike '\\S'").count()
+    got = catalog.QUERIES["parent_pack_budget"](spark, SF).toPandas()
+    assert got.query_id.nunique() == len(got) == docs > 64
+
+
 def test_entry_imports_without_optional_parts():
     import __spark_entry__ as e
 
