@@ -29,3 +29,16 @@ def test_stages(spark):
     assert all(c == d for d, (_, c) in brute_components(rows).items())
     packed = pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == kept["n-gram Jaccard join"]
+
+
+def test_copies_without_a_line_of_their_own_reach_packing_empty(spark):
+    import public_tokenizers
+
+    from lodestrata.llm import lines, ngram_jaccard, packing
+
+    text = "\n".join(f"line number {w} of a text with copies" for w in ("one", "two", "three"))
+    docs = lines.dedup(spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string"))
+    docs = ngram_jaccard.dedup(spark.createDataFrame(docs.toPandas(), docs.schema))
+    got = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(5)) and sorted(r.length for r in got)[:4] == [1] * 4
+    assert max(r.length for r in got) > 4
