@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import ids_join, keep
+from .common import discard, ids_join, keep
 
 SAMPLE = 6000  #: labelled documents that the classifier may learn from, at most
+SAMPLE_CHARS = 60_000_000  #: characters that their texts may have together; longer texts beyond this are passed over whole
 BITS, WIDTH, FILTERS, SPANS = 17, 8, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6)
 STEPS = 300  #: of training, each on 64 documents, at least
@@ -100,12 +101,16 @@ class Net:
         self.slope = 1.0
 
     def layout(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word vectors with pads behind each row, and where rows begin."""
-        gap = max(SPANS) - 1
+        """Word vectors with pads behind each row, and where rows begin.
+
+        With as many pads as the widest filter, no window that begins with a row's word, or with the first pad of
+        a row without words, reaches the next row.
+        """
+        gap = max(SPANS)
         rows = len(at) - 1
         starts = at[:-1] + gap * np.arange(rows)
         place = np.arange(len(ids)) + gap * np.repeat(np.arange(rows), np.diff(at))
-        x = np.zeros((len(ids) + gap * rows, WIDTH), np.float32)
+        x = np.zeros((len(ids) + gap * rows + 1, WIDTH), np.float32)
         v = self.vectors[ids[:, 0]]
         for k in range(1, ids.shape[1]):
             v += self.vectors[ids[:, k]]
@@ -120,18 +125,21 @@ class Net:
         return y + self.bias[w]
 
     def logits(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if len(at) < 2:
+            return np.zeros(0, np.float32)
         x, starts = self.layout(ids, at)
-        pooled = [np.maximum(np.maximum.reduceat(self.convolve(x, w), starts, 0), 0) for w in SPANS]
+        edges = np.stack([starts, starts + np.maximum(np.diff(at), 1)], 1).ravel()
+        pooled = [np.maximum(np.maximum.reduceat(self.convolve(x, w), edges, 0)[::2], 0) for w in SPANS]
         return np.concatenate(pooled, 1) @ self.out + self.base
 
     def step(self, ids: np.ndarray, at: np.ndarray, y: np.ndarray, rate: float, past: dict) -> None:
         """One Adagrad step on a batch; of a filter only the window with its largest answer gets a gradient."""
         x, starts = self.layout(ids, at)
-        stops = np.r_[starts[1:], len(x) - max(SPANS) + 1]
+        stops = starts + np.maximum(np.diff(at), 1)
         best, pooled = {}, []
         for w in SPANS:
             z = self.convolve(x, w)
-            best[w] = np.stack([a + z[a : max(b, a + 1)].argmax(0) for a, b in zip(starts, stops)])
+            best[w] = np.stack([a + z[a:b].argmax(0) for a, b in zip(starts, stops)])
             pooled.append(np.maximum(z[best[w], np.arange(FILTERS)], 0))
         p = np.concatenate(pooled, 1)
         err = (1 / (1 + np.exp(-np.clip(p @ self.out + self.base, -30, 30))) - y) / len(y)
@@ -144,7 +152,7 @@ class Net:
         out = move("out", self.out, p.T @ err + 1e-4 * self.out)
         self.base = np.float32(move("base", self.base, err.sum()))
         words = np.full(len(x), -1)
-        words[np.arange(len(ids)) + (max(SPANS) - 1) * np.repeat(np.arange(len(at) - 1), np.diff(at))] = np.arange(len(ids))
+        words[np.arange(len(ids)) + max(SPANS) * np.repeat(np.arange(len(at) - 1), np.diff(at))] = np.arange(len(ids))
         for j, w in enumerate(SPANS):
             d = back[:, j * FILTERS : (j + 1) * FILTERS].astype(np.float32)
             grad = np.zeros_like(self.filters[w])
@@ -177,7 +185,10 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Net:
-    """Fit on a sample in a random order: half sets log odds, a third of the rest the cuts, the others train."""
+    """Fit on a sample in a random order: half sets log odds, a third of the rest the cuts, the others train.
+
+    A part without both labels is replaced by the whole sample; without both labels in that, every text gets one score.
+    """
     net = Net()
     n = len(texts)
     if not n or labels.min() == labels.max():
@@ -185,7 +196,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Net:
         net.out[:] = 0
         return net
     part = np.arange(n) % 6
-    base = part < 3
+    base, train, last = (use if len(set(labels[use])) == 2 else np.full(n, True) for use in (part < 3, (part == 3) | (part == 4), part == 5))
     counts = np.zeros((2, (1 << BITS) + 1))
     found, lang = [], []
     for lo in range(0, n, 100):  # a few texts at a time, as arrays over bytes are large
@@ -209,14 +220,14 @@ def fit(texts: list[str], labels: np.ndarray) -> Net:
     net.vectors[-1] = 0
     r = np.random.default_rng(11)
     past: dict = {}
-    train = np.flatnonzero((part == 3) | (part == 4))
+    train = np.flatnonzero(train)
     epochs = -(-STEPS * 64 // max(1, len(train)))
     for epoch in range(epochs):
         order = r.permutation(train)
         for lo in range(0, len(order), 64):
             rows = order[lo : lo + 64]
             net.step(*pick(rows), labels[rows], 0.1 / (1 + 2 * epoch / epochs), past)
-    last = np.flatnonzero(part == 5)
+    last = np.flatnonzero(last)
     net_z = np.concatenate([net.logits(*pick(last[i : i + 200])) for i in range(0, len(last), 200)]).astype(float)
     lang = lang[last]
     whole_cut = best_cut(net_z, labels[last])
@@ -232,18 +243,27 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Net:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Net:
     """Fit on at most ``sample`` labelled documents that are not held out, by order of a hash of their ids.
 
-    Null labels and texts are left out; without labels, or with one kind only, every text gets one score.
+    Null labels and texts are left out. A doc_id with several labels takes the largest one, with several texts the
+    least one. In that order a text that would make the sample exceed ``most_chars`` is passed over. Without
+    labels, or with one kind only, every text gets one score.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    chosen = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").toPandas()
-    rows = rows.drop_duplicates("doc_id")
-    key = rows.doc_id.to_numpy().astype(np.uint64)
-    order = np.argsort(tb.mix(key), kind="stable")
-    return fit([rows.text.iloc[i] for i in order], rows.label.to_numpy()[order].astype(np.int64))
+    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    texts = keep(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
+    sizes = texts.select("doc_id", F.length("text").alias("size")).toPandas()
+    sizes = sizes.iloc[np.argsort(tb.mix(sizes.doc_id.to_numpy().astype(np.int64).view(np.uint64)), kind="stable")]
+    ids, room = [], most_chars
+    for i, n in zip(sizes.doc_id.tolist(), sizes["size"].tolist()):
+        if n <= room:
+            ids.append(i)
+            room -= n
+    rows = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id").toPandas().set_index("doc_id").loc[ids]
+    discard(texts)
+    return fit(rows.text.tolist(), rows.label.to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
