@@ -453,6 +453,33 @@ def test_a_large_group_of_near_copies(spark):
     assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == {(d, n, c) for d, (n, c) in want.items()}
 
 
+@pytest.mark.parametrize("cell", [1024, 7])
+def test_a_family_with_many_members_that_nearly_link(spark, cell, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "CELL", cell)
+    monkeypatch.setattr(ngram_jaccard, "SHORT_RUN", 6)
+    r = random.Random(19)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6])):
+            w[r.randrange(150)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    got = ngram_jaccard.classes(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    want = brute_components(rows)
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == {(d, n, c) for d, (n, c) in want.items()}
+    assert 30 < len({c for _, c in want.values()}) < 230
+
+
+def test_rows_without_or_with_a_repeated_doc_id(spark):
+    texts = {1: "one two three four five six seven", 2: "one two three four five six seven", 3: "b " * 9, 4: "other words in this text are here"}
+    rows = [(i, t, None, None, None) for i, t in texts.items()] + [(None, texts[1], None, None, None), (None, None, None, None, None), (3, "a text that comes first and counts for three", None, None, None), (4, None, None, None, None), (9, "a text that comes first and counts for three", None, None, None)]
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in ngram_jaccard.classes(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert got == sorted([(1, 3, 1), (2, 3, 1), (3, 5, 3), (3, 5, 3), (9, 5, 3), (4, 3, 4), (4, 3, 4), (None, 3, None), (None, 0, None)], key=str)
+    left = ngram_jaccard.dedup(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(((x.doc_id, x.text) for x in left), key=str) == sorted([(1, texts[1]), (3, rows[6][1]), (4, texts[4]), (None, texts[1]), (None, None)], key=str)
+
+
 def test_dedup_keeps_one_of_each_group(spark):
     rows = some_docs()
     want = brute_components(rows)
