@@ -55,7 +55,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ids_join(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", most: int = 2_000_000, size: int | None = None) -> DataFrame:
+def ids_join(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi", most: int = 2_000_000, size: int | None = None) -> DataFrame:
     """Join df with a kept table of ids: broadcast where it counts at most ``most`` rows, shuffled beyond.
 
     ``size``: what counts instead, where rows hold lists.

@@ -4,9 +4,10 @@ Equal lines are a class, found by two hashes. For near lines, every line of l ch
 EDITS + 1 even segments. Of two lines within EDITS edits one holds a segment of the other almost at its
 place, so that each line puts its own segments, and the substrings that could be a segment of a line of
 its length or up to EDITS shorter, under hashes of (length, segment, characters). Lines that meet under
-a key, differ little in the parities of their character pairs, and pass a banded bit-parallel edit
-distance are near. A line goes if it is not the first of its class, or if an earlier line is near it;
-order is that of (doc_id, line number).
+a key and differ little in the parities of their character pairs are fetched with their texts and meet
+once more, in cells of bounded size: there a pair is verified under the least key that it shares, by a
+banded bit-parallel edit distance, and only counts of near earlier lines leave the task. A line goes if it
+is not the first of its class, or if an earlier line is near it; order is that of (doc_id, line number).
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from . import textbytes as tb
 from .common import discard, ids_join, keep, partitions
 
 EDITS = 2
-LEAST_EXACT, LEAST_NEAR = 10, 20  #: characters; shorter lines stay as they are
-SHORT_RUN, BLOCK = 24, 1024
+LEAST_EXACT, LEAST_NEAR = 10, 20  #: characters; what the parameters least_exact and least_near are unless given
+SHORT_RUN = 24
+CELL = 1024  #: lines of one key that meet in one task, at most
+BUCKET_BYTES = 8 << 20  #: of keys in a bucket or of lines in a partition, about
 FLUSH = 100_000
 FLIPS = 4 * EDITS  #: parities of character pairs that so many edits can turn
 SHUFFLED = np.random.default_rng(5).permutation(256).astype(np.uint8)
@@ -55,22 +58,22 @@ def characters(data: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, h1, h2) of the lines that are not blank and have LEAST_EXACT characters or more."""
+def line_table(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, version, line, h1, h2) of the lines that are not blank and have so many characters or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tb.blocks(batch, "text"):
-                data, offs = tb.raw(b.column(1))
+                data, offs = tb.raw(b.column(2))
                 starts, ends, rows, number = line_spans(data, offs)
                 size = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-                use = (size[ends] - size[starts] >= LEAST_EXACT) & ~blank(data, starts, ends)
+                use = (size[ends] - size[starts] >= least) & ~blank(data, starts, ends)
                 starts, ends = starts[use], ends[use]
-                ids = b.column(0).to_numpy(zero_copy_only=False)[rows[use]]
+                doc, version = (b.column(i).to_numpy(zero_copy_only=False)[rows[use]] for i in (0, 1))
                 h1, h2 = (tb.Spans(x)(starts, ends).view(np.int64) for x in (data, SHUFFLED[data]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number[use].astype(np.int32)), pa.array(h1), pa.array(h2)], names=["doc_id", "line", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(version, pa.int64()), pa.array(number[use].astype(np.int32)), pa.array(h1), pa.array(h2)], names=["doc_id", "version", "line", "h1", "h2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, h1 long, h2 long")
+    return docs.select("doc_id", "version", "text").mapInArrow(run, "doc_id long, version long, line int, h1 long, h2 long")
 
 
 def keys_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +109,7 @@ def keys_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return np.stack(keys, 1), np.array(own), parity
 
 
-def probes(docs: DataFrame, buckets: int) -> DataFrame:
+def probes(docs: DataFrame, buckets: int, least: int) -> DataFrame:
     """Bundles for each bucket: keys, the line's hash, and parities whose lowest bit marks the line's own segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +139,7 @@ def probes(docs: DataFrame, buckets: int) -> DataFrame:
                 data, offs = tb.raw(b.column(1))
                 starts, ends, _, _ = line_spans(data, offs)
                 size = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-                use = (size[ends] - size[starts] >= LEAST_NEAR) & ~blank(data, starts, ends)
+                use = (size[ends] - size[starts] >= least) & ~blank(data, starts, ends)
                 if not use.any():
                     continue
                 keys, own, parity = keys_of(data, starts[use], ends[use])
@@ -149,7 +152,7 @@ def probes(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def meet(bundles: DataFrame) -> DataFrame:
-    """(a, b): hashes of lines that share a key, one of them by its own segment, and whose parities allow it."""
+    """(key, h1): lines that share a key with others, one of them by its own segment; in short runs only where parities allow a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: tuple[list, list, list] = ([], [], [])
@@ -174,28 +177,20 @@ def meet(bundles: DataFrame) -> DataFrame:
         size = np.diff(np.r_[edge, len(key)])
         length = np.repeat(size, size)
         left = np.repeat(edge + size, size) - np.arange(len(key))
-        found = []
-
-        def note(i: np.ndarray, j: np.ndarray) -> None:
-            ok = ((sig[i] | sig[j]) & 1).astype(bool) & (h1[i] != h1[j]) & (np.bitwise_count((sig[i] ^ sig[j]) >> 1) <= FLIPS)
-            i, j = i[ok], j[ok]
-            found.append(np.unique(np.stack([np.minimum(h1[i], h1[j]), np.maximum(h1[i], h1[j])], 1), axis=0))
-
+        owned = np.logical_or.reduceat((sig & 1).astype(bool), edge)
+        met = np.repeat((size > SHORT_RUN) & owned & (np.minimum.reduceat(h1, edge) != np.maximum.reduceat(h1, edge)), size)
         for k in range(1, min(SHORT_RUN, int(size.max()))):
             i = np.flatnonzero((length <= SHORT_RUN) & (left > k))
-            note(i, i + k)
-        for lo, m in zip(edge[size > SHORT_RUN], size[size > SHORT_RUN]):  # in squares, of which only what passes is kept
-            for x in range(lo, lo + m, BLOCK):
-                for y in range(x, lo + m, BLOCK):
-                    i, j = np.meshgrid(np.arange(x, min(x + BLOCK, lo + m)), np.arange(y, min(y + BLOCK, lo + m)), indexing="ij")
-                    note(i[i < j], j[i < j])
-            if len(found) > 256:
-                found[:] = [np.unique(np.concatenate(found), axis=0)]
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        for x in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[x : x + 100_000, 0]), pa.array(pairs[x : x + 100_000, 1])], names=["a", "b"])
+            j = i + k
+            ok = ((sig[i] | sig[j]) & 1).astype(bool) & (h1[i] != h1[j]) & (np.bitwise_count((sig[i] ^ sig[j]) >> 1) <= FLIPS)
+            met[i[ok]] = met[j[ok]] = True
+        key, h1 = key[met], h1[met]
+        new = np.r_[True, (key[1:] != key[:-1]) | (h1[1:] != h1[:-1])][: len(key)]
+        key, h1 = key[new].view(np.int64), h1[new]
+        for x in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[x : x + 100_000]), pa.array(h1[x : x + 100_000])], names=["key", "h1"])
 
-    return bundles.mapInArrow(run, "a long, b long")
+    return bundles.mapInArrow(run, "key long, h1 long")
 
 
 def distances(left: list[str], right: list[str], edits: int = EDITS) -> np.ndarray:
@@ -209,8 +204,11 @@ def distances(left: list[str], right: list[str], edits: int = EDITS) -> np.ndarr
     todo = np.flatnonzero(np.abs(m - n) <= edits)
     todo = todo[np.argsort(n[todo], kind="stable")]
     width, mask = 2 * edits + 1, np.uint64((1 << (2 * edits + 1)) - 1)
-    for lo in range(0, len(todo), 2048):
+    lo = 0
+    while lo < len(todo):
         own = todo[lo : lo + 2048]
+        own = own[: max(1, int(np.searchsorted(np.cumsum(n[own]), 2_000_000)))]  # long lines a few at a time
+        lo += len(own)
         steps = int(n[own].max())
         if not steps:
             out[own] = m[own]
@@ -242,80 +240,157 @@ def distances(left: list[str], right: list[str], edits: int = EDITS) -> np.ndarr
     return out
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(a, b): the first places (doc_id, line) of near classes of lines, a before b. firsts: (h1, h2, first, n)."""
-    buckets = partitions(docs.sparkSession)
-    met = keep(meet(probes(docs, buckets).repartition(buckets, "bucket")).distinct(), "met")
-    wanted = met.select(F.col("a").alias("h1")).union(met.select("b")).distinct()
-    wanted = keep(wanted.join(firsts.select("h1", "first"), "h1"), "wanted")
-    per_doc = keep(wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_set(F.struct("first.line", "h1"))).alias("lines")), "lines")
+def least_shared(keys: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least key that lines i and j share, one of them by its own segment; 0 if there is none."""
+    out = np.zeros(len(i), tb.U)
+    for x in range(0, len(i), 20_000):
+        a, b = keys[i[x : x + 20_000]], keys[j[x : x + 20_000]]
+        most = np.full(len(a), ~tb.U(0))
+        for p in range(keys.shape[1]):
+            same = ((a[:, p, None] == b) & (own[p] | own)).any(1) & (a[:, p] != 0)
+            most = np.where(same, np.minimum(most, a[:, p]), most)
+        out[x : x + 20_000] = np.where(most == ~tb.U(0), tb.U(0), most)
+    return out
+
+
+def count_near(dealt: DataFrame) -> DataFrame:
+    """(first, links): of each line that is near an earlier one in a cell, its place and with how many.
+
+    dealt: (key, x, y, b, at, text); a line of block b is in the cells of its key that have b as x or y.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not sum(p.num_rows for p in parts):
+            return
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        key, x, y, b, doc, version, line = (rows.column(c).to_numpy() for c in ("key", "x", "y", "b", "doc_id", "version", "line"))
+        texts = rows.column("text").combine_chunks()
+        keys, own, parity = np.zeros((len(key), 0), tb.U), None, np.zeros(len(key), np.uint32)
+        got = []
+        for lo in range(0, len(key), 20_000):
+            data, offs = tb.raw(texts[lo : lo + 20_000])
+            k, own, parity[lo : lo + 20_000] = keys_of(data, offs[:-1], offs[1:])
+            got.append(k)
+        keys = np.concatenate(got)
+        _, place = np.unique(np.rec.fromarrays([doc, version, line]), return_inverse=True)  # in the order of (doc_id, version, line)
+        size = np.array([len(t) for t in texts.to_pylist()])
+        by = np.lexsort((b, y, x, key))
+        new = (np.diff(key[by]) != 0) | (np.diff(x[by]) != 0) | (np.diff(y[by]) != 0)
+        edge = np.r_[0, np.flatnonzero(new) + 1, len(by)]
+        links = np.zeros(len(key), np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def check() -> None:
+            if held:
+                i, j = (np.concatenate(v) for v in zip(*held))
+                held.clear()
+                near = distances(texts.take(pa.array(i)).to_pylist(), texts.take(pa.array(j)).to_pylist()) <= EDITS
+                np.add.at(links, np.where(place[i] > place[j], i, j)[near], 1)
+
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            cell = by[lo:hi]
+            for r in range(0, len(cell), 256):
+                i, j = cell[r : r + 256, None], cell
+                ok = (np.bitwise_count((parity[i] ^ parity[j]) >> 1) <= FLIPS) & (np.abs(size[i] - size[j]) <= EDITS) & (place[i] < place[j])
+                if x[cell[0]] != y[cell[0]]:
+                    ok &= b[i] != b[j]
+                p, q = np.nonzero(ok)
+                i, j = cell[r + p], cell[q]
+                use = least_shared(keys, own, i, j) == key[i].view(tb.U)
+                held.append((i[use], j[use]))
+                if sum(len(v[0]) for v in held) > 100_000:
+                    check()
+        check()
+        use = np.flatnonzero(links)
+        first = pa.StructArray.from_arrays([pa.array(v[use]) for v in (doc, version, line)], names=["doc_id", "version", "line"])
+        yield pa.RecordBatch.from_arrays([first, pa.array(links[use])], names=["first", "links"])
+
+    return dealt.mapInArrow(run, "first struct<doc_id:long,version:long,line:int>, links long")
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
+    """(first, links): the first places of classes of lines that are near earlier ones, and near how many. firsts: (h1, h2, first, n)."""
+    spark = docs.sparkSession
+    buckets = max(partitions(spark), -(-240 * firsts.count() // BUCKET_BYTES))
+    met = keep(meet(probes(docs, buckets, least).repartitionById(buckets, F.col("bucket"))), "met")
+    wanted = keep(met.select("h1").distinct().join(firsts.select("h1", "first"), "h1"), "wanted")
+    per_doc = wanted.groupBy("first.doc_id", "first.version").agg(F.sort_array(F.collect_set(F.struct("first.line", "h1"))).alias("lines"))
+    per_doc = keep(per_doc, "lines")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, text, lines in zip(*(c.to_pylist() for c in b.columns)):
+            for d, v, text, lines in zip(*(c.to_pylist() for c in b.columns)):
                 parts = (text or "").split("\n")
-                rows += [(x["h1"], d, x["line"], parts[x["line"]]) for x in lines if x["line"] < len(parts)]
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["h1", "doc_id", "line", "text"])
-
-    texts = ids_join(docs.select("doc_id", "text"), per_doc, "doc_id", "inner", size=wanted.count()).mapInArrow(cut, "h1 long, doc_id long, line int, text string")
-    texts = keep(texts.dropDuplicates(["h1", "doc_id", "line"]).select("h1", F.struct("doc_id", "line").alias("at"), "text"), "texts")
-    pairs = met.join(texts.select(F.col("h1").alias("a"), F.col("at").alias("at_a"), F.col("text").alias("x")), "a")
-    pairs = pairs.join(texts.select(F.col("h1").alias("b"), F.col("at").alias("at_b"), F.col("text").alias("y")), "b")
+                rows += [(x["h1"], d, v, x["line"], parts[x["line"]]) for x in lines if x["line"] < len(parts)]
+            cols = list(zip(*rows)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["h1", "doc_id", "version", "line", "text"])
+
+    texts = ids_join(docs.select("doc_id", "version", "text"), per_doc, ["doc_id", "version"], "inner", size=wanted.count())
+    texts = texts.mapInArrow(cut, "h1 long, doc_id long, version long, line int, text string")
+    texts = keep(texts.dropDuplicates(["h1", "doc_id", "version", "line"]), "texts")  # of rows that are repeated as a whole
+    long_runs = keep(met.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("blocks")), "runs")
+    runs = met.join(long_runs, "key", "left").join(texts, "h1").withColumn("b", F.coalesce(F.pmod(F.xxhash64("h1"), "blocks"), F.lit(0)).cast("int"))
+    runs = runs.withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)"))).withColumns({"x": F.least("b", "other"), "y": F.greatest("b", "other")})
+    n_bytes = met.join(long_runs, "key", "left").join(texts.select("h1", F.length("text").alias("n")), "h1").agg(F.sum(F.expr("(n + 200) * coalesce(blocks, 1)"))).first()[0] or 0
+    dealt = runs.select("key", "x", "y", "b", "doc_id", "version", "line", "text").repartition(max(partitions(spark), -(-n_bytes // BUCKET_BYTES)), "key", "x", "y")
+    out = keep(count_near(dealt).groupBy("first").agg(F.sum("links").alias("links")), "near")
+    discard(met, wanted, per_doc, texts, long_runs)
+    return out
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = pa.array(distances(b.column(0).to_pylist(), b.column(1).to_pylist()) <= EDITS) if b.num_rows else pa.array([], pa.bool_())
-            yield b.filter(ok).drop_columns(["x", "y"])
 
-    at = "struct<doc_id:long,line:int>"
-    out = keep(pairs.select("x", "y", "at_a", "at_b").mapInArrow(check, f"at_a {at}, at_b {at}").select(F.least("at_a", "at_b").alias("a"), F.greatest("at_a", "at_b").alias("b")), "near")
-    discard(met, wanted, per_doc, texts)
-    return out
+def versions(docs: DataFrame) -> DataFrame:
+    """docs with a number for each text, which tells rows of one doc_id and different texts apart."""
+    return docs.withColumn("version", F.xxhash64("text"))
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, exact array<int>, near array<int>, n_links long): the numbers of the lines that go, for documents with any.
+def removals(docs: DataFrame, least_exact: int = LEAST_EXACT, least_near: int = LEAST_NEAR) -> DataFrame:
+    """(doc_id, version, exact array<int>, near array<int>, n_links long): the numbers of the lines that go, for documents with any.
 
     n_links counts the pairs of different near lines whose later one has its first place in the document.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    lines = keep(line_table(docs), "lines")
-    firsts = keep(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-    near = near_lines(docs, firsts)
-    later = near.groupBy(F.col("b").alias("first")).agg(F.count(F.lit(1)).alias("links"))
-    verdict = firsts.join(later, "first", "left").where("n > 1 or links is not null")
-    gone = lines.join(verdict, ["h1", "h2"]).withColumn("is_first", F.struct("doc_id", "line") == F.col("first"))
-    gone = gone.where("not is_first or links is not null")
+    docs = versions(docs.select("doc_id", "text").where("doc_id is not null and text is not null"))
+    lines = keep(line_table(docs, least_exact), "lines")
+    place = F.struct("doc_id", "version", "line")
+    firsts = keep(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    near = near_lines(docs, firsts, max(least_exact, least_near))
+    verdict = keep(firsts.join(near, "first", "left").where("n > 1 or links is not null"), "verdict")
+    gone = lines.join(verdict, ["h1", "h2"]).withColumn("is_first", place == F.col("first")).where("not is_first or links is not null")
     by_near = F.col("links").isNotNull()
-    return gone.groupBy("doc_id").agg(
+    return gone.groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_set(F.when(~by_near, F.col("line")))).alias("exact"),
         F.array_sort(F.collect_set(F.when(by_near, F.col("line")))).alias("near"),
         F.coalesce(F.sum(F.when(F.col("is_first"), F.col("links"))), F.lit(0)).alias("n_links"),
     )
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, least_exact: int = LEAST_EXACT, least_near: int = LEAST_NEAR) -> DataFrame:
     """One row for each row of docs: how many lines it has, which go as repeated and which as near an earlier line.
 
-    A null text has no line, an empty one a single empty line. Blank and short lines always stay. Rows that
-    repeat a doc_id count as one document's.
+    A null text has no line, an empty one a single empty line. Blank lines always stay, and so do lines with fewer
+    than ``least_exact`` characters; lines with fewer than ``least_near`` go only as repeated. Texts and lines of any
+    length count whole. Rows that repeat a doc_id with one text are one document's; with different texts they are
+    different documents in the order of a hash of their texts. A row without a doc_id keeps its lines and counts for none.
     """
     none = F.array().cast("array<int>")
-    out = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines")).join(removals(docs), "doc_id", "left")
-    return out.select(
+    gone = removals(docs, least_exact, least_near).withColumnRenamed("doc_id", "id")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    out = versions(docs.select("doc_id", "text")).select("doc_id", "version", n_lines.alias("n_lines"))
+    return out.join(gone.withColumnRenamed("version", "of"), (F.col("doc_id") == F.col("id")) & (F.col("version") == F.col("of")), "left").select(
         "doc_id", "n_lines", F.coalesce("exact", none).alias("exact_removed"), F.coalesce("near", none).alias("near_removed"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with these lines taken out of ``text`` (and n_chars, if there, counted anew); no row goes and other columns stay.
+def dedup(docs: DataFrame, drop_emptied: bool = False, least_exact: int = LEAST_EXACT, least_near: int = LEAST_NEAR) -> DataFrame:
+    """docs with the lines that report names taken out of ``text`` (and n_chars, if there, counted anew); other columns stay.
 
-    Texts that lose no line stay as they are, null ones too.
+    Texts that lose no line stay as they are, null ones too. No row goes, unless ``drop_emptied``: then a document
+    goes if it loses lines and what is left is blank, as everything that it said stands in earlier documents.
     """
-    gone = removals(docs).select(F.col("doc_id").alias("__id"), F.array_union("exact", "near").alias("__gone"))
+    gone = removals(docs, least_exact, least_near).select(F.col("doc_id").alias("__id"), F.col("version").alias("__of"), F.array_union("exact", "near").alias("__gone"))
 
     @F.pandas_udf("string")
     def without(texts, lines):
@@ -329,9 +404,10 @@ def dedup(docs: DataFrame) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(gone, docs["doc_id"] == gone["__id"], "left")
-    new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(without("text", "__gone"))
-    cols = {"text": new}
+    joined = docs.join(gone, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__of")), "left")
+    out = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(without("text", "__gone")))
+    if drop_emptied:
+        out = out.where(r"__gone is null or text rlike '[^\\s]'")
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumn("text", cols["text"]).withColumns({k: v for k, v in cols.items() if k != "text"}).select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select([F.col(f"`{c}`") for c in docs.columns])

@@ -125,6 +125,31 @@ def test_long_runs_of_lines_that_share_a_segment(spark):
     assert sum(x.n_links for x in got.collect()) == want
 
 
+@pytest.mark.parametrize("cell", [1024, 16])
+def test_a_family_of_near_lines_counts_every_link_and_moves_few_rows(spark, cell, monkeypatch):
+    monkeypatch.setattr(lines, "CELL", cell)
+    r = random.Random(12)
+    base = "a line that many documents hold, each of them in a form of its own"
+    rows = list({mutate(r, base, r.choice([1, 1, 2])): i for i in range(150)}.items())
+    docs = spark.createDataFrame([(i, t) for t, i in rows], "doc_id long, text string")
+    want = collections.Counter(max(a[1], b[1]) for i, a in enumerate(rows) for b in rows[:i] if edit_distance(a[0], b[0]) <= 2)
+    assert {x.doc_id: x.n_links for x in lines.report(docs).collect() if x.n_links} == want
+    found = lines.meet(lines.probes(lines.versions(docs), 4, 20).repartitionById(4, F.col("bucket")))
+    assert found.count() <= 12 * len(rows) < sum(want.values())
+
+
+def test_line_dedup_of_repeated_ids_long_lines_and_emptied_documents(spark):
+    long = "".join(random.Random(1).choice("abcdef ") for _ in range(300_000))
+    rows = [(1, "a line that stands in two\nits own line here"), (1, "something else entirely\na line that stands in two"), (2, long), (3, long[:-1] + "x"), (None, "a line that stands in two"), (5, " \na line that stands in two\n"), (6, "short"), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(x.doc_id, x.text) for x in lines.dedup(docs).collect()]
+    assert len(out) == 8 and (5, " \n") in out and (3, "") in out and (None, rows[4][1]) in out
+    assert sorted(x[1].count("two") for x in out if x[0] == 1) == [0, 1] and any("its own" in x[1] for x in out) and any("entirely" in x[1] for x in out)
+    left = lines.dedup(docs, drop_emptied=True).collect()
+    assert sorted(str(x.doc_id) for x in left) == ["1", "1", "2", "6", "7", "None"]
+    assert lines.report(docs, least_exact=1, least_near=5).where("n_links > 0").count() == 1
+
+
 # -- WARC
 
 
