@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textbytes as tb
+from .common import tidied
 
 SIDE, FPS, BINS = 64, 25, 16
 CLIP = "clip int, start_frame int, end_frame int, start_s double, end_s double, key_difference double"
@@ -346,6 +347,7 @@ def padded(text: bytes) -> bytes:
 def media(docs: DataFrame) -> DataFrame:
     """(doc_id, media binary): every whole text as an AVI file; a null text is empty."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tb.blocks(batch, "text"):
@@ -357,6 +359,7 @@ def media(docs: DataFrame) -> DataFrame:
 def clips(files: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """Timed clip rows of AVI files in a binary column; null files, and files that aren't readable, have no rows."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -391,6 +394,7 @@ def digests(docs: DataFrame) -> DataFrame:
     The feature lists all clips; n_clips counts them. Equal texts have equal values.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
         names = [x.split()[0] for x in DIGESTS.split(", ")]

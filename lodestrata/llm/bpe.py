@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textbytes as tb
+from .common import tidied
 
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 MOST_CACHED = 500_000
@@ -150,6 +151,7 @@ def codec(path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id, ids binary) of whole texts; a null text is empty and has no ids. One row for each row."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
         for batch in batches:
@@ -163,6 +165,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id, text binary): the bytes that ids stand for."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
         for b in batches:
@@ -175,6 +178,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Encode and decode in one pass, and keep counts and digests only, so that ids never leave the task."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +17,19 @@ from pyspark.sql import functions as F
 ROWS_IN_BATCH = 1000  #: of Arrow data between Spark and Python while a table is written
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, giving memory back to the system at a task's end: Python workers are used again and would else keep their peak."""
+
+    @wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # of glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep
+from .common import keep, tidied
 
 PIVOTS = 64
 QUERY_BLOCK, ROW_BLOCK = 512, 16384  #: at most about so many meet in one task
@@ -90,6 +90,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
     groups = max(1, -(-n_asked // QUERY_BLOCK))
     group_of = nearest(p, p[:: max(1, -(-len(p) // groups))])[0]  # cells of like pivots share a query group
 
+    @tidied
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cell, d = nearest(matrix(b.column(1), dims).astype(float), p)
@@ -97,6 +98,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
 
     celled = keep(rows.mapInArrow(assign, "vec_id long, v array<long>, cell int, distance double"), "cells")
 
+    @tidied
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near: dict[int, np.ndarray] = {}
         far: dict[int, float] = {}
@@ -115,6 +117,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
     owner = np.concatenate([np.full(len(r.near), i) for i, r in enumerate(s)])
     near = np.concatenate([r.near for r in s])
 
+    @tidied
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q = matrix(b.column(1), dims).astype(float)

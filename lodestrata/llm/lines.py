@@ -16,18 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import discard, ids_join, keep, partitions
+from .common import discard, ids_join, keep, partitions, tidied
 
 EDITS = 2
 LEAST_EXACT, LEAST_NEAR = 10, 20  #: characters; what the parameters least_exact and least_near are unless given
 SHORT_RUN = 24
 CELL = 1024  #: lines of one key that meet in one task, at most
 BUCKET_BYTES = 8 << 20  #: of keys in a bucket or of lines in a partition, about
-FLUSH = 100_000
+FLUSH = 40_000
 FLIPS = 4 * EDITS  #: parities of character pairs that so many edits can turn
 SHUFFLED = np.random.default_rng(5).permutation(256).astype(np.uint8)
 
@@ -61,6 +62,7 @@ def characters(data: np.ndarray) -> np.ndarray:
 def line_table(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, version, line, h1, h2) of the lines that are not blank and have so many characters or more."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tb.blocks(batch, "text"):
@@ -112,6 +114,7 @@ def keys_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 def probes(docs: DataFrame, buckets: int, least: int) -> DataFrame:
     """Bundles for each bucket: keys, the line's hash, and parities whose lowest bit marks the line's own segments."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         own = None
@@ -154,6 +157,7 @@ def probes(docs: DataFrame, buckets: int, least: int) -> DataFrame:
 def meet(bundles: DataFrame) -> DataFrame:
     """(key, h1): lines that share a key with others, one of them by its own segment; in short runs only where parities allow a pair."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: tuple[list, list, list] = ([], [], [])
         for b in batches:
@@ -259,6 +263,7 @@ def count_near(dealt: DataFrame) -> DataFrame:
     dealt: (key, x, y, b, at, text); a line of block b is in the cells of its key that have b as x or y.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
         if not sum(p.num_rows for p in parts):
@@ -318,6 +323,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
     per_doc = wanted.groupBy("first.doc_id", "first.version").agg(F.sort_array(F.collect_set(F.struct("first.line", "h1"))).alias("lines"))
     per_doc = keep(per_doc, "lines")
 
+    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -392,22 +398,29 @@ def dedup(docs: DataFrame, drop_emptied: bool = False, least_exact: int = LEAST_
     """
     gone = removals(docs, least_exact, least_near).select(F.col("doc_id").alias("__id"), F.col("version").alias("__of"), F.array_union("exact", "near").alias("__gone"))
 
-    @F.pandas_udf("string")
-    def without(texts, lines):
-        import pandas as pd
+    texts = docs.columns.index("text")
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-        out = []
-        for text, drop in zip(texts, lines):
-            if text is not None and drop is not None and len(drop):
-                drop = set(drop.tolist())
-                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
-            out.append(text)
-        return pd.Series(out, dtype=object)
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols, lost = b.columns[:-1], b.column(b.num_columns - 1)
+            at = np.flatnonzero(pc.fill_null(pc.greater(pc.list_value_length(lost), 0), False).to_numpy(zero_copy_only=False))
+            if not len(at):
+                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+                continue
+            text, left = cols[texts].to_pylist(), np.ones(b.num_rows, bool)
+            n_chars = cols[counted].to_pylist() if counted is not None else None
+            for i, drop in zip(at, lost.take(pa.array(at)).to_pylist()):
+                drop = set(drop)
+                text[i] = "\n".join(x for k, x in enumerate(text[i].split("\n")) if k not in drop)
+                left[i] = not drop_emptied or bool(text[i].strip(" \t\n\r\x0b\x0c"))
+                if n_chars is not None:
+                    n_chars[i] = len(text[i])
+            cols[texts] = pa.array(text, cols[texts].type)
+            if n_chars is not None:
+                cols[counted] = pa.array(n_chars).cast(cols[counted].type)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1]).filter(pa.array(left))
 
     joined = docs.join(gone, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__of")), "left")
-    out = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(without("text", "__gone")))
-    if drop_emptied:
-        out = out.where(r"__gone is null or text rlike '[^\\s]'")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select([F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*(docs[f"`{c}`"] for c in docs.columns), "__gone").mapInArrow(run, docs.schema)

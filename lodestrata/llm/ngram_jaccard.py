@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textbytes as tb
-from .common import discard, ids_join, keep, partitions
+from .common import discard, ids_join, keep, partitions, tidied
 from .graphs import components
 
 WORDS, PERCENT = 5, 80
@@ -69,6 +69,7 @@ def summarise(docs: DataFrame) -> DataFrame:
 
     names = ["hot", "doc_id", "n", "s1", "s2", *LEAST, *BITS, "parity"]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.zeros(0, tb.U), np.zeros(0, np.int64)
         held: list[np.ndarray] = []
@@ -105,7 +106,7 @@ def summarise(docs: DataFrame) -> DataFrame:
                     names=names,
                 )
                 held.append(flat)
-                if sum(map(len, held)) > 2_000_000:
+                if sum(map(len, held)) > 1_000_000:
                     fold()
         fold()
         use = counts >= HOT_IN_TASK
@@ -140,6 +141,7 @@ def witnesses(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     order = np.argsort(hot, kind="stable")
     sent = docs.sparkSession.sparkContext.broadcast((hot[order], order))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = sent.value
         held: list[tuple] = []
@@ -194,6 +196,7 @@ def qualify(bundles: DataFrame) -> DataFrame:
     rest, the smallest and the greatest size of a group's classes there bound all of them.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[] for _ in range(7)]
         base = 0
@@ -302,6 +305,7 @@ def candidates(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     known = keep(ids_join(sets.select("doc_id", "n", *BITS, "parity"), ids, "doc_id"), "known")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [(100 + PERCENT) * flips(x, y) <= (100 - PERCENT) * n for n, x, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
@@ -316,6 +320,7 @@ def candidates(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 def tokens_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, tokens) of the documents with these ids, from their texts."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tb.blocks(batch, "text"):
@@ -327,6 +332,7 @@ def tokens_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def links_of(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [alike(np.frombuffer(x, tb.U), np.frombuffer(y, tb.U)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
@@ -401,6 +407,7 @@ def still_alive(dealt: DataFrame) -> DataFrame:
     """Of classes dealt out in cells those that may link with another there, by their bitmaps."""
     kept = ["grp", "down", "across", "member", "doc_id", "c"]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (parts := list(batches)):
             return
@@ -419,6 +426,7 @@ def still_alive(dealt: DataFrame) -> DataFrame:
 def links_in_cells(dealt: DataFrame) -> DataFrame:
     """(a, b): of the links between components in each cell as many as connect them."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (parts := list(batches)):
             return

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .common import keep
+from .common import keep, tidied
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 MOST_CACHED = 250_000
@@ -94,6 +94,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 4096)
     """
     end = np.array([end_id], "<u4").tobytes()
 
+    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(vocabulary)
         for batch in batches:
@@ -119,6 +120,7 @@ def ranked(df: DataFrame, size: str) -> tuple[DataFrame, np.ndarray]:
     rows, so that all partitions together have about as many counts as there are sizes.
     """
 
+    @tidied
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -265,6 +267,7 @@ def pack(found: DataFrame, size: int = 4096) -> DataFrame:
         total[length] = total.get(length, 0) + n
     sent = spark.sparkContext.broadcast((counts[:, 0] << 32 | counts[:, 1], bases, Plan(total, size)))
 
+    @tidied
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, base, plan = sent.value
         for b in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import ids_join, keep
+from .common import ids_join, keep, tidied
 
 SURE = 0.98  #: of a pseudo-label, by the view that gives it
 ROUNDS, FIRST_STEPS, STEPS = 2, 6, 3
@@ -91,6 +91,7 @@ def page_view(data: np.ndarray, offs: np.ndarray, n_chars: np.ndarray, source: n
 def features(docs: DataFrame) -> DataFrame:
     """Both views of every document. A null text is empty, a null n_chars is 0, null sources and languages are a kind of their own."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tb.blocks(batch, "text"):
@@ -115,6 +116,7 @@ def matrix(col: pa.Array) -> np.ndarray:
 def total(table: DataFrame, rows: Callable[..., list[np.ndarray]]) -> list[np.ndarray]:
     """Sums over the whole table of the arrays that ``rows`` makes of a batch (text view, page view, label, fold)."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = None
         for b in batches:
@@ -250,6 +252,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFra
     table = keep(features(docs).join(known, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(-1))).withColumn("fold", fold), "views")
     views = co_train(table)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:

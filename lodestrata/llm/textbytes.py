@@ -12,6 +12,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+KEPT = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -20,14 +21,19 @@ def inverse(x: int) -> int:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** j and BASE ** -j modulo 2 ** 64 for j up to n."""
-    if "up" not in _powers or len(_powers["up"]) <= n:
-        size = max(n + 1, 1 << 19)
+    """BASE ** j and BASE ** -j modulo 2 ** 64 for j up to n; those of longer texts aren't kept."""
+
+    def table(b: int, size: int) -> np.ndarray:
+        x = np.full(size, b, U)
+        x[0] = 1
         with np.errstate(over="ignore"):
-            for name, b in (("up", BASE), ("down", U(inverse(int(BASE))))):
-                x = np.full(size, b, U)
-                x[0] = 1
-                _powers[name] = np.multiply.accumulate(x)
+            return np.multiply.accumulate(x)
+
+    bases = {"up": int(BASE), "down": inverse(int(BASE))}
+    if n > KEPT:
+        return table(bases["up"], n + 1), table(bases["down"], n + 1)
+    if not _powers:
+        _powers.update({k: table(b, KEPT + 1) for k, b in bases.items()})
     return _powers["up"], _powers["down"]
 
 
@@ -51,7 +57,7 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0] if len(offs) else np.zeros(1, np.int64)
 
 
-def blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
+def blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 18):
     """Parts of a batch with at most ``most`` bytes of text, or a single longer row."""
     if not batch.num_rows:
         return

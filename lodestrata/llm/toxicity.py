@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import discard, ids_join, keep
+from .common import discard, ids_join, keep, tidied
 
 SAMPLE = 6000  #: labelled documents that the classifier may learn from, at most
 SAMPLE_CHARS = 60_000_000  #: characters that their texts may have together; longer texts beyond this are passed over whole
@@ -270,6 +270,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
     """Score every whole text; null and empty ones too. One row for each row."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         for batch in batches:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 CRLF = b"\r\n"
 DERIVED = (
     "record_key string, kind string, record_id string, refers_to string, target_uri string, warc_date string, "
@@ -130,6 +132,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", body: st
     """(record_key, record): a response record for every row. ``date`` may be a timestamp column; without it the date is 1970."""
     when = F.date_format(F.col(date).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date in pages.columns else F.lit(None).cast("string")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -143,6 +146,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", body: st
 def derive(records: DataFrame) -> DataFrame:
     """Derivatives of (record_key, record). Rows that are null, not a WARC record or no response give none."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = pa.map_(pa.string(), pa.string())
         kinds = [*[pa.string()] * 6, strings, strings, pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary()]
@@ -179,6 +183,7 @@ def members(data: bytes) -> Iterator[bytes]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(record_key, record) of WARC files; a file is one task's work, as it is one row of Spark's binary source (2 GB at most)."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(*(c.to_pylist() for c in b.columns)):
@@ -191,6 +196,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def gzip_members(records: DataFrame) -> DataFrame:
     """(record_key, member): each record as a gzip member; joined members are a .warc.gz file."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
