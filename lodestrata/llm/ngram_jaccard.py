@@ -210,7 +210,7 @@ def qualify(bundles: DataFrame) -> DataFrame:
         if not base:
             return
         doc, n, comp, grp, tok, of, rest = map(np.concatenate, cols)
-        n, rest = n.astype(np.int64), rest.astype(np.int64)
+        n, of, rest = n.astype(np.int64), of.astype(np.int64), rest.astype(np.int64)  # class and group are one number below
         by = np.argsort(tok, kind="stable")
         by = by[np.repeat(*(lambda c: (c > 1, c))(np.unique(tok, return_counts=True)[1]))]
         tok, of, rest = tok[by], of[by], rest[by]
