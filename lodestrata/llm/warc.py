@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from .common import tidied
 
 CRLF = b"\r\n"
+PIECE = 1 << 16  #: bytes of a compressed file at a time
 DERIVED = (
     "record_key string, kind string, record_id string, refers_to string, target_uri string, warc_date string, "
-    "source_headers map<string,string>, http_headers map<string,string>, source_payload_digest string, digest_ok boolean, "
+    "source_headers map<string,array<string>>, http_headers map<string,array<string>>, source_payload_digest string, digest_ok boolean, "
     "block_digest string, content_length long, title string, n_links int, block string, record binary"
 )
 HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg)\b.*?</\1\s*>|<![^>]*>|<\?[^>]*>", re.S | re.I)
@@ -78,17 +79,40 @@ def header_lines(raw: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (names as written; the last of a name counts) and block of one record. ValueError for anything else."""
+def grouped(lines: list[tuple[str, str]]) -> dict[str, list[str]]:
+    """The values of each field, in order, under its name as first written."""
+    out: dict[str, list[str]] = {}
+    names: dict[str, str] = {}
+    for k, v in lines:
+        out.setdefault(names.setdefault(k.lower(), k), []).append(v)
+    return out
+
+
+def parse(raw: bytes) -> tuple[dict[str, list[str]], bytes]:
+    """Headers, each with all its values, and block of one record. ValueError for anything else, as for a Content-Length that is no number."""
     head, found, rest = raw.partition(b"\r\n\r\n")
     if not found or not head.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
-    headers = dict(header_lines(head))
-    return headers, rest[: int(headers.get("Content-Length", len(rest)))]
+    headers = grouped(header_lines(head))
+    return headers, rest[: int(field(headers, "Content-Length") or len(rest))]
+
 
+def field(headers: dict[str, list[str]], name: str) -> str | None:
+    """The first value of a field."""
+    return next((v[0] for k, v in headers.items() if k.lower() == name.lower()), None)
 
-def field(headers: dict[str, str], name: str) -> str | None:
-    return next((v for k, v in headers.items() if k.lower() == name.lower()), None)
+
+def decoded(payload: bytes, content_type: str) -> str:
+    """The page by the charset that its header names; without one, or with an unknown one, as UTF-8. Bad bytes are replaced."""
+    named = re.findall(r"charset=[\"']?([\w.:-]+)", content_type)
+    try:
+        return payload.decode(named[0].lower() if named else "utf-8", "replace")
+    except (LookupError, UnicodeError):  # UnicodeError: of codecs that aren't for text
+        return payload.decode("utf-8", "replace")
+
+
+def as_json(headers: dict[str, list[str]]) -> dict[str, str | list[str]]:
+    return {k: v[0] if len(v) == 1 else v for k, v in headers.items()}
 
 
 def plain_text(page: str) -> str:
@@ -104,25 +128,25 @@ def derive_one(key: str, raw: bytes) -> list[tuple]:
     if field(headers, "WARC-Type") != "response":
         return []
     head, _, payload = block.partition(b"\r\n\r\n")
-    http = dict(header_lines(head))
+    http = grouped(header_lines(head))
     source = field(headers, "WARC-Payload-Digest")
     checks = [given == sha1(data) for given, data in ((source, payload), (field(headers, "WARC-Block-Digest"), block)) if given]
-    page = payload.decode(next(iter(re.findall(r"charset=[\"']?([\w-]+)", field(http, "Content-Type") or "")), "utf-8").lower() if payload else "utf-8", "replace")
+    page = decoded(payload, field(http, "Content-Type") or "")
     source_id, target, date = (field(headers, n) for n in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
     title = TITLE.search(page)
     title = BLANKS.sub(" ", htmllib.unescape(TAG.sub("", title[1]))).strip() if title else None
     links = [{"path": f"{m[1].lower()}", "url": htmllib.unescape(m[2] or m[3] or m[4] or "")} for m in LINK.finditer(RAW.sub(lambda m: m[1] or m[3] or " ", page))]
     info = {
         "Envelope": {
-            "WARC-Header-Metadata": headers,
-            "Payload-Metadata": {"HTTP-Response-Metadata": {"Response-Message": head.split(b"\r\n")[0].decode("utf-8", "replace"), "Headers": http, "HTML-Metadata": {"Title": title, "Links": links}}},
+            "WARC-Header-Metadata": as_json(headers),
+            "Payload-Metadata": {"HTTP-Response-Metadata": {"Response-Message": head.split(b"\r\n")[0].decode("utf-8", "replace"), "Headers": as_json(http), "HTML-Metadata": {"Title": title, "Links": links}}},
         }
     }
     out = []
     for kind, body, mime in (("metadata", json.dumps(info, ensure_ascii=False), "application/json"), ("conversion", plain_text(page), "text/plain")):
         data = body.encode()
         own = urn(kind, source_id)
-        fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source_id), ("WARC-Target-URI", target), ("WARC-Date", date), ("Content-Type", mime), ("WARC-Block-Digest", sha1(data))]
+        fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source_id), ("WARC-Target-URI", target), ("WARC-Date", date), ("Content-Type", mime), ("WARC-Block-Digest", sha1(data)), ("WARC-Source-Payload-Digest", source)]
         whole = record([(k, v) for k, v in fields if v], data)
         out.append((key, kind, own, source_id, target, date, list(headers.items()), list(http.items()), source, all(checks), sha1(data), len(data), title, len(links), body, whole))
     return out
@@ -144,11 +168,15 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", body: st
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """Derivatives of (record_key, record). Rows that are null, not a WARC record or no response give none."""
+    """Derivatives of (record_key, record). Rows that are null, not a WARC record or no response give none.
+
+    Repeated header fields keep all their values. A page of an unknown charset is read as UTF-8, an empty one has an
+    empty text; pages of any length count whole, equal rows give equal rows each, and other columns are left out.
+    """
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = pa.map_(pa.string(), pa.string())
+        strings = pa.map_(pa.string(), pa.list_(pa.string()))
         kinds = [*[pa.string()] * 6, strings, strings, pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary()]
         names = [x.split()[0] for x in DERIVED.split(", ")]
         for b in batches:
@@ -157,7 +185,7 @@ def derive(records: DataFrame) -> DataFrame:
                 for k, raw in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns)):
                     try:
                         rows += derive_one(k, raw or b"")
-                    except (ValueError, LookupError):
+                    except ValueError:
                         continue
                 cols = list(zip(*rows)) or [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
@@ -168,14 +196,18 @@ def derive(records: DataFrame) -> DataFrame:
 def members(data: bytes) -> Iterator[bytes]:
     """Records of a WARC file, gzip members or plain, one at a time."""
     if data[:2] == b"\x1f\x8b":
-        while data:
-            z = zlib.decompressobj(31)
-            yield z.decompress(data) + z.flush()
-            data = z.unused_data
+        view, at = memoryview(data), 0
+        while at < len(data):
+            z, parts = zlib.decompressobj(31), []
+            while at < len(data) and not z.eof:  # in pieces, so that no member copies the rest of the file
+                piece = view[at : at + PIECE]
+                parts.append(z.decompress(piece))
+                at += len(piece) - len(z.unused_data)
+            yield b"".join(parts) + z.flush()
         return
     at = 0
     while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        size = int(field(dict(header_lines(data[at:end])), "Content-Length") or 0)
+        size = int(field(grouped(header_lines(data[at:end])), "Content-Length") or 0)
         yield data[at : end + 4 + size]
         at = end + 8 + size
 

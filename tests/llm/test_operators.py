@@ -173,11 +173,11 @@ def test_derivatives_refer_to_their_response(spark):
     out = warc.derive(records).collect()
     assert len(out) == 6 and all(x.digest_ok for x in out)
     meta, conv = (next(x for x in out if x.kind == k and x.record_key == "1") for k in ("metadata", "conversion"))
-    assert meta.refers_to == conv.refers_to == headers["WARC-Record-ID"] != conv.record_id
-    assert conv.source_payload_digest == headers["WARC-Payload-Digest"] == warc.sha1(page.encode())
+    assert [meta.refers_to] == [conv.refers_to] == headers["WARC-Record-ID"] != [conv.record_id]
+    assert conv.source_payload_digest == headers["WARC-Payload-Digest"][0] == warc.sha1(page.encode())
     assert conv.block == "One two\nthree\n4 5" and meta.title == "A & B" and meta.n_links == 1 and '"/x?a=1&b=2"' in meta.block
     again, text = warc.parse(conv.record)
-    assert text.decode() == conv.block and again["WARC-Refers-To"] == conv.refers_to and again["WARC-Block-Digest"] == warc.sha1(text)
+    assert text.decode() == conv.block and again["WARC-Refers-To"] == [conv.refers_to] and again["WARC-Block-Digest"] == [warc.sha1(text)] and again["WARC-Source-Payload-Digest"] == headers["WARC-Payload-Digest"]
     bad = spark.createDataFrame([("a", None), ("b", bytearray(b"junk")), ("c", bytearray(raw.replace(b"One", b"Two")))], "record_key string, record binary")
     assert [x.digest_ok for x in warc.derive(bad).collect()] == [False, False]
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
@@ -194,6 +194,52 @@ def test_warc_files_are_read_back(spark, tmp_path):
     assert sorted(x.block for x in warc.derive(got).where("kind = 'conversion'").collect()) == sorted([str(i) for i in range(5)] * 2)
 
 
+def by_the_book(raw):
+    """Header fields and payload of a response record, line by line."""
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    fields = [x.split(": ", 1) for x in head.decode().split("\r\n")[1:]]
+    http, _, payload = rest[: int(dict(fields)["Content-Length"])].partition(b"\r\n\r\n")
+    return fields, [x.split(": ", 1) for x in http.decode().split("\r\n")[1:]], payload
+
+
+def test_random_records_against_a_plain_parser(spark):
+    r = random.Random(31)
+    rows, want = [], {}
+    for i in range(200):
+        words = ["".join(r.choice("abcdé &") for _ in range(6)).strip() or "x" for _ in range(r.randrange(6))]
+        charset = r.choice(["utf-8", "latin-1", "x-unknown", "hex", ""])
+        payload = "<br>".join(w.replace("&", "&amp;") for w in words).encode("latin-1" if charset == "latin-1" else "utf-8")
+        http = "\r\n".join(["HTTP/1.1 200 OK", f"Content-Type: text/html; charset={charset}", *(f"Set-Cookie: c{k}={r.randrange(9)}" for k in range(r.randrange(4))), "Server: s"]).encode() + b"\r\n\r\n" + payload
+        head = ["WARC/1.0", "WARC-Type: response", f"WARC-Record-ID: <urn:uuid:{i}>", "WARC-Target-URI: http://h/", *(["WARC-Concurrent-To: <a>", "WARC-Concurrent-To: <b>"] if i % 2 else []), f"WARC-Payload-Digest: {warc.sha1(payload)}", f"Content-Length: {len(http)}"]
+        raw = "\r\n".join(head).encode() + b"\r\n\r\n" + http + b"\r\n\r\n"
+        rows.append((str(i), bytearray(raw)))
+        lines = [" ".join(w.split()) for w in words]
+        want[str(i)] = (*by_the_book(raw), "\n".join(x for x in lines if x))
+    rows += [("bad", bytearray(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nx")), ("null", None)]
+    records = spark.createDataFrame(rows, "record_key string, record binary").withColumn("kind", F.lit("own")).withColumn("title", F.lit(1))
+    out = warc.derive(records).collect()
+    assert len(out) == 400
+    for x in out:
+        fields, http, payload, text = want[x.record_key]
+        for got, lines in ((x.source_headers, fields), (x[7], http)):
+            assert {k: list(v) for k, v in got.items()} == {k: [b for a, b in lines if a == k] for k, _ in lines}
+        assert x.source_payload_digest == warc.sha1(payload) and x.digest_ok and x.refers_to == f"<urn:uuid:{x.record_key}>"
+        if x.kind == "conversion":
+            assert x.block == text and f"WARC-Source-Payload-Digest: {warc.sha1(payload)}\r\n".encode() in bytes(x.record)
+    long = warc.response(1, "http://h/", "<p>" + "word " * 400_000, "1970-01-01T00:00:00Z")
+    assert len(warc.derive_one("k", long)[1][14]) == 5 * 400_000 - 1
+
+
+def test_members_of_long_files(monkeypatch):
+    import gzip
+
+    records = [f"record {i} ".encode() * (i % 50) for i in range(300)]
+    data = b"".join(gzip.compress(x) for x in records)
+    for piece in (7, 1 << 16):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        assert list(warc.members(data)) == records
+
+
 # -- AVI
 
 
