@@ -103,7 +103,7 @@ EXPORT = ("filename", "node_id", "doc_id", "ord", "text", "lang", "kind", "marke
 
 def export(found: DataFrame, marked: list[str] = ()) -> DataFrame:
     """Rows of the search export; every cell is text."""
-    rows = found.withColumns({"kind": F.lit("text"), "marked": F.when(F.col("node_id").isin(list(marked)), "yes").otherwise(""), "est_tokens": t.estimated_tokens(F.col("text"))})
+    rows = found.withColumns({"kind": F.lit("text"), "marked": F.when(F.col("node_id").isin(list(marked)), "true").otherwise("false"), "est_tokens": t.estimated_tokens(F.col("text"))})
     return rows.select(*[t.csv_cell(F.col(c)).alias(c) for c in EXPORT])
 
 

@@ -275,7 +275,7 @@ def fulltext_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("with " + CHUNKS + r"""
-select filename, node_id, doc_id::varchar as doc_id, ord::varchar as ord, text, lang, 'text' as kind, case when node_id = '733:0' then 'yes' else '' end as marked,
+select filename, node_id, doc_id::varchar as doc_id, ord::varchar as ord, text, lang, 'text' as kind, case when node_id = '733:0' then 'true' else 'false' end as marked,
   ceil(length(text) / 3.5)::bigint::varchar as est_tokens
 from c where regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])pathetic')""")
 def search_export(spark: SparkSession, sf_dir: str) -> DataFrame:

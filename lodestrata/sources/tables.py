@@ -20,11 +20,11 @@ PROFILES = {
     "messages": ("UUID", "Chat ID", "Sender", "Timestamp", "Text", "Tags", "URL", "Chat Group", "Answers Count", "Reply To", "Network"),
     "postings": ("UUID", "Posting ID", "URL", "Date last updated", "Timestamp", "Timezone", "Crawled at", "Postings Connections", "Network Posting ID", "Location", "Author ID", "Author", "Vanity Name", "Co-Author", "Quoted User", "Expected Reactions", "Collected Reactions", "Expected Comments", "Collected Comments", "Network", "Posted in Group", "Task", "Text Content", "Filename", "Tags"),
 }
-# Reference fields and the columns they come from.
+# The columns of each export that its reference fields come from, and the one that names its documents.
 REFERENCE = {
-    "uuid": ("uuid",), "url": ("url",), "network": ("network",), "timestamp": ("timestamp",), "author": ("author", "sender"), "author_id": ("author id",),
-    "vanity": ("vanity name",), "text": ("text content", "text"), "text_id": ("comment id", "posting id", "chat id"), "parent_text": ("parent comment text",),
-    "posting_text": ("posting text",), "posting_id": ("posting id",),
+    "comments": {"network": "network", "uuid": "uuid", "timestamp": "timestamp", "author": "author", "author_id": "author id", "vanity": "vanity name", "text": "text content", "text_id": "comment id", "parent_text": "parent comment text", "anchor_text": "posting text"},
+    "messages": {"network": "network", "uuid": "uuid", "timestamp": "timestamp", "author": "sender", "author_id": None, "vanity": None, "text": "text", "text_id": "chat id", "parent_text": "reply to", "anchor_text": None},
+    "postings": {"network": "network", "uuid": "uuid", "url": "url", "timestamp": "timestamp", "author": "author", "author_id": "author id", "vanity": "vanity name", "text": "text content", "text_id": "posting id", "parent_text": None, "anchor_text": None},
 }
 
 
@@ -61,33 +61,41 @@ def text_columns(df: DataFrame) -> list[str]:
     return df.columns[:1]
 
 
+def cell(df: DataFrame, name: str | None):
+    """A column by its name in any case, blank cells null; null where df has no such column."""
+    named = {c.strip().casefold(): c for c in df.columns}
+    return t.non_blank(F.col(f"`{named[name]}`").cast("string")) if name in named else F.lit(None).cast("string")
+
+
 def reference(df: DataFrame, kind: str):
     """The reference struct of a social row; what its export lacks is null."""
-    named = {c.strip().casefold(): c for c in df.columns}
-    fields = [F.coalesce(*[t.non_blank(F.col(f"`{named[n]}`").cast("string")) for n in names if n in named], F.lit(None).cast("string")).alias(k) for k, names in REFERENCE.items()]
-    return F.struct(F.lit(kind.removesuffix("s")).alias("type"), *fields)
+    return F.struct(F.lit(kind.removesuffix("s")).alias("type"), *(cell(df, name).alias(k) for k, name in REFERENCE[kind].items()))
 
 
 def rows(df: DataFrame, columns: list[str] | None = None, where: str | None = None, limit: int | None = None) -> DataFrame:
-    """Row documents: text (non-blank), metadata as JSON, and for social exports their reference."""
+    """Row documents: text (non-blank), metadata as JSON, and for social exports their reference and, as doc_id, the id of its text."""
     kind = profile(df.columns)
     columns = columns or text_columns(df)
     if where:
         df = df.where(F.expr(where))
     text = t.strip(F.concat_ws("\n", *[t.non_blank(F.col(f"`{c}`").cast("string")) for c in columns]))
     rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    out = df.select(text.alias("text"), F.to_json(F.struct(*rest)).alias("metadata") if rest else F.lit("{}").alias("metadata"), F.lit(kind or "table").alias("style"), *([reference(df, kind).alias("reference_metadata")] if kind else []))
+    out = df.select(text.alias("text"), F.to_json(F.struct(*rest)).alias("metadata") if rest else F.lit("{}").alias("metadata"), F.lit(kind or "table").alias("style"), *([reference(df, kind).alias("reference_metadata"), cell(df, REFERENCE[kind]["text_id"]).alias("doc_id")] if kind else []))
     out = out.where("text <> ''")
     return out.limit(limit) if limit is not None else out
 
 
-def read(spark: SparkSession, path: str, **options) -> DataFrame:
-    """CSV, TSV or Parquet as it is: every CSV column is a string, the delimiter is sniffed from the first lines that Spark reads."""
+def read(spark: SparkSession, path: str, multi_line: bool = True, **options) -> DataFrame:
+    """CSV, TSV or Parquet as it is: every CSV column is a string, the delimiter is sniffed from the first lines that Spark reads.
+
+    Cells may hold line breaks, for which Spark reads a file in one task. ``multi_line=False`` splits large files
+    among tasks, where no cell holds one.
+    """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
     head = "\n".join(r.value for r in spark.read.text(path).limit(20).collect())
     sep = "\t" if path.endswith(".tsv") else separator(head.lstrip("\ufeff"))
-    return spark.read.options(header=True, sep=sep, multiLine=True, escape='"', **options).csv(path)
+    return spark.read.options(header=True, sep=sep, multiLine=multi_line, escape='"', **options).csv(path)
 
 
 def media_links(manifest: DataFrame, postings: DataFrame, files: DataFrame) -> DataFrame:

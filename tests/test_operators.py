@@ -372,3 +372,18 @@ def test_hourly_windows_with_a_watermark(spark, tmp_path):
     q = ingest.hourly(s).writeStream.outputMode("complete").format("memory").queryName("hours").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.event_type, r.events, r.value) for r in spark.table("hours").collect()} == {("a", 2, 3.0), ("b", 1, 5.0)}
+
+
+def test_references_follow_their_export(spark):
+    def row(kind, **cells):
+        names = tb.PROFILES[kind]
+        df = spark.createDataFrame([tuple(cells.get(n.replace(" ", "_").replace("-", "_")) for n in names)], ", ".join(f"`{n}` string" for n in names))
+        return tb.rows(df).first()
+
+    m = row("messages", UUID="u1", Chat_ID="chat-1", Sender="Bob", Timestamp="2026-02-03T11:00:00Z", Text="Message body", URL="https://e", Reply_To="root", Network="Signal")
+    assert m.doc_id == "chat-1" and m.style == "messages"
+    assert m.reference_metadata.asDict() == {"type": "message", "network": "Signal", "uuid": "u1", "timestamp": "2026-02-03T11:00:00Z", "author": "Bob", "author_id": None, "vanity": None, "text": "Message body", "text_id": "chat-1", "parent_text": "root", "anchor_text": None}
+    c = row("comments", Comment_ID="c1", Text_Content="Comment body", Posting_Text="post", Parent_Comment_Text="parent", URL="https://e").reference_metadata
+    assert (c.text_id, c.parent_text, c.anchor_text, c.type) == ("c1", "parent", "post", "comment") and "url" not in c.asDict()
+    p = row("postings", Posting_ID="p1", Text_Content="Posting body", URL="https://e").reference_metadata
+    assert (p.text_id, p.url, p.parent_text, p.anchor_text) == ("p1", "https://e", None, None)
