@@ -37,11 +37,13 @@ def counted(found: DataFrame, mode: str = "orthographic") -> DataFrame:
 
 def aggregate(found: DataFrame, mode: str = "orthographic") -> DataFrame:
     """key, text (the commonest spelling), type (as first seen), mentions, best_score, source_count, first."""
-    spelt = counted(found, mode).groupBy("key", "text").agg(F.sum("n").alias("n"), F.max("score").alias("score"), F.min("first").alias("first"), F.collect_set("filename").alias("files"))
+    once = F.col("text") == F.min("text").over(Window.partitionBy("key", "filename"))  # a file counts with one of its spellings
+    found = counted(found, mode).withColumn("files", (once & F.col("filename").isNotNull()).cast("long"))
+    spelt = found.groupBy("key", "text").agg(F.sum("n").alias("n"), F.max("score").alias("score"), F.min("first").alias("first"), F.sum("files").alias("files"))
     order = F.struct(-F.col("n"), -F.coalesce("score", F.lit(-1.0)), F.col("first"))
     return spelt.groupBy("key").agg(
         F.min_by("text", order).alias("text"), F.min("first").alias("first"), F.sum("n").alias("mentions"), F.max("score").alias("best_score"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("files")))).cast("long").alias("source_count"),
+        F.sum("files").alias("source_count"),
     ).withColumn("type", F.col("first.kind"))
 
 

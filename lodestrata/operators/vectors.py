@@ -56,9 +56,11 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", key: str = "vec_id")
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def term_weights(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """(key, token, weight): 1 + log(count) of tokens."""
+def term_weights(texts: DataFrame, key: str, column: str = "text", among: DataFrame | None = None) -> DataFrame:
+    """(key, token, weight): 1 + log(count) of tokens; with ``among`` of its tokens only, before anything is counted."""
     words = texts.select(key, F.explode(F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x).between(2, 30))).alias("token"))
+    if among is not None:
+        words = words.join(among.select("token").distinct(), "token", "left_semi")
     return words.groupBy(key, "token").agg((1 + F.log(F.count(F.lit(1)).cast("double"))).alias("weight"))
 
 

@@ -324,7 +324,7 @@ s as (select item_id, doc_id, round(sum(d.weight * q.weight), 6) as score from d
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = ve.term_weights(table(spark, sf_dir, "benchmark"), "item_id")
-    return ve.sparse_scores(ve.term_weights(table(spark, sf_dir, "documents"), "doc_id"), q, "doc_id", "item_id")
+    return ve.sparse_scores(ve.term_weights(table(spark, sf_dir, "documents"), "doc_id", among=q), q, "doc_id", "item_id")
 
 
 @query("with " + TERMS + " select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s qualify rank <= 10")
