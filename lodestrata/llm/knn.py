@@ -4,7 +4,8 @@ Rows and queries belong to the cell of their nearest pivot. A cell's summary (ra
 of the few rows nearest to its pivot) bounds the product of a query q with any of its rows x: it differs
 from q.p by |q| |x - p| at most. So each query knows a score that its k-th best can't fall below, and the
 cells that can reach it; a cell's rows are sent only to the query groups that need it. Groups are solved
-in blocks of rows, whose best k are merged per query.
+in slots of rows, whose best k are merged per query. A slot holds some neighbouring small cells or a share of
+a large one, and a query goes to the slots of the cells that it needs only.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql.window import Window
 
 from .common import keep, tidied
 
-PIVOTS = 64
+LEAST_PIVOTS, MOST_PIVOTS = 64, 1024  #: between these there are about as many as the root of the rows
 QUERY_BLOCK, ROW_BLOCK = 512, 16384  #: at most about so many meet in one task
+BOUND_BLOCK = 128  #: queries whose bounds are computed at once
 
 
 def scaled(embedding: Column, factor: float = 1024.0) -> Column:
@@ -70,11 +72,22 @@ def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: in
     return tuple(np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ((), (), ())))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS) -> DataFrame:
+def slots(rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First slot of each cell and how many it is dealt over, for the cells' numbers of rows in order.
+
+    Small neighbours share a slot; no slot gets more than about twice ``size`` rows.
+    """
+    ends = np.cumsum(rows)
+    first = (ends - rows) // size
+    return first, np.maximum((ends - 1) // size - first + 1, 1)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows with the greatest inner product, all if there are fewer.
 
     vectors and queries: (vec_id long, v array<long>); null vectors and ids take no part. A query's own rows are those
-    with its id. Vectors of different lengths are ended by zeros. Either table may be empty.
+    with its id. Vectors of different lengths are ended by zeros. Either table may be empty. Products must stay
+    within 64 bits.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -85,6 +98,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
     if not n or not n_asked:
         return empty
     dims = max(dims, wide)
+    pivots = pivots or min(max(LEAST_PIVOTS, int(n**0.5)), MOST_PIVOTS)
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toArrow()
     p = np.unique(matrix(chosen.column("v"), dims), axis=0).astype(float)
     groups = max(1, -(-n_asked // QUERY_BLOCK))
@@ -102,43 +116,56 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near: dict[int, np.ndarray] = {}
         far: dict[int, float] = {}
+        many: dict[int, int] = {}
         for b in batches:
             cell, d = b.column(0).to_numpy(), b.column(1).to_numpy()
             for c in np.unique(cell).tolist():
                 own = np.sort(d[cell == c])
                 near[c] = np.sort(np.r_[near.get(c, own[:0]), own[: k + 1]])[: k + 1]
                 far[c] = max(far.get(c, 0.0), float(own[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(list(near), pa.int32()), pa.array([x.tolist() for x in near.values()], pa.list_(pa.float64())), pa.array(list(far.values()), pa.float64())], names=["cell", "near", "far"])
-
-    s = celled.select("cell", "distance").mapInArrow(summary, "cell int, near array<double>, far double").groupBy("cell")
-    s = s.agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"), F.max("far").alias("far")).collect()
+                many[c] = many.get(c, 0) + len(own)
+        columns = pa.array(list(near), pa.int32()), pa.array([x.tolist() for x in near.values()], pa.list_(pa.float64())), pa.array(list(far.values()), pa.float64()), pa.array(list(many.values()), pa.int64())
+        yield pa.RecordBatch.from_arrays(list(columns), names=["cell", "near", "far", "many"])
+
+    s = celled.select("cell", "distance").mapInArrow(summary, "cell int, near array<double>, far double, many long")
+    each = s.select("cell", F.explode("near").alias("d")).withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).where(F.col("n") <= k + 1)
+    each = each.groupBy("cell").agg(F.array_sort(F.collect_list("d")).alias("near"))
+    s = s.groupBy("cell").agg(F.max("far").alias("far"), F.sum("many").alias("many")).join(each, "cell").collect()  # at most as many rows as pivots
+    s.sort(key=lambda r: (group_of[r.cell], r.cell))
     cells = np.array([r.cell for r in s])
     radius = np.array([r.far for r in s])
     owner = np.concatenate([np.full(len(r.near), i) for i, r in enumerate(s)])
     near = np.concatenate([r.near for r in s])
+    first_slot, n_slots = slots(np.array([r.many for r in s]), ROW_BLOCK)
+    placed = spark.createDataFrame(list(zip(cells.tolist(), first_slot.tolist(), n_slots.tolist())), "cell int, first_slot long, n_slots long")
 
     @tidied
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            q = matrix(b.column(1), dims).astype(float)
-            norm = np.sqrt((q**2).sum(1))
-            dot = q @ p[cells].T
-            slack = 1e-9 * norm[:, None] * (np.sqrt((p[cells] ** 2).sum(1)) + radius + 1)
-            low = dot[:, owner] - norm[:, None] * near - slack[:, owner]
-            sure = np.partition(low, low.shape[1] - k - 1, 1)[:, low.shape[1] - k - 1] if low.shape[1] > k else np.full(len(q), -np.inf)
-            need = dot + norm[:, None] * radius + slack >= sure[:, None]
-            home = group_of[nearest(q, p)[0]].astype(np.int32) if len(q) else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array([cells[x].tolist() for x in need], pa.list_(pa.int32()))], names=["vec_id", "v", "home", "needs"])
+        at = p[cells]
+        length = np.sqrt((at**2).sum(1)) + radius + 1
+        for whole in batches:
+            for i in range(0, len(whole), BOUND_BLOCK):
+                b = whole.slice(i, BOUND_BLOCK)
+                q = matrix(b.column(1), dims).astype(float)
+                norm = np.sqrt((q**2).sum(1))[:, None]
+                dot = q @ at.T
+                slack = 1e-9 * norm * length
+                low = (dot - slack)[:, owner] - norm * near
+                sure = np.partition(low, low.shape[1] - k - 1, 1)[:, low.shape[1] - k - 1] if low.shape[1] > k else np.full(len(q), -np.inf)
+                need = dot + norm * radius + slack >= sure[:, None]
+                home = group_of[nearest(q, p)[0]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array([cells[x].tolist() for x in need], pa.list_(pa.int32()))], names=["vec_id", "v", "home", "needs"])
 
     bounded = keep(asked.mapInArrow(bound, "vec_id long, v array<long>, home int, needs array<int>"), "bounded")
     per_group = bounded.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
     blocked = bounded.join(F.broadcast(per_group) if groups <= 10_000 else per_group, "home")
     blocked = blocked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    parts = max(1, -(-n // ROW_BLOCK))
-    need = blocked.select("home", "block", F.explode("needs").alias("cell")).distinct()
-    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")
-    sent = celled.join(need, "cell").select(F.col("home").alias("g"), F.col("block").alias("b"), part.alias("part"), "vec_id", "v")
-    queries_sent = blocked.select(F.col("home").alias("g"), F.col("block").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "v")
+    asks = blocked.select(F.col("home").alias("g"), F.col("block").alias("b"), "vec_id", F.explode("needs").alias("cell")).join(F.broadcast(placed), "cell")
+    need = asks.select("g", "b", "cell").distinct()
+    slot = F.col("first_slot") + F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("n_slots"))
+    sent = celled.join(F.broadcast(placed), "cell").select("cell", slot.alias("slot"), "vec_id", "v").join(need, "cell").select("g", "b", "slot", "vec_id", "v")
+    asks = asks.select("g", "b", "vec_id", F.explode(F.sequence("first_slot", F.col("first_slot") + F.col("n_slots") - 1)).alias("slot")).distinct()
+    queries_sent = blocked.select(F.col("home").alias("g"), F.col("block").alias("b"), "vec_id", "v").join(asks, ["g", "b", "vec_id"])
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("vec_id")
@@ -146,7 +173,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
         got = best(*q, matrix(left.column("v"), dims), left.column("vec_id").to_numpy(), k)
         return pa.table([pa.array(c, pa.int64()) for c in got], names=["query_id", "vec_id", "score"])
 
-    key = ["g", "b", "part"]
+    key = ["g", "b", "slot"]
     found = sent.groupBy(*key).cogroup(queries_sent.groupBy(*key)).applyInArrow(solve, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

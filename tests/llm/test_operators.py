@@ -421,6 +421,17 @@ def test_top_k_equals_brute_force(spark, hot, monkeypatch):
     assert knn.top_k(v.where("vec_id < 3"), v.where("vec_id = 0")).count() == 2
 
 
+@pytest.mark.parametrize("rows", [[1], [5, 1, 1, 40, 3, 9], [100, 1], [10, 10, 10], [1] * 50, [7, 93, 1000, 2]])
+def test_slots_are_bounded_and_hold_every_cell(rows):
+    first, n = knn.slots(np.array(rows), 10)
+    held: dict[int, float] = {}
+    for r, f, m in zip(rows, first, n):
+        assert m >= 1 and r / m <= 10
+        for s in range(f, f + m):
+            held[s] = held.get(s, 0) + r / m
+    assert max(held.values()) <= 20 and len(held) <= sum(rows) // 10 + 1
+
+
 # -- classifiers
 
 
