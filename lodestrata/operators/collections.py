@@ -68,3 +68,28 @@ def highlighted(c, words: list[str]):
 
     pattern = "|".join(re.escape(w.lower()) for w in sorted(words, key=len, reverse=True))
     return F.regexp_replace(c, rf"(?iU)(?<![\p{{L}}\p{{N}}_])((?:{pattern})[\p{{L}}\p{{N}}_]*)", "**$1**") if words else c
+
+
+def owned_after(log: DataFrame, legacy: DataFrame | None = None, default_owner: str = "legacy") -> DataFrame:
+    """(owner, logical, physical) after a log of (owner, logical, at, kind): ``claim`` sets, ``release`` deletes.
+
+    legacy: (physical) names that nobody owns; they go to the default owner under their own name.
+    """
+    last = log.groupBy("owner", "logical").agg(F.max(F.struct("at", "kind")).alias("e")).where("e.kind = 'claim'")
+    own = last.select("owner", "logical", t.physical_name(F.col("owner"), F.col("logical")).alias("physical"))
+    if legacy is None:
+        return own
+    new = legacy.select("physical").distinct().join(own.select("physical"), "physical", "left_anti")
+    return own.unionByName(new.select(F.lit(default_owner).alias("owner"), F.col("physical").alias("logical"), "physical"))
+
+
+def by_name(owned_: DataFrame) -> DataFrame:
+    """(typed, physical): every name under which exactly one collection is found, as typed physically or logically."""
+    names = owned_.select(F.explode(F.array("physical", "logical")).alias("typed"), "physical").distinct()
+    return names.groupBy("typed").agg(F.min("physical").alias("physical"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+
+
+def active(jobs: DataFrame, by: str = "owner") -> DataFrame:
+    """The latest unfinished job of each owner."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("updated_at"), "job_id"))
+    return jobs.where("state = 'running'").withColumn("__n", rank).where("__n = 1").drop("__n")

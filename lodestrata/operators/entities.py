@@ -29,8 +29,9 @@ def normalized(found: DataFrame) -> DataFrame:
 
 
 def counted(found: DataFrame, mode: str = "orthographic") -> DataFrame:
-    """(key, text, filename): mentions, best_score, first place."""
-    return found.groupBy(t.cluster_key(F.col("text"), F.col("kind"), mode).alias("key"), "text", "filename").agg(
+    """(key, text, filename): mentions, best_score, first place; found's own column ``key`` goes before the mode's."""
+    key = F.col("key") if "key" in found.columns else t.cluster_key(F.col("text"), F.col("kind"), mode).alias("key")
+    return found.groupBy(key, "text", "filename").agg(
         F.count(F.lit(1)).alias("n"), F.max("score").alias("score"), F.min(F.struct("doc_id", "ord", "kind", "pos")).alias("first")
     )
 
@@ -153,3 +154,65 @@ def neighbours(edges: DataFrame, centre: str, hops: int = 2) -> DataFrame:
         frontier = step.select("v").distinct().join(seen.select("v"), "v", "left_anti").withColumn("depth", F.lit(depth))
         seen = seen.union(frontier)
     return scores.groupBy("v").agg(F.round(F.sum("gain"), 6).alias("score"), F.min("depth").alias("depth")).withColumnRenamed("v", "key")
+
+
+def totals(entities: DataFrame, kind: str | None = None, least: int = 2) -> DataFrame:
+    """unique_entities and entity_mentions of a type (any case) or of all, whatever their mentions, and how many reach ``least``."""
+    own = entities.where(F.lower("type") == kind.lower()) if kind else entities
+    return own.agg(F.count(F.lit(1)).alias("unique_entities"), F.coalesce(F.sum("mentions"), F.lit(0)).alias("entity_mentions"), F.count_if(F.col("mentions") >= least).alias("ranked"))
+
+
+def per_file_of(found: DataFrame, kind: str, least: int = 2, mode: str = "orthographic") -> DataFrame:
+    """per_file for the entities of one type and at least ``least`` mentions; ie_source_count still counts chunks with any entity."""
+    own = per_file(found.where(F.lower("kind") == kind.lower()), mode).drop("ie_source_count", "entity_density").where(F.col("entity_mentions") >= least)
+    chunks = found.groupBy("filename", "doc_id", "ord").agg(F.lit(1).alias("one")).groupBy("filename").agg(F.count(F.lit(1)).alias("ie_source_count"))
+    return own.join(chunks, "filename").withColumn("entity_density", F.round(F.col("entity_mentions") / F.col("ie_source_count"), 6))
+
+
+def distinct_per_chunk(found: DataFrame) -> DataFrame:
+    """Each entity of a chunk once in any case, in the casing of its first place."""
+    return found.groupBy("doc_id", "ord", F.lower("text").alias("low"), F.lower("kind").alias("low_kind")).agg(F.min_by("text", "pos").alias("text"), F.min("pos").alias("pos")).drop("low")
+
+
+def alias_index(stored: DataFrame) -> DataFrame:
+    """(surface, low_kind, entity_id, canonical) of stored entities (entity_id, canonical, kind, aliases); a surface of several entities is the least id's."""
+    each = stored.select("entity_id", "canonical", F.lower("kind").alias("low_kind"), F.explode(F.array_union("aliases", F.array("canonical"))).alias("surface"))
+    each = each.select(F.lower(t.strip(F.col("surface"))).alias("surface"), "low_kind", "entity_id", "canonical").where("surface <> ''")
+    return each.groupBy("surface", "low_kind").agg(F.min(F.struct("entity_id", "canonical")).alias("e")).select("surface", "low_kind", "e.*")
+
+
+def siblings(index: DataFrame, name: str) -> DataFrame:
+    """All surfaces of the entities that have this one."""
+    own = index.where(F.col("surface") == name.strip().lower()).select("entity_id").distinct()
+    return index.join(own, "entity_id", "left_semi").select("entity_id", "surface", "low_kind")
+
+
+def aggregate_resolved(found: DataFrame, index: DataFrame) -> DataFrame:
+    """aggregate() where a surface that the index knows counts for its entity (key ``ent::id``) under the stored name."""
+    keyed = found.withColumns({"surface": F.lower(t.strip(F.col("text"))), "low_kind": F.lower("kind")}).join(index, ["surface", "low_kind"], "left")
+    keyed = keyed.withColumn("key", F.coalesce(F.concat(F.lit("ent::"), "entity_id"), t.cluster_key(F.col("text"), F.col("kind"))))
+    names = index.groupBy(F.concat(F.lit("ent::"), "entity_id").alias("key")).agg(F.min("canonical").alias("canonical"))
+    return aggregate(keyed).join(names, "key", "left").withColumn("text", F.coalesce("canonical", "text")).drop("canonical")
+
+
+def endpoints(relations_: DataFrame, found: DataFrame) -> DataFrame:
+    """Relations (doc_id, ord, head, label, tail, score) whose ends are named by entities: head_key, label, tail_key, mentions, best_score.
+
+    An end takes the key that its text has in its chunk, else its compact form there, else the text's and the compact form's
+    among all mentions, each only if there is one such key; else it is its own lower-case text. Relations without an end are none.
+    """
+    m = normalized(found).select("doc_id", "ord", F.lower("text").alias("low"), t.compact_ascii(F.col("text")).alias("small"), t.cluster_key(F.col("text"), F.col("kind")).alias("key")).distinct()
+
+    def only(by: list[str], name: str) -> DataFrame:
+        return m.where(F.col(by[-1]) != "").groupBy(*by).agg(F.min("key").alias(name), F.max("key").alias("most")).where(F.col(name) == F.col("most")).drop("most")
+
+    chunk = ["doc_id", "ord"]
+    r = relations_.select(*chunk, t.strip(F.col("head")).alias("head"), F.coalesce(t.non_blank(F.col("label")), F.lit("rel")).alias("label"), t.strip(F.col("tail")).alias("tail"), F.col("score").try_cast("double").alias("score"))
+    r = r.where("head <> '' and tail <> ''")
+    for end in ("head", "tail"):
+        r = r.withColumns({"low": F.lower(end), "small": t.compact_ascii(F.col(end))})
+        for by, place in ((chunk, "l"), ([], "g")):
+            for form in ("low", "small"):
+                r = r.join(only([*by, form], f"{place}_{form}"), [*by, form], "left")
+        r = r.withColumn(f"{end}_key", F.coalesce("l_low", "l_small", "g_low", "g_small", "low")).drop("l_low", "l_small", "g_low", "g_small", "low", "small")
+    return r.groupBy("head_key", F.lower("label").alias("label"), "tail_key").agg(F.count(F.lit(1)).alias("mentions"), F.max("score").alias("best_score"))

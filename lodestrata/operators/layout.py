@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as t
 
@@ -174,3 +175,9 @@ def section_paths(lines: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("doc_id").orderBy("page_index", "line").rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("section", F.last(F.when(F.col("is_heading"), F.col("text")), ignorenulls=True).over(w))
+
+
+def style_runs(lines: DataFrame, by: str, order: str, style: str) -> DataFrame:
+    """Lines with the length of the ``run`` of neighbours of one style that they stand in."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - F.row_number().over(Window.partitionBy(by, style).orderBy(order))
+    return lines.withColumn("__i", place).withColumn("run", F.count(F.lit(1)).over(Window.partitionBy(by, style, "__i"))).drop("__i")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,3 +70,59 @@ def first_key_join(rows: DataFrame, keys: list[Column], index: DataFrame, index_
         side = index.select(F.col(index_key).cast("string").alias(f"__k{i}"), F.col(value).alias(f"__v{i}")).dropDuplicates([f"__k{i}"])
         out = out.withColumn("__k", k.cast("string")).join(side, F.col("__k") == F.col(f"__k{i}"), "left").drop("__k", f"__k{i}")
     return out.withColumn(value, F.coalesce(*[F.col(f"__v{i}") for i in range(len(keys))])).drop(*[f"__v{i}" for i in range(len(keys))])
+
+
+def with_images(texts: DataFrame, images: DataFrame, key: str = "image_id") -> DataFrame:
+    """Text hits, and those image hits whose image no text hit shows yet; ``lane`` tells them apart."""
+    new = images.join(texts.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
+    return texts.withColumn("lane", F.lit("text")).unionByName(new.withColumn("lane", F.lit("image")), allowMissingColumns=True)
+
+
+def images_of(documents: DataFrame, images: DataFrame, most: int, order: list[Column]) -> DataFrame:
+    """At most ``most`` images (source_hash) of each document (file_hash), in this order."""
+    own = images.join(documents.select(F.col("file_hash").alias("source_hash")).distinct(), "source_hash", "left_semi")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("source_hash").orderBy(*order))).where(F.col("place") <= most)
+
+
+def texts_of(ids: DataFrame, main: DataFrame, companion: DataFrame, key: str) -> DataFrame:
+    """The text of each id: that of the main lane, else, where it is blank, the companion's; null if neither has one."""
+    a = main.select(key, F.col("text").alias("__a"))
+    b = companion.select(key, F.col("text").alias("__b"))
+    text = F.coalesce(F.when(F.col("__a").rlike(r"\S"), F.col("__a")), F.when(F.col("__b").rlike(r"\S"), F.col("__b")))
+    return ids.join(a, key, "left").join(b, key, "left").select(key, text.alias("text"))
+
+
+REACH = 80  #: characters within which an edge looks for white space
+
+
+def window(parent: str | None, child: str | None, budget: int) -> str | None:
+    """At most about ``budget`` characters of the parent around the child, cut at white space; the child's head where that alone is
+    longer, null where the child isn't found. White space of any length counts as equal if the plain text isn't found."""
+    if not parent or not child or budget <= 0:
+        return None
+    if len(child) >= budget:
+        return child[:budget]
+    at = parent.find(child)
+    if at < 0:
+        words = child.split()
+        found = re.search(r"\s+".join(map(re.escape, words)), parent) if words else None
+        if not found:
+            return None
+        at = found.start()
+    half = (budget - len(child)) // 2
+    start, end = max(0, at - half), min(len(parent), at + len(child) + half)
+    if start and (blank := re.search(r"\s", parent[start : start + REACH])):
+        start += blank.end()
+    if end < len(parent) and (tail := re.search(r"\s\S*$", parent[max(start, end - REACH) : end])):
+        end = max(start, end - REACH) + tail.start()
+    return parent[start:end]
+
+
+def parent_windows(hits: DataFrame, parent: str, child: str, budget: int) -> DataFrame:
+    """hits with the ``window`` of their parent's text around their own."""
+
+    @F.pandas_udf("string")
+    def cut(p: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([window(x, y, budget) for x, y in zip(p, c)], dtype=object)
+
+    return hits.withColumn("window", cut(F.col(parent), F.col(child)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -89,3 +89,37 @@ def hit_rates(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("queries"), F.count_if(F.size("wanted") > 0).alias("expected_queries"),
         F.round(F.avg(F.when(F.size("wanted") > 0, F.coalesce(F.col("hit"), F.lit(False)).cast("int"))), 6).alias("hit_rate"),
     )
+
+
+def overview(files: DataFrame, by: str) -> DataFrame:
+    """Of each collection (files: by, filename, mimetype, node_count): document_count, node_count, file_types (label:count; the commonest first)."""
+    kinds = files.groupBy(by, t.mime_label(F.col("mimetype")).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum("node_count").alias("nodes"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "label"))), lambda x: F.concat(x["label"], F.lit(":"), (-x["o"]).cast("string")))
+    return kinds.groupBy(by).agg(F.sum("n").alias("document_count"), F.sum("nodes").alias("node_count"), F.array_join(order, ";").alias("file_types"))
+
+
+def scope(chunks: DataFrame, ids: DataFrame, budget: int, key: str = "node_id") -> DataFrame:
+    """Of chosen chunks: found, missing, est_tokens, fits."""
+    own = ids.select(key).distinct().join(chunks.select(key, t.estimated_tokens(F.col("text")).alias("n")), key, "left")
+    return own.agg(
+        F.count("n").alias("found"), F.count_if(F.col("n").isNull()).alias("missing"), F.coalesce(F.sum("n"), F.lit(0)).alias("est_tokens"),
+        (F.coalesce(F.sum("n"), F.lit(0)) <= budget).alias("fits"),
+    )
+
+
+def backfilled(chunks: DataFrame, text: Column, column: str = "search_text", force: bool = False) -> DataFrame:
+    """chunks with their search text: rows that have one keep it unless forced. ``backfill`` says what was done: skipped, empty, written."""
+    have = F.coalesce(F.col(column) != "", F.lit(False)) & F.lit(not force)
+    new = t.non_blank(text)
+    return chunks.withColumn("backfill", F.when(have, "skipped").when(new.isNull(), "empty").otherwise("written")).withColumn(column, F.when(have, F.col(column)).otherwise(new))
+
+
+def backfill_counts(done: DataFrame) -> DataFrame:
+    return done.agg(F.count(F.lit(1)).alias("scanned"), *[F.count_if(F.col("backfill") == k).alias(k) for k in ("written", "skipped", "empty")])
+
+
+def inventory(files: DataFrame, name: Column, size: Column) -> DataFrame:
+    """Files by their ending: ending (lower case; empty: none), files, bytes, label."""
+    ending = F.lower(F.regexp_extract(name, r"(\.[^./?#\\]+)(?:[?#].*)?$", 1))
+    out = files.groupBy(ending.alias("ending")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+    return out.withColumn("label", F.format_string("%s: %d (%d B)", F.coalesce(F.nullif(F.col("ending"), F.lit("")), F.lit("(none)")), F.col("files"), F.col("bytes")))

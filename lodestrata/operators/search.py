@@ -63,6 +63,36 @@ def matches(query: str, text_fields: list[str], id_fields: list[str] = ()) -> Co
     return F.coalesce(reduce(or_, out), F.lit(False)) if out else F.lit(False)
 
 
+# What can be searched by name: columns that hold prose, and columns that hold identifiers.
+FIELDS = {
+    "text": (("text",), ()),
+    "author": (("author", "vanity", "posting_author", "posting_vanity"), ("author_id", "posting_author_id")),
+    "network": (("network",), ()),
+    "uuid": ((), ("uuid", "posting_uuid")),
+}
+
+
+def by_field(df: DataFrame, field: str, query: str) -> DataFrame:
+    """Rows that the query finds in a field of FIELDS; columns that df lacks hold nothing. ValueError for other fields."""
+    if field not in FIELDS:
+        raise ValueError(f"no field {field}")
+    texts, ids = ([c for c in columns if c in df.columns] for columns in FIELDS[field])
+    return find(df, query, texts, ids)
+
+
+def total(found: DataFrame, query: str) -> DataFrame:
+    """How many rows the query finds; null for a phrase, whose hits an index alone can't tell."""
+    if len(query.split()) > 1:
+        return found.limit(0).agg(F.sum(F.lit(1)).alias("total"))
+    return found.agg(F.count(F.lit(1)).alias("total"))
+
+
+def narrowed(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet the condition, or all if none does."""
+    hit = df.where(condition)
+    return df if hit.isEmpty() else hit
+
+
 def not_coarse(df: DataFrame) -> Column:
     return F.coalesce(F.col("hier_type"), F.lit("")) != "coarse" if "hier_type" in df.columns else F.lit(True)
 

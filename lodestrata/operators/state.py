@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,3 +69,72 @@ def merge_manifest(events: DataFrame) -> DataFrame:
     out = events.groupBy("collection", "file_hash").agg(F.min(F.when(F.col("status") == "started", F.col("at"))).alias("started_at"), F.max(decisive).alias("d"), F.max("at").alias("updated_at"), F.max(F.when(F.col("status") == "started", F.col("at"))).alias("last_start"))
     status = F.when(F.col("d").isNull(), "in_progress").when((F.col("d.status") == "failed") & (F.col("last_start") > F.col("d.at")), "in_progress").otherwise(F.col("d.status"))
     return out.select("collection", "file_hash", status.alias("status"), "started_at", "updated_at", F.when(status == "failed", F.col("d.error")).alias("error"))
+
+
+def citations(turns: DataFrame, cited: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The citations of all turns: conv_id, turn, position, node_id, filename, text.
+
+    cited: (conv_id, turn, position, node_id, filename, text). What a citation doesn't hold itself comes from its chunk;
+    citations of turns that aren't there go.
+    """
+    stored = chunks.select("node_id", F.col("filename").alias("__filename"), F.col("text").alias("__text"))
+    own = cited.join(turns.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi").join(stored, "node_id", "left")
+    return own.select("conv_id", "turn", "position", "node_id", F.coalesce("filename", "__filename").alias("filename"), F.coalesce("text", "__text").alias("text"))
+
+
+def cited_files(citations_: DataFrame) -> DataFrame:
+    """The distinct files that each conversation cites."""
+    return citations_.where("filename is not null").select("conv_id", "filename").distinct()
+
+
+def _last(kind: str, value: str, at: Column) -> Column:
+    return F.max(F.when(F.col("kind") == kind, F.struct(at, F.col(value).alias("v"))))["v"]
+
+
+def fold_sessions(log: DataFrame) -> DataFrame:
+    """Sessions after a log of (conv_id, at, kind, value): owner and collection of the last ``open``, the last ``scope`` and ``validation``.
+
+    ``drop`` deletes a session with all that was set before; a session lives on if it is opened again.
+    """
+    dropped = log.where("kind = 'drop'").groupBy("conv_id").agg(F.max("at").alias("dropped_at"))
+    alive = log.join(dropped, "conv_id", "left").where("dropped_at is null or at > dropped_at")
+    out = alive.groupBy("conv_id").agg(
+        _last("open", "value", F.col("at")).alias("collection"), _last("scope", "value", F.col("at")).alias("scope"),
+        _last("validation", "value", F.col("at")).alias("validation"), F.max("at").alias("updated_at"),
+    )
+    return out.where("collection is not null")
+
+
+def fold_items(log: DataFrame) -> DataFrame:
+    """Items of reports after a log of (report_id, item_id, at, kind, value): ``add`` (value: its dedupe key), ``remove``, ``note``.
+
+    An item is there if its last add comes after its last remove; its place is that of its first add since. Of items with one
+    dedupe key the first stays.
+    """
+    gone = log.where("kind = 'remove'").groupBy("report_id", "item_id").agg(F.max("at").alias("removed_at"))
+    alive = log.join(gone, ["report_id", "item_id"], "left").where("removed_at is null or at > removed_at")
+    items = alive.groupBy("report_id", "item_id").agg(
+        F.min(F.when(F.col("kind") == "add", F.col("at"))).alias("added_at"), F.min(F.when(F.col("kind") == "add", F.struct("at", "value")))["value"].alias("dedupe_key"),
+        _last("note", "value", F.col("at")).alias("note"),
+    ).where("added_at is not null")
+    first = F.row_number().over(Window.partitionBy("report_id", "dedupe_key").orderBy("added_at", "item_id"))
+    items = items.withColumn("__n", F.when(F.col("dedupe_key").isNull(), 1).otherwise(first)).where("__n = 1").drop("__n")
+    return items.withColumn("position", F.row_number().over(Window.partitionBy("report_id").orderBy("added_at", "item_id")))
+
+
+def listed(reports: DataFrame, owner: str = "owner", at: str = "updated_at", key: str = "report_id") -> DataFrame:
+    """Rows of every owner, the latest first: ``place`` from 1."""
+    return reports.withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(F.desc(at), key)))
+
+
+def published(log: DataFrame) -> DataFrame:
+    """Summaries that may be served after a log of (collection, at, kind, expected, payload): compare and set by revision.
+
+    ``bump`` raises a collection's revision by one. ``store`` takes effect only if it expects the revision of its moment, and its
+    payload is served while no later bump came: collection, revision, payload (null: none).
+    """
+    w = Window.partitionBy("collection").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = log.withColumn("revision", F.count_if(F.col("kind") == "bump").over(w))
+    ok = (F.col("kind") == "store") & (F.col("expected") == F.col("revision"))
+    out = seen.groupBy("collection").agg(F.max("revision").alias("revision"), F.max(F.when(ok, F.struct("at", "revision", "payload"))).alias("s"))
+    return out.select("collection", "revision", F.when(F.col("s.revision") == F.col("revision"), F.col("s.payload")).alias("payload"))

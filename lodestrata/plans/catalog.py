@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import filters
+from ..functions import labels as lb
 from ..functions import text as t
 from ..operators import collections as co
 from ..operators import entities as en
-from ..operators import layout
+from ..operators import exports, layout
 from ..operators import postprocess as pp
 from ..operators import resolution, rollups, search, segment, state, summary
 from ..operators import vectors as ve
@@ -721,3 +723,437 @@ def parent_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.min("l_returnflag") == F.max("l_returnflag"), F.min("l_returnflag")).otherwise("mixed").alias("source_mix"),
     )
     return arrays
+
+
+# -- exports
+
+
+def blanks(columns: tuple[str, ...], **given: str) -> str:
+    """The select list of an export: what is given, else an empty cell."""
+    return ", ".join(f"{given.get(c, repr(''))} as {c}" for c in columns)
+
+
+@query("with " + M + ENTITIES + """
+select (row_number() over (order by mentions desc, lower(text), first))::varchar as rank, text as entity, first.k as type, mentions::varchar as mentions
+from e where mentions >= 2 qualify row_number() over (order by mentions desc, lower(text), first) <= 100""")
+def entity_stats_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.entities(en.top(entities(spark, sf_dir).where("mentions >= 2"), 100))
+
+
+def referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with a reference to what they were taken from."""
+    ref = F.struct(F.upper("filename").alias("network"), F.lit("posting").alias("type"), F.col("doc_id").alias("text_id"), F.lit(" ").alias("author"))
+    return chunks(spark, sf_dir).withColumns({"reference": ref, "row": F.col("ord")})
+
+
+@query("with " + M + " select " + blanks(exports.ENTITY_SOURCES, entity="'Thing'", source="filename", row="ord::varchar", chunk_id="node_id", chunk_text="text", network="upper(filename)", ref_type="'posting'", text_id="doc_id::varchar", author="' '") + """
+from c where exists (select 1 from m where m.doc_id = c.doc_id and m.ord = c.ord and lower(m.text) = 'thing')""")
+def entity_source_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = referenced(spark, sf_dir)
+    return exports.entity_sources(en.sources_with(en.mentions(c), c, "thing"), "Thing")
+
+
+@query("with " + CHUNKS + " select " + blanks(exports.FLAGGED, source="filename", row="ord::varchar", chunk_id="node_id", category="'toxicity'", confidence="case when quality = 1 then 'high' else 'low' end", chunk_text="text", network="upper(filename)", ref_type="'posting'", text_id="c.doc_id::varchar", author="' '") + """
+from c join labels using (doc_id) where toxic = 1""")
+def flagged_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.flagged(rollups.flagged(referenced(spark, sf_dir), flags(spark, sf_dir)))
+
+
+@query("with " + M + """,
+f as (select filename, count(*) as n, count(distinct doc_id) as p, arg_min(file_hash, {'d': doc_id, 'o': ord}) as h, max(ord) as r from c group by 1),
+k as (select filename, string_agg(distinct kind, ';' order by kind) as t from m group by 1)
+select filename, 'application/octet-stream' as mimetype, h as file_hash, n::varchar as node_count, p::varchar as page_count, case when r = 0 then '' else r::varchar end as max_rows, '' as max_duration, coalesce(t, '') as entity_types
+from f left join k using (filename)""")
+def document_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunks(spark, sf_dir)
+    listed = rollups.documents(c, en.mentions(c)).join(c.groupBy("filename").agg(F.max("ord").alias("max_rows")), "filename")
+    return exports.documents(listed.withColumn("mimetype", t.mime_of_name(F.col("filename"))))
+
+
+# -- entities: statistics, endpoints, resolved names
+
+
+@query("with " + M + ENTITIES + " select count(*) as unique_entities, sum(mentions)::bigint as entity_mentions, count(*) filter (mentions >= 2) as ranked from e where lower(first.k) = 'cap'")
+def entity_totals_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return en.totals(entities(spark, sf_dir), "Cap")
+
+
+@query("with " + M + """,
+s as (select filename, count(distinct (doc_id, ord)) as ie_source_count from m group by 1),
+f as (select filename, count(*) as entity_mentions, count(distinct key) as unique_entities from m where kind = 'CAP' group by 1)
+select filename, entity_mentions, unique_entities, ie_source_count, round(entity_mentions / ie_source_count, 6) as entity_density from f join s using (filename) where entity_mentions >= 2""")
+def entity_doc_stats_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return en.per_file_of(found(spark, sf_dir), "cap")
+
+
+@query("with " + M + """,
+d as (select doc_id, ord, lower(text) as low, lower(kind) as low_kind, arg_min(text, pos) as text, min(pos) as pos from m group by all)
+select doc_id, ord::int as ord, low_kind, text, pos::int as pos from d""")
+def entity_distinct_per_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return en.distinct_per_chunk(found(spark, sf_dir))
+
+
+ENDS = """
+n as (
+  select doc_id, ord, upper(text) as head, lead(text) over (partition by doc_id, ord, kind order by pos) as tail, pos, score from m),
+r as (select doc_id, ord, head, case pos % 3 when 0 then tail || '!' when 1 then 'The ' || tail else tail end as tail, score from n where tail is not null),
+x as (select distinct doc_id, ord, lower(text) as low, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) as small, key from m),
+ll as (select doc_id, ord, low, min(key) as key from x group by 1, 2, 3 having min(key) = max(key)),
+ls as (select doc_id, ord, small, min(key) as key from x where small <> '' group by 1, 2, 3 having min(key) = max(key)),
+gl as (select low, min(key) as key from x group by 1 having min(key) = max(key)),
+gs as (select small, min(key) as key from x where small <> '' group by 1 having min(key) = max(key)),
+i as (select row_number() over () as id, r.* from r),
+p as (select id, doc_id, ord, 'h' as side, head as raw from i union all select id, doc_id, ord, 't', tail from i),
+q as (
+  select p.id, p.side, coalesce(ll.key, ls.key, gl.key, gs.key, lower(p.raw)) as key from p
+  left join ll on ll.doc_id = p.doc_id and ll.ord = p.ord and ll.low = lower(p.raw)
+  left join ls on ls.doc_id = p.doc_id and ls.ord = p.ord and ls.small = lower(regexp_replace(p.raw, '[^A-Za-z0-9]', '', 'g'))
+  left join gl on gl.low = lower(p.raw)
+  left join gs on gs.small = lower(regexp_replace(p.raw, '[^A-Za-z0-9]', '', 'g')))"""
+
+
+@query("with " + M + "," + ENDS + """
+select h.key as head_key, 'rel' as label, t.key as tail_key, count(*) as mentions, max(i.score) as best_score
+from i join q h on h.id = i.id and h.side = 'h' join q t on t.id = i.id and t.side = 't' group by 1, 3""")
+def relation_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations between neighbours whose ends are written in other ways than the mentions."""
+    m = found(spark, sf_dir)
+    tail = F.lead("text").over(Window.partitionBy("doc_id", "ord", "kind").orderBy("pos"))
+    written = F.when(F.col("pos") % 3 == 0, F.concat("tail", F.lit("!"))).when(F.col("pos") % 3 == 1, F.concat(F.lit("The "), "tail")).otherwise(F.col("tail"))
+    r = m.withColumn("tail", tail).where("tail is not null").select("doc_id", "ord", F.upper("text").alias("head"), F.lit("").alias("label"), written.alias("tail"), "score")
+    return en.endpoints(r, m)
+
+
+ALIASES = """
+a as (
+  select lower(surface) as surface, low_kind, min({'id': id, 'name': name}) as e
+  from (select left(text, 2) as id, 'Group ' || left(text, 2) as name, lower(kind) as low_kind, unnest([text, 'Group ' || left(text, 2)]) as surface from mm where length(text) % 2 = 0) group by 1, 2),
+m as (select mm.* exclude (key), coalesce('ent::' || e.id, mm.key) as key from mm left join a on surface = lower(mm.text) and low_kind = lower(mm.kind))"""
+
+
+def stored_entities(m: DataFrame) -> DataFrame:
+    """Stored entities, from the mentions: names of even length belong to the entity of their first two letters."""
+    own = m.where(F.length("text") % 2 == 0).groupBy(F.substring("text", 1, 2).alias("entity_id"), "kind", "text").agg(F.lit(1).alias("one"))
+    return own.select("entity_id", F.concat(F.lit("Group "), "entity_id").alias("canonical"), "kind", F.array("text").alias("aliases"))
+
+
+@query("with " + M.replace("m as (\n  select *", "mm as (\n  select *") + "," + ALIASES + ENTITIES + """
+select key, case when starts_with(key, 'ent::') then 'Group ' || substr(key, 6) else text end as text, first.k as type, mentions, round(best_score, 6) as best_score, source_count from e""")
+def entity_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = found(spark, sf_dir)
+    return en.aggregate_resolved(m, en.alias_index(stored_entities(m))).select("key", "text", "type", "mentions", F.round("best_score", 6).alias("best_score"), "source_count")
+
+
+@query("with " + M.replace("m as (\n  select *", "mm as (\n  select *") + "," + ALIASES + """
+select e.id as entity_id, surface, low_kind from a where e.id in (select e.id from a where surface = 'group th')""")
+def entity_alias_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return en.siblings(en.alias_index(stored_entities(found(spark, sf_dir))), "Group Th")
+
+
+# -- search by field, totals, pages
+
+
+POSTS = "select event_id, ts as timestamp, case when event_id % 11 = 0 then 'nextext' else event_type end as network, 'User ' || user_id || ' Smith' as author, user_id as author_id, md5(event_id::varchar) as uuid, case when event_id % 3 = 0 then 'Poster ' || (user_id % 7) end as posting_author, ' ' || event_type || ' ' as text from events"
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as posts of a network."""
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").alias("timestamp"), F.when(F.col("event_id") % 11 == 0, "nextext").otherwise(F.col("event_type")).alias("network"),
+        F.concat(F.lit("User "), "user_id", F.lit(" Smith")).alias("author"), F.col("user_id").alias("author_id"), F.md5(F.col("event_id").cast("string")).alias("uuid"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Poster "), F.col("user_id") % 7)).alias("posting_author"), F.concat(F.lit(" "), "event_type", F.lit(" ")).alias("text"),
+    )
+
+
+SEVEN = hashlib.md5(b"7").hexdigest()
+
+
+def by_field(name: str, field: str, q: str, where: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.by_field(posts(spark, sf_dir), field, q).select("event_id", "network", "author")
+
+    run.__name__ = name
+    query(f"with p as ({POSTS}) select event_id, network, author from p where {where}")(run)
+
+
+by_field("search_author_phrase", "author", "user 7 smith", "lower(author) like '%user 7 smith%' or lower(coalesce(posting_author, '')) like '%user 7 smith%'")
+by_field("search_author_name", "author", "poster", "posting_author is not null")
+by_field("search_author_id", "author", "77", r"author_id = 77 or regexp_matches(lower(author), '(^|[^\p{L}\p{N}_])77')")
+by_field("search_network", "network", "purch", "network like 'purch%'")
+by_field("search_uuid", "uuid", f"{SEVEN[:8]}-{SEVEN[8:12]}-{SEVEN[12:16]}-{SEVEN[16:20]}-{SEVEN[20:]}".upper(), f"uuid = '{SEVEN}'")
+
+
+@query(f"with p as ({POSTS}) select count(*) as total from p where network = 'purchase'")
+def search_total_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.total(search.by_field(posts(spark, sf_dir), "network", "purchase"), "purchase")
+
+
+@query("with " + CHUNKS + """
+select node_id, filename, text from c join labels using (doc_id) where toxic = 1 and node_id > '2' order by node_id limit 20""")
+def flagged_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of flagged findings behind a cursor."""
+    hits = rollups.flagged(chunks(spark, sf_dir), flags(spark, sf_dir))
+    return search.page(hits, "node_id", 20, search.encode_cursor("2")).select("node_id", "filename", "text")
+
+
+@query("with " + M + """
+select node_id, filename from c where exists (select 1 from m where m.doc_id = c.doc_id and m.ord = c.ord and lower(m.text) = 'thing') and node_id > '1' order by node_id limit 20""")
+def entity_sources_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunks(spark, sf_dir)
+    return search.page(en.sources_with(en.mentions(c), c, "thing"), "node_id", 20, search.encode_cursor("1")).select("node_id", "filename")
+
+
+@query("with a as (select source, count(*) as documents from documents where lang = 'xx' or not exists (select 1 from documents where lang = 'xx') group by 1) select * from a")
+def sources_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter that nothing meets is no filter."""
+    return search.narrowed(table(spark, sf_dir, "documents"), F.col("lang") == "xx").groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+
+
+# -- lanes, windows and labels of sources
+
+
+@query("""
+with d as (select doc_id, source, case when doc_id % 4 <> 0 then md5(text) end as image_id from documents),
+x as (select doc_id, image_id, 'text' as lane from d where doc_id % 2 = 0
+      union all select doc_id, image_id, 'image' from d o where doc_id % 2 = 1 and not exists (select 1 from d where doc_id % 2 = 0 and image_id = o.image_id))
+select * from x""")
+def image_lane_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.md5("text")).alias("image_id"))
+    return pp.with_images(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"))
+
+
+@query("""
+with d as (select doc_id, md5(coalesce(source, '') || (doc_id % 50)) as file_hash from documents), h as (select distinct file_hash from d where doc_id % 2 = 0)
+select vec_id, source_hash, row_number() over (partition by source_hash order by vec_id)::int as place
+from (select e.vec_id, d.file_hash as source_hash from embeddings e join d on d.doc_id = e.vec_id) where source_hash in (select file_hash from h)
+qualify row_number() over (partition by source_hash order by vec_id) <= 3""")
+def images_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(F.coalesce("source", F.lit("")), F.col("doc_id") % 50)).alias("file_hash"))
+    images = table(spark, sf_dir, "embeddings").select("vec_id").join(d.select(F.col("doc_id").alias("vec_id"), F.col("file_hash").alias("source_hash")), "vec_id")
+    return pp.images_of(d.where("doc_id % 2 = 0"), images, 3, [F.col("vec_id")]).select("vec_id", "source_hash", "place")
+
+
+@query(r"""
+select l.doc_id, sha256(coalesce(case when d.doc_id % 2 = 0 and regexp_matches(d.text, '\S') then d.text end, b.text, 'none')) as text_hash
+from (select distinct doc_id from labels) l left join documents d on d.doc_id = l.doc_id left join benchmark b on b.item_id = l.doc_id""")
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("text"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    got = pp.texts_of(table(spark, sf_dir, "labels").select("doc_id").distinct(), d, b, "doc_id")
+    return got.select("doc_id", F.sha2(F.coalesce("text", F.lit("none")), 256).alias("text_hash"))
+
+
+@query()
+def parent_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """600 characters around every line of a document; a test holds the rule."""
+    c = chunks(spark, sf_dir)
+    parents = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("parent"))
+    return pp.parent_windows(c.join(parents, "doc_id"), "parent", "text", 600).select("node_id", F.length("window").alias("chars"), F.sha2("window", 256).alias("window_hash"))
+
+
+@query(f"with p as ({POSTS})" + r"""
+select event_id, 'network: ' || network || chr(10) as head,
+  concat_ws(chr(10), '- Network: ' || network, '- UUID: ' || uuid, '- Posting Author: ' || posting_author, '- Author: ' || author, '- Author ID: ' || author_id, '- Text: ' || trim(text)) as block,
+  coalesce(posting_author, case when network = 'nextext' then '' else author end) as posted_by, 5 + (posting_author is not null)::int as items, uuid as posting_group
+from p""")
+def reference_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["network", "uuid", "author", "author_id", "posting_author", "text"]
+    p = posts(spark, sf_dir).select("event_id", "network", F.struct(*fields).alias("ref"))
+    return p.select(
+        "event_id", F.concat(F.lit("network: "), "network", F.lit("\n")).alias("head"), lb.reference_block(F.col("ref"), fields).alias("block"), lb.posting_value(F.col("ref"), fields, "author").alias("posted_by"),
+        F.size(lb.reference_items(F.col("ref"), fields)).alias("items"), lb.first_text(F.lit(" "), F.col("ref.uuid")).alias("posting_group"),
+    )
+
+
+@query(r"""
+select c_custkey, c_name || ' (p' || c_nationkey || case when c_custkey % 2 = 0 then ', row ' || c_custkey else '' end || ')' as label,
+  case when c_custkey % 3 = 0 then c_name || ' (Row ' || c_custkey || ')' else c_name || ' (Page ' || c_nationkey || ')' end || ' ' || format('[{:.3f}]', round(c_custkey / 8.0, 3)::double) as line,
+  replace(c_mktsegment || '|' || c_name, '|', '\|') || '<br>x' as cell, regexp_replace(c_name, '[^A-Za-z0-9._-]+', '_', 'g') as fragment, false as has_blank, c_acctbal as amount
+from customer""")
+def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    odd = F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey"))
+    page = F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey"))
+    return c.select(
+        "c_custkey", lb.source_label(F.col("c_name"), F.col("c_nationkey"), odd).alias("label"), lb.source_line(F.col("c_name"), page, F.col("c_custkey"), F.col("c_custkey") / 8).alias("line"),
+        lb.markdown_cell(F.concat("c_mktsegment", F.lit("|"), "c_name", F.lit("\r\nx "))).alias("cell"), lb.file_fragment(F.concat(F.lit(" "), "c_name", F.lit("_ "))).alias("fragment"),
+        lb.has_blank(F.col("c_mktsegment")).alias("has_blank"), lb.number(F.col("c_acctbal").cast("string")).alias("amount"),
+    )
+
+
+@query("""
+with s as (select o_orderkey, o_orderdate, (o_totalprice * (o_orderkey % 5 - 1))::double as x, trunc(o_totalprice * (o_orderkey % 5 - 1))::bigint as n from orders)
+select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day, case when n <= 0 then '00:00' when n >= 86400 then format('{}d {:02d}:{:02d}:{:02d}', n // 86400, n // 3600 % 24, n // 60 % 60, n % 60)
+  when n >= 3600 then format('{}:{:02d}:{:02d}', n // 3600, n // 60 % 60, n % 60) else format('{:02d}:{:02d}', n // 60, n % 60) end as elapsed from s""")
+def elapsed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    day = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" or so")))
+    return o.select("o_orderkey", lb.date_only(day).alias("day"), lb.elapsed(F.col("o_totalprice") * (F.col("o_orderkey") % 5 - 1)).alias("elapsed"))
+
+
+@query("""
+select conv_id, turn, case when turn % 3 = 2 then ['a'] when turn % 3 = 1 then ['b', 'a'] else ['c'] end as evidence, sha256(trim(text)) as text_hash from conversations""")
+def evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose last line names the chunks that they rest on: usable numbers, in their order, else the first chunk."""
+    end = F.when(F.col("turn") % 3 == 1, "\nEVIDENCE_INDICES: 2, 9, 1, 3").when(F.col("turn") % 3 == 0, "\nEVIDENCE_INDICES: 3").otherwise("")
+    c = table(spark, sf_dir, "conversations").withColumn("said", F.concat("text", end))
+    return c.select("conv_id", "turn", lb.evidence(F.col("said"), F.array(*map(F.lit, "abc"))).alias("evidence"), F.sha2(lb.without_evidence(F.col("said")), 256).alias("text_hash"))
+
+
+@query("""
+select conv_id, turn, case when turn >= 2 then null when length(text) % 10 < 5 and length(text) % 3 = 0 then 'low confidence, missing entities' when length(text) % 10 < 5 then 'low confidence' when length(text) % 3 = 0 then 'missing entities' end as reason
+from conversations""")
+def clarifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text")
+    names = F.when(n % 3 != 0, F.array(F.col("role"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", lb.clarification((n % 10) / 10, names, F.col("turn"), need_entities=True).alias("reason"))
+
+
+# -- sessions, reports, owners and jobs
+
+
+@query("""
+select conv_id, string_agg('**' || role || ':** ' || coalesce(text, ''), chr(10) || chr(10) order by turn) as markdown from conversations group by 1""")
+def session_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.transcript(table(spark, sf_dir, "conversations"))
+
+
+CITED = CHUNKS + """,
+k as (select conv_id, turn, row_number() over () * 0 + 1 as position, (conv_id % 200) || ':0' as node_id, case when turn % 2 = 0 then 'own name' end as filename from conversations where role = 'assistant')"""
+
+
+def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    k = turns.where("role = 'assistant'").select("conv_id", "turn", F.lit(1).alias("position"), F.concat(F.col("conv_id") % 200, F.lit(":0")).alias("node_id"), F.when(F.col("turn") % 2 == 0, "own name").alias("filename"), F.lit(None).cast("string").alias("text"))
+    return state.citations(turns, k, chunks(spark, sf_dir))
+
+
+@query("with " + CITED + " select conv_id, turn, position::int as position, k.node_id, coalesce(k.filename, c.filename) as filename, c.text from k left join c on c.node_id = k.node_id")
+def session_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cited(spark, sf_dir)
+
+
+@query("with " + CITED + " select distinct conv_id, coalesce(k.filename, c.filename) as filename from k left join c on c.node_id = k.node_id where coalesce(k.filename, c.filename) is not null")
+def session_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.cited_files(cited(spark, sf_dir))
+
+
+LOG = "select user_id, event_id as t, case event_id % 7 when 0 then 'drop' when 1 then 'open' when 2 then 'scope' when 3 then 'validation' else 'open' end as kind, 'v' || event_id as value from events"
+
+
+@query(f"""
+with l as ({LOG}), d as (select user_id, max(t) as dropped from l where kind = 'drop' group by 1),
+a as (select l.* from l left join d using (user_id) where dropped is null or t > dropped)
+select user_id as conv_id, max_by(value, t) filter (kind = 'open') as collection, max_by(value, t) filter (kind = 'scope') as scope, max_by(value, t) filter (kind = 'validation') as validation, max(t) as updated_at
+from a group by 1 having count(*) filter (kind = 'open') > 0""")
+def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") % 7
+    kind = F.when(n == 0, "drop").when(n == 2, "scope").when(n == 3, "validation").otherwise("open")
+    return state.fold_sessions(table(spark, sf_dir, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("at"), kind.alias("kind"), F.concat(F.lit("v"), "event_id").alias("value")))
+
+
+@query("""
+with l as (select user_id % 50 as report_id, user_id % 20 as item_id, event_id as t, case event_id % 6 when 0 then 'remove' when 1 then 'note' else 'add' end as kind, event_id from events),
+g as (select report_id, item_id, max(t) as gone from l where kind = 'remove' group by 1, 2),
+a as (select l.* from l left join g using (report_id, item_id) where gone is null or t > gone),
+i as (
+  select report_id, item_id, min(t) filter (kind = 'add') as added_at, 'k' || (min_by(event_id, t) filter (kind = 'add') % 4) as dedupe_key, 'n' || max_by(event_id, t) filter (kind = 'note') as note
+  from a group by 1, 2 having count(*) filter (kind = 'add') > 0),
+f as (select * from i qualify row_number() over (partition by report_id, dedupe_key order by added_at, item_id) = 1)
+select *, row_number() over (partition by report_id order by added_at, item_id)::int as position from f""")
+def report_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") % 6
+    kind = F.when(n == 0, "remove").when(n == 1, "note").otherwise("add")
+    value = F.when(n == 1, F.concat(F.lit("n"), "event_id")).otherwise(F.concat(F.lit("k"), F.col("event_id") % 4))
+    return state.fold_items(table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("report_id"), (F.col("user_id") % 20).alias("item_id"), F.col("event_id").alias("at"), kind.alias("kind"), value.alias("value")))
+
+
+@query("""
+with r as (select o_custkey % 40 as owner, o_orderkey as report_id, o_orderdate as updated_at from orders)
+select owner, report_id, row_number() over (partition by owner order by updated_at desc, report_id)::int as place from r""")
+def report_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("owner"), F.col("o_orderkey").alias("report_id"), F.col("o_orderdate").alias("updated_at"))
+    return state.listed(o).drop("updated_at")
+
+
+@query("""
+with l as (select user_id as collection, event_id as t, case when event_id % 3 = 0 then 'bump' else 'store' end as kind, event_id % 4 as expected, 'p' || event_id as payload from events),
+s as (select *, count(*) filter (kind = 'bump') over (partition by collection order by t) as revision from l),
+o as (select collection, max(revision) as revision, max({'at': t, 'r': revision, 'p': payload}) filter (kind = 'store' and expected = revision) as s from s group by 1)
+select collection, revision, case when s.r = revision then s.p end as payload from o""")
+def summary_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("collection"), F.col("event_id").alias("at"), F.when(F.col("event_id") % 3 == 0, "bump").otherwise("store").alias("kind"), (F.col("event_id") % 4).alias("expected"), F.concat(F.lit("p"), "event_id").alias("payload"))
+    return state.published(e)
+
+
+OWNED = """
+l as (select 'o' || (user_id % 20) as owner, event_type as logical, max({'at': event_id, 'kind': case when event_id % 2 = 0 then 'claim' else 'release' end}) as e from events group by 1, 2),
+n as (select owner, logical, 'u' || left(sha256(owner), 12) || '__' || logical as physical from l where e.kind = 'claim' union all select 'legacy', source, source from (select distinct source from documents where source is not null))"""
+
+
+def owned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_id") % 2 == 0, "claim").otherwise("release")
+    log = table(spark, sf_dir, "events").select(F.concat(F.lit("o"), F.col("user_id") % 20).alias("owner"), F.col("event_type").alias("logical"), F.col("event_id").alias("at"), kind.alias("kind"))
+    return co.owned_after(log, table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("physical")))
+
+
+@query("with " + OWNED + " select * from n")
+def owned_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return owned_names(spark, sf_dir)
+
+
+@query("with " + OWNED + ", x as (select distinct unnest([physical, logical]) as typed, physical from n) select typed, min(physical) as physical from x group by 1 having count(*) = 1")
+def collection_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.by_name(owned_names(spark, sf_dir))
+
+
+@query("""
+with j as (select o_custkey % 40 as owner, o_orderkey as job_id, o_orderdate as updated_at from orders where o_orderstatus = 'O')
+select owner, job_id from j qualify row_number() over (partition by owner order by updated_at desc, job_id) = 1""")
+def active_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("owner"), F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("updated_at"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("done").alias("state"))
+    return co.active(o).select("owner", "job_id")
+
+
+# -- roll-ups of collections
+
+
+@query("""
+with f as (select lang, doc_id, case doc_id % 3 when 0 then 'PDF' when 1 then 'CSV' else 'UNKNOWN' end as label, n_chars from documents where lang is not null),
+k as (select lang, label, count(*) as n, sum(n_chars) as nodes from f group by 1, 2)
+select lang, sum(n)::bigint as document_count, sum(nodes)::bigint as node_count, string_agg(label || ':' || n, ';' order by n desc, label) as file_types from k group by 1""")
+def collection_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 3 == 0, "application/pdf").when(F.col("doc_id") % 3 == 1, "text/csv")
+    return rollups.overview(table(spark, sf_dir, "documents").where("lang is not null").select("lang", kind.alias("mimetype"), F.col("n_chars").alias("node_count")), "lang")
+
+
+@query("with " + CHUNKS + """,
+i as (select distinct doc_id || ':0' as node_id from labels union select 'nowhere')
+select count(c.node_id) as found, count(*) filter (c.node_id is null) as missing, coalesce(sum(ceil(length(c.text) / 3.5)), 0)::bigint as est_tokens, coalesce(sum(ceil(length(c.text) / 3.5)), 0) <= 100000 as fits
+from i left join c using (node_id)""")
+def scope_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "labels").select(F.concat("doc_id", F.lit(":0")).alias("node_id")).union(spark.range(1).select(F.lit("nowhere")))
+    return rollups.scope(chunks(spark, sf_dir), ids, 100_000)
+
+
+@query(r"""
+with d as (select case when doc_id % 3 = 0 then 'had' else '' end as s, case when doc_id % 5 = 0 then ' ' else text end as t from documents)
+select count(*) as scanned, count(*) filter (s = '' and coalesce(regexp_matches(t, '\S'), false)) as written, count(*) filter (s <> '') as skipped, count(*) filter (s = '' and not coalesce(regexp_matches(t, '\S'), false)) as empty from d""")
+def search_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("search_text", F.when(F.col("doc_id") % 3 == 0, "had").otherwise(""))
+    return rollups.backfill_counts(rollups.backfilled(d, F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("text"))))
+
+
+@query(r"""
+with p as (select lower(regexp_extract(regexp_replace(url, '^.*://[^/]*', ''), '(\.[^./?#]+)(?:[?#].*)?$', 1)) as ending, length(html) as n from pages)
+select ending, count(*) as files, coalesce(sum(n), 0)::bigint as bytes, coalesce(nullif(ending, ''), '(none)') || ': ' || count(*) || ' (' || coalesce(sum(n), 0) || ' B)' as label from p group by 1""")
+def input_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.inventory(table(spark, sf_dir, "pages"), F.regexp_replace("url", "^.*://[^/]*", ""), F.length("html").cast("long"))
+
+
+@query("""
+with g as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) - row_number() over (partition by user_id, event_type order by event_id) as island from events)
+select user_id, event_id, event_type, count(*) over (partition by user_id, event_type, island) as run from g""")
+def style_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many neighbours of one kind each row stands among."""
+    return layout.style_runs(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")

@@ -387,3 +387,48 @@ def test_references_follow_their_export(spark):
     assert (c.text_id, c.parent_text, c.anchor_text, c.type) == ("c1", "parent", "post", "comment") and "url" not in c.asDict()
     p = row("postings", Posting_ID="p1", Text_Content="Posting body", URL="https://e").reference_metadata
     assert (p.text_id, p.url, p.parent_text, p.anchor_text) == ("p1", "https://e", None, None)
+
+
+# -- labels, lanes and logs
+
+
+def test_window_of_a_parent():
+    from lodestrata.operators.postprocess import window
+
+    parent = " ".join(f"word{i}" for i in range(200))
+    got = window(parent, "word100", 60)
+    assert "word100" in got and len(got) <= 60 and all(w in parent.split() for w in got.split())
+    assert window(parent, "word0", 40).startswith("word0 ") and window(parent, "word199", 40).endswith("word199")
+    assert "word7 word8" in window(parent, "word7\n  word8", 60)
+    assert window(parent, "nowhere", 60) is None and window(None, "a", 9) is None and window("a", None, 9) is None and window("a", "a", 0) is None
+    assert window("abcdef", "abcdef", 4) == "abcd"
+    assert window("x" * 500 + "needle" + "y" * 500, "needle", 26) == "x" * 10 + "needle" + "y" * 10
+
+
+def test_labels_of_odd_values(spark):
+    from lodestrata.functions import labels as lb
+
+    one = spark.range(1)
+    s = lambda v: F.lit(v).cast("string")
+    got = one.select(
+        lb.source_label(s(" "), s(None), s(None)).alias("a"), lb.source_line(s(""), s(None), s("4")).alias("b"), lb.markdown_cell(s(None)).alias("c"), lb.date_only(s("no day at all")).alias("d"),
+        lb.has_blank(s("")).alias("e"), lb.file_fragment(s("/__/")).alias("f"), lb.elapsed(F.lit(float("nan"))).alias("g"), lb.elapsed(F.lit(90061.9)).alias("h"),
+        lb.caption(s("printed"), s(" "), F.array(F.lit("a"), F.lit("b"))).alias("i"), lb.caption(s(None), s(None), F.array().cast("array<string>")).alias("j"),
+        lb.evidence(s("EVIDENCE_INDICES: 3\nmore\nEVIDENCE_INDICES: 9, 2"), F.array(F.lit("x"), F.lit("y"))).alias("k"), lb.clarification(F.lit(0.1), F.array(F.lit("x")), F.lit(2)).alias("l"), lb.number(s("x")).alias("m"),
+    ).first()
+    assert tuple(got) == ("Unknown", "(Row 4)", "", "no day at ", True, "collection", "00:00", "1d 01:01:01", "printed\n\nTags: a, b", "", ["y"], None, None)
+
+
+def test_totals_of_phrases_and_unknown_fields(spark):
+    df = spark.createDataFrame([("a b", "xy"), ("a", "yz")], "text string, author string")
+    assert search.total(search.by_field(df, "text", "a b"), "a b").first().total is None
+    assert search.total(search.by_field(df, "author", "xy"), "xy").first().total == 1
+    assert search.by_field(df, "author", "x").count() == 0 and search.by_field(df, "network", "xy").count() == 0
+    with pytest.raises(ValueError):
+        search.by_field(df, "lang", "x")
+
+
+def test_stores_and_bumps_of_a_summary(spark):
+    log = [("c", 1, "store", 0, "first"), ("c", 2, "bump", None, None), ("c", 3, "store", 0, "late"), ("d", 1, "bump", None, None), ("d", 2, "store", 1, "good"), ("e", 1, "store", 7, "never")]
+    got = {r.collection: (r.revision, r.payload) for r in state.published(spark.createDataFrame(log, "collection string, at int, kind string, expected int, payload string")).collect()}
+    assert got == {"c": (1, None), "d": (1, "good"), "e": (0, None)}
