@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, knn, lines, ngram_jaccard, packing, quality, toxicity, url_lists, warc
+from . import avi, bpe, divergence, knn, lines, ngram_jaccard, packing, quality, toxicity, url_lists, warc
 from .common import read
 
 
@@ -113,7 +113,34 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-FUNCTIONS = (op1_line_dedup, op2_warc_derivatives, op3_avi_motion_jpeg, op4_best_fit_packing, op5_voronoi_knn, op6_toxicity, op7_quality, op8_ngram_jaccard, op9_url_filters, op10_byte_bpe)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+OP13 = r"""
+with d as (select row_number() over () as r, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+w as (
+  select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from d),
+k as (select lang, term, count(*) as in_lang from w group by 1, 2 having count(distinct r) >= 30),
+v as (select lang, count(*) as v, sum(in_lang) as n from k group by 1),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from w join k using (lang, term) group by 1, 2, 3),
+t as (select lang, source, coalesce(sum(n), 0) as total from g left join c using (lang, source) group by 1, 2),
+p as (
+  select lang, source, term, coalesce(c.n, 0) as n, 1 + ((coalesce(c.n, 0) + 5)::hugeint * 1000000000) // (total + 5 * v)::hugeint as p,
+    1 + ((in_lang + 5)::hugeint * 1000000000) // (v.n + 5 * v)::hugeint as q
+  from t join k using (lang) join v using (lang) left join c using (lang, source, term)),
+s as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b using (lang, term) where a.source <> b.source group by 1, 2, 3),
+o as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all select lang, source, 'term', term, (p - q)::bigint from p where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from o)
+select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 50
+"""
+
+FUNCTIONS = (op1_line_dedup, op2_warc_derivatives, op3_avi_motion_jpeg, op4_best_fit_packing, op5_voronoi_knn, op6_toxicity, op7_quality, op8_ngram_jaccard, op9_url_filters, op10_byte_bpe, op13_source_divergence)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in FUNCTIONS}
 
-ORACLES: dict[str, str] = {"op5_voronoi_knn": OP5, "op9_url_filters": OP9}
+ORACLES: dict[str, str] = {"op5_voronoi_knn": OP5, "op9_url_filters": OP9, "op13_source_divergence": OP13}

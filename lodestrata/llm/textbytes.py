@@ -70,6 +70,40 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 18):
         lo = hi
 
 
+def table(ranges: list[tuple[int, int]]) -> np.ndarray:
+    """Which of 256 byte values lie in one of the ranges, both ends included."""
+    out = np.zeros(256, bool)
+    for lo, hi in ranges:
+        out[lo : hi + 1] = True
+    return out
+
+
+NOT_SPACE = ~SPACE
+
+
+def tokens(data: np.ndarray, offs: np.ndarray, inner: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """All maximal runs of ``inner`` bytes of a block's rows as one Arrow column, and where each row's begin (one more at the end).
+
+    What is no inner byte must be ASCII, so that no character is cut. No Python object for a word.
+    """
+    use = inner[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offs] = True
+    first, last = use.copy(), use.copy()
+    first[1:] &= ~use[:-1] | edge[1:-1]
+    last[:-1] &= ~use[1:] | edge[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    places = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[use]))
+    return words, np.searchsorted(starts, offs)
+
+
+def coded(words: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+    """A number for each word, and the words by number."""
+    d = words.dictionary_encode()
+    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
+
+
 class Spans:
     """Hashes of any byte spans of a block by prefix sums."""
 
