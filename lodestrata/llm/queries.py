@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, divergence, knn, lines, ngram_jaccard, packing, quality, toxicity, url_lists, warc
+from . import avi, bpe, decontamination, divergence, filter_audit, knn, lines, ngram_jaccard, packing, quality, toxicity, url_lists, warc
 from .common import read
 
 
@@ -113,6 +113,61 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op11_sql() -> str:
+    """Every run of 1 to 10 words of a document, beside every window of as many."""
+    words = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    leads = ", ".join(f"lead(word, {k}) over (partition by r order by pos) as w{k}" for k in range(1, 10))
+    runs = " union all ".join(f"select r, pos, {k} as size, {" || ' ' || ".join(['word', *(f'w{i}' for i in range(1, k))])} as passage from n" for k in range(1, 11))
+    return f"""
+with b as (select item_id, {words} as words from benchmark),
+s as (select item_id, words, unnest(range(1, greatest(len(words) - 8, 2))) as start from b where len(words) > 0),
+k as (select distinct item_id, least(len(words), 10) as size, array_to_string(words[start:start + 9], ' ') as passage from s),
+d as (select row_number() over () as r, doc_id, coalesce({words}, []) as words from documents),
+w as (select r, unnest(words) as word, generate_subscripts(words, 1) as pos from d),
+n as (select *, {leads} from w),
+h as (select r, pos, size, item_id from ({runs}) join k using (size, passage)),
+c as (select r, count(distinct hit) as n_hit from (select r, unnest(range(pos, pos + size)) as hit from h) group by 1),
+i as (select r, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from h group by 1)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from d left join c using (r) left join i using (r)
+"""
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+OP12 = r"""
+with d as (select doc_id, coalesce(text, '') as text, coalesce(source, '') as part from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from d),
+o as (select text, min(doc_id) as first from d group by 1),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by 1),
+x as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    (len(words) < 50)::int + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::int + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::int
+    + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(first < doc_id, false)::int as fails
+  from w join o using (text) left join l using (doc_id)),
+c as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from x group by 1, 2),
+f as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(x, b)),
+p as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order, [a.b, b.b, c.b, d.b, e.b] as bits
+  from f a join f b on a.b <> b.b join f c on c.b not in (a.b, b.b) join f d on d.b not in (a.b, b.b, c.b) join f e on e.b not in (a.b, b.b, c.b, d.b)),
+s as (select filter_order, step::int as step, bits[step] as bit, list_sum(bits[1:step])::int - bits[step] as seen from p, range(1, 6) t(step)),
+r as (
+  select part, filter_order, step, bit, sum(n) filter (fails & (seen | bit) = 0) as kept, sum(n) filter (fails & bit > 0 and fails & seen = 0) as removed,
+    sum(n) filter (fails & bit > 0 and fails & seen > 0) as redundant, sum(n) filter (fails = bit) as unique_fails,
+    sum(good) filter (fails & bit > 0 and fails & seen = 0) as good_lost, sum(toxic) filter (fails & bit > 0 and fails & seen = 0) as toxic_lost
+  from c, s group by 1, 2, 3, 4)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+  coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost, coalesce(sum(removed) over (partition by part, bit), 0)::bigint as shapley
+from r
+"""
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
@@ -140,7 +195,7 @@ r as (select *, row_number() over (partition by lang, source, part order by valu
 select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 50
 """
 
-FUNCTIONS = (op1_line_dedup, op2_warc_derivatives, op3_avi_motion_jpeg, op4_best_fit_packing, op5_voronoi_knn, op6_toxicity, op7_quality, op8_ngram_jaccard, op9_url_filters, op10_byte_bpe, op13_source_divergence)
+FUNCTIONS = (op1_line_dedup, op2_warc_derivatives, op3_avi_motion_jpeg, op4_best_fit_packing, op5_voronoi_knn, op6_toxicity, op7_quality, op8_ngram_jaccard, op9_url_filters, op10_byte_bpe, op11_decontamination, op12_filter_interactions, op13_source_divergence)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in FUNCTIONS}
 
-ORACLES: dict[str, str] = {"op5_voronoi_knn": OP5, "op9_url_filters": OP9, "op13_source_divergence": OP13}
+ORACLES: dict[str, str] = {"op5_voronoi_knn": OP5, "op9_url_filters": OP9, "op11_decontamination": op11_sql(), "op12_filter_interactions": OP12, "op13_source_divergence": OP13}
