@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, tidied
+from .common import discard, keep, tidied
 
 LEAST_PIVOTS, MOST_PIVOTS = 64, 1024  #: between these there are about as many as the root of the rows
 QUERY_BLOCK, ROW_BLOCK = 512, 16384  #: at most about so many meet in one task
@@ -26,9 +26,10 @@ BOUND_BLOCK = 128  #: queries whose bounds are computed at once
 
 
 def scaled(embedding: Column, factor: float = 1024.0) -> Column:
-    """floor(factor * x) of every component, as longs; null for vectors that are null, empty or hold null or non-finite components."""
+    """floor(factor * x) of every component, as longs; null for vectors that are null, empty or hold null or non-finite components. An integer beyond 64 bits is an error."""
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when((F.size(embedding) > 0) & ~F.coalesce(bad, F.lit(True)), F.transform(embedding, lambda x: F.floor(F.lit(factor) * x.cast("double")).cast("long")))
+    long = lambda x: F.when(F.abs(x) < 2.0**63, F.floor(x).cast("long")).otherwise(F.raise_error(F.lit("a scaled component needs more than 64 bits")))
+    return F.when((F.size(embedding) > 0) & ~F.coalesce(bad, F.lit(True)), F.transform(embedding, lambda x: long(F.lit(factor) * x.cast("double"))))
 
 
 def matrix(col: pa.Array, dims: int) -> np.ndarray:
@@ -53,11 +54,13 @@ def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, row id, score) of each query's k best rows, its own left out; ties to smaller ids. ids go up."""
-    small = np.sqrt((q.astype(float) ** 2).sum(1).max(initial=0)) * np.sqrt((x.astype(float) ** 2).sum(1).max(initial=0)) < 2**52
-    s = np.rint(q.astype(float) @ x.T.astype(float)).astype(np.int64) if small else q @ x.T
+    most = np.sqrt((q.astype(float) ** 2).sum(1).max(initial=0)) * np.sqrt((x.astype(float) ** 2).sum(1).max(initial=0))
+    if most < 2**52:
+        s = np.rint(q.astype(float) @ x.T.astype(float)).astype(np.int64)
+    else:  # Python's integers where a sum may leave 64 bits
+        s = q @ x.T if most < 2**62 else q.astype(object) @ x.T.astype(object)
     own = q_ids[:, None] == ids[None]
-    least = np.iinfo(np.int64).min
-    s[own] = least
+    s[own] = -(1 << 63) if s.dtype != object else -(1 << 200)
     out = []
     for i in range(len(q)):
         row = s[i]
@@ -85,14 +88,17 @@ def slots(rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows with the greatest inner product, all if there are fewer.
 
-    vectors and queries: (vec_id long, v array<long>); null vectors and ids take no part. A query's own rows are those
-    with its id. Vectors of different lengths are ended by zeros. Either table may be empty. Products must stay
-    within 64 bits.
+    vectors and queries: (vec_id long, v array<long>); null vectors and ids take no part. A query is an id: of rows
+    that repeat it the least vector asks, once. All rows with its id are its own and no results, however many; rows of another
+    id are results one by one, also equal ones. Vectors of different lengths are ended by zeros. Either table may be
+    empty. A result's score beyond 64 bits is an error, as it can't be returned. Other columns aren't looked at.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = keep(vectors.select("vec_id", "v").where("vec_id is not null and v is not null"), "vectors")
-    asked = keep(queries.select("vec_id", "v").where("vec_id is not null and v is not null"), "asked")
+    asked = queries.where("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
+    own = rows.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").agg(F.count(F.lit(1)).alias("own"))
+    asked = keep(asked.join(own, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(0)).alias("own")), "asked")
     n, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     n_asked, wide = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if not n or not n_asked:
@@ -151,12 +157,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int | Non
                 dot = q @ at.T
                 slack = 1e-9 * norm * length
                 low = (dot - slack)[:, owner] - norm * near
-                sure = np.partition(low, low.shape[1] - k - 1, 1)[:, low.shape[1] - k - 1] if low.shape[1] > k else np.full(len(q), -np.inf)
+                sure = np.full(len(q), -np.inf)
+                own = b.column(2).to_numpy()
+                for n_own in np.unique(own).tolist():  # so many of the rows behind the best bounds may be the query's own
+                    at_, of = low.shape[1] - k - n_own, own == n_own
+                    if at_ >= 0:
+                        sure[of] = np.partition(low[of], at_, 1)[:, at_]
                 need = dot + norm * radius + slack >= sure[:, None]
                 home = group_of[nearest(q, p)[0]].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array([cells[x].tolist() for x in need], pa.list_(pa.int32()))], names=["vec_id", "v", "home", "needs"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(home), pa.array([cells[x].tolist() for x in need], pa.list_(pa.int32()))], names=["vec_id", "v", "home", "needs"])
 
     bounded = keep(asked.mapInArrow(bound, "vec_id long, v array<long>, home int, needs array<int>"), "bounded")
+    discard(rows, asked)
     per_group = bounded.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
     blocked = bounded.join(F.broadcast(per_group) if groups <= 10_000 else per_group, "home")
     blocked = blocked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
