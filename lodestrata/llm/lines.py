@@ -1,6 +1,6 @@
 """Line deduplication over the whole corpus: repeated lines, and lines within a few edits of an earlier one.
 
-Equal lines are a class, found by two hashes. For near lines, every line of l characters is cut into
+Equal lines are a class, known by 128 bits of BLAKE2b. For near lines, every line of l characters is cut into
 EDITS + 1 even segments. Of two lines within EDITS edits one holds a segment of the other almost at its
 place, so that each line puts its own segments, and the substrings that could be a segment of a line of
 its length or up to EDITS shorter, under hashes of (length, segment, characters). Lines that meet under
@@ -30,7 +30,6 @@ CELL = 1024  #: lines of one key that meet in one task, at most
 BUCKET_BYTES = 8 << 20  #: of keys in a bucket or of lines in a partition, about
 FLUSH = 40_000
 FLIPS = 4 * EDITS  #: parities of character pairs that so many edits can turn
-SHUFFLED = np.random.default_rng(5).permutation(256).astype(np.uint8)
 
 
 def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +71,7 @@ def line_table(docs: DataFrame, least: int) -> DataFrame:
                 use = (size[ends] - size[starts] >= least) & ~blank(data, starts, ends)
                 starts, ends = starts[use], ends[use]
                 doc, version = (b.column(i).to_numpy(zero_copy_only=False)[rows[use]] for i in (0, 1))
-                h1, h2 = (tb.Spans(x)(starts, ends).view(np.int64) for x in (data, SHUFFLED[data]))
+                h1, h2 = (np.ascontiguousarray(x) for x in tb.digests(data, starts, ends).view(np.int64).T)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(version, pa.int64()), pa.array(number[use].astype(np.int32)), pa.array(h1), pa.array(h2)], names=["doc_id", "version", "line", "h1", "h2"])
 
     return docs.select("doc_id", "version", "text").mapInArrow(run, "doc_id long, version long, line int, h1 long, h2 long")
@@ -111,8 +110,26 @@ def keys_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return np.stack(keys, 1), np.array(own), parity
 
 
+def long_runs_met(key: np.ndarray, of: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted, distinct (key, line, sig): which go to the key's bucket, and which have met here, in a long run of several lines and an own segment."""
+    if not len(key):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[edge, len(key)])
+    long = (size > SHORT_RUN) & (sig[edge] & 1 == 1) & (np.minimum.reduceat(of, edge) != np.maximum.reduceat(of, edge))
+    met, run = np.repeat(long, size), np.repeat(np.arange(len(edge)), size)
+    stay = ~met | (np.arange(len(key)) - edge[run] <= SHORT_RUN)
+    other = np.flatnonzero(met & (of != of[edge][run]))
+    stay[other[np.r_[True, run[other][1:] != run[other][:-1]][: len(other)]]] = True  # one more of another line than the first
+    return stay, met
+
+
 def probes(docs: DataFrame, buckets: int, least: int) -> DataFrame:
-    """Bundles for each bucket: keys, the line's hash, and parities whose lowest bit marks the line's own segments."""
+    """Bundles for each bucket: keys, the line's hash, and parities whose lowest bit marks the line's own segments.
+
+    Lines of a key that is frequent in a task have met there (met); they go to any bucket, and to the key's own bucket as
+    few of them as make the run a long one, so that a bucket gets some 30 of a key from a task, however many lines have it.
+    """
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +145,22 @@ def probes(docs: DataFrame, buckets: int, least: int) -> DataFrame:
             keys, parity = keys[first], parity[first]
             sig = parity[:, None] | own.astype(np.uint32)[None]
             key, of = keys.ravel(), np.repeat(np.arange(len(h1)), keys.shape[1])
-            use = key != 0
-            key, of, sig = key[use], of[use], sig.ravel()[use]
-            bucket = (key % tb.U(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            key, of, sig, bucket = key[order], of[order], sig[order], bucket[order]
-            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            rows = [(int(bucket[lo]), key[lo:hi].tobytes(), h1[of[lo:hi]].tobytes(), sig[lo:hi].tobytes()) for lo, hi in zip(edge[:-1], edge[1:]) if hi > lo]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows))], names=["bucket", "key", "h1", "sig"])
+            sig = sig.ravel()
+            order = np.lexsort((sig, of, sig & 1 ^ 1, key))  # a run begins with lines that have the key as their own segment
+            key, of, sig = key[order], of[order], sig[order]
+            use = (key != 0) & np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]) | (sig[1:] != sig[:-1])][: len(key)]
+            key, of, sig = key[use], of[use], sig[use]
+            stay, met = long_runs_met(key, of, sig)
+            spread = (np.arange(len(key)) >> 12) + int(h1[0] % buckets)
+            for done, use, bucket in ((False, stay, key % tb.U(buckets)), (True, met, spread % buckets)):
+                if not use.any():
+                    continue
+                bucket = bucket[use].astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                k, o, s, bucket = key[use][order], of[use][order], sig[use][order], bucket[order]
+                edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+                rows = [(int(bucket[lo]), k[lo:hi].tobytes(), h1[o[lo:hi]].tobytes(), s[lo:hi].tobytes(), done) for lo, hi in zip(edge[:-1], edge[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()))], names=["bucket", "key", "h1", "sig", "met"])
 
         for batch in batches:
             for b in tb.blocks(batch, "text"):
@@ -146,23 +171,27 @@ def probes(docs: DataFrame, buckets: int, least: int) -> DataFrame:
                 if not use.any():
                     continue
                 keys, own, parity = keys_of(data, starts[use], ends[use])
-                held.append((keys, tb.Spans(data)(starts[use], ends[use]).view(np.int64), parity))
+                held.append((keys, tb.digests(data, starts[use], ends[use])[:, 0].view(np.int64), parity))
                 if sum(len(x[1]) for x in held) >= FLUSH:
                     yield from flush()
         yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, key binary, h1 binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, key binary, h1 binary, sig binary, met boolean")
 
 
 def meet(bundles: DataFrame) -> DataFrame:
-    """(key, h1): lines that share a key with others, one of them by its own segment; in short runs only where parities allow a pair."""
+    """(key, h1), maybe several times: lines that share a key with others, one of them by its own segment; in short runs only where parities allow a pair."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: tuple[list, list, list] = ([], [], [])
         for b in batches:
-            for i, kind in enumerate((tb.U, np.int64, np.uint32)):
-                cols[i].extend(np.frombuffer(x, kind) for x in b.column(i + 1).to_pylist())
+            for k, h, s, met in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
+                if met:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (k, h)], names=["key", "h1"])
+                    continue
+                for col, x, kind in zip(cols, (k, h, s), (tb.U, np.int64, np.uint32)):
+                    col.append(np.frombuffer(x, kind))
         if not cols[0]:
             return
         key, h1, sig = map(np.concatenate, cols)
@@ -318,7 +347,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
     """(first, links): the first places of classes of lines that are near earlier ones, and near how many. firsts: (h1, h2, first, n)."""
     spark = docs.sparkSession
     buckets = max(partitions(spark), -(-240 * firsts.count() // BUCKET_BYTES))
-    met = keep(meet(probes(docs, buckets, least).repartitionById(buckets, F.col("bucket"))), "met")
+    met = keep(meet(probes(docs, buckets, least).repartitionById(buckets, F.col("bucket"))).distinct(), "met")
     wanted = keep(met.select("h1").distinct().join(firsts.select("h1", "first"), "h1"), "wanted")
     per_doc = wanted.groupBy("first.doc_id", "first.version").agg(F.sort_array(F.collect_set(F.struct("first.line", "h1"))).alias("lines"))
     per_doc = keep(per_doc, "lines")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +15,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 KEPT = 1 << 19
+WORDS_KEPT = 200_000
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -105,7 +108,10 @@ def coded(words: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
 
 
 class Spans:
-    """Hashes of any byte spans of a block by prefix sums."""
+    """Hashes of any byte spans of a block by prefix sums.
+
+    Equal spans have equal hashes. Different ones may collide by design of their texts, so that these hashes only propose.
+    """
 
     def __init__(self, data: np.ndarray):
         up, self.down = powers(len(data))
@@ -118,17 +124,33 @@ class Spans:
             return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U))
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each span as two columns: for what counts as equal by them, no one can write a second text."""
+    view = memoryview(np.ascontiguousarray(data))
+    one = hashlib.blake2b
+    return np.frombuffer(b"".join([one(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())]), U).reshape(-1, 2)
+
+
+_known: dict[bytes, int] = {}
+
+
+def word_hash(word: bytes) -> int:
+    """64 bits of BLAKE2b; those of short words are kept, WORDS_KEPT at most."""
+    h = _known.get(word)
+    if h is None:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 32:
+            if len(_known) >= WORDS_KEPT:
+                _known.clear()
+            _known[word] = h
+    return h
+
+
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of a block, A-Z lower-cased, and where each row's words begin (one more at the end)."""
-    low = LOWER[data]
-    inner = ~SPACE[low]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offs] = True
-    first, last = inner.copy(), inner.copy()
-    first[1:] &= ~inner[:-1] | edge[1:-1]
-    last[:-1] &= ~inner[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return Spans(low)(starts, ends), np.searchsorted(starts, offs)
+    found, at = tokens(LOWER[data], offs, NOT_SPACE)
+    code, names = coded(found)
+    return np.fromiter(map(word_hash, names.cast(pa.binary()).to_pylist()), U, len(names))[code], at
 
 
 def shingles(col: pa.Array, k: int = 5) -> list[np.ndarray]:
@@ -142,7 +164,7 @@ def shingles(col: pa.Array, k: int = 5) -> list[np.ndarray]:
         if n > 0:
             s = hashes[:n].copy()
             for i in range(1, k):
-                s = (s ^ (s >> U(29))) * U(0xD6E8FEB86659FD93) + hashes[i : i + n]
+                s = mix(s) + hashes[i : i + n]
             s = mix(s)
         out = []
         for lo, hi in zip(at[:-1], at[1:]):
@@ -151,7 +173,7 @@ def shingles(col: pa.Array, k: int = 5) -> list[np.ndarray]:
             elif hi > lo:
                 x = U(hi - lo)
                 for w in hashes[lo:hi]:
-                    x = (x ^ (x >> U(29))) * U(0xA0761D6478BD642F) + w
+                    x = mix(x) + w
                 out.append(mix(np.array([x], U)))
             else:
                 out.append(np.zeros(0, U))
