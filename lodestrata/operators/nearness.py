@@ -7,8 +7,6 @@ before the next prefix, so that only near pairs within a prefix are ever written
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,24 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kept import keep
+
 FEW, MOST, SPREAD = 512, 2048, 32  #: rows in a block; groups of up to FEW * SPREAD rows have blocks of FEW
 HALVES = 12
 GROUPS = 2_000_000  #: whose sizes are broadcast
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write df to the folder of ``spark.checkpoint.dir`` (a local master without one gets a temporary folder) and read it back."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_lodestrata_root", None)
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = sc._lodestrata_root = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-    path = f"{root.rstrip('/')}/near-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def of_group(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(facts) if facts.count() <= GROUPS else facts, "g")
 

@@ -494,6 +494,33 @@ def fold_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.tiers(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def told(df: DataFrame) -> DataFrame:
+    """Answers to prompts without a model: a hash of the prompt, and an evidence line."""
+    return df.select("*", F.concat(F.lit("S"), F.substring(F.md5("prompt"), 1, 12), F.lit("\nEVIDENCE_INDICES: 2, 1")).alias("response"), F.lit(None).cast("string").alias("error")).drop("prompt")
+
+
+def summarised(spark: SparkSession, sf_dir: str, max_calls: int) -> summary.Build:
+    """Documents as units, their lines as chunks; every third document was summarised before."""
+    c = chunks(spark, sf_dir).select(F.col("doc_id").cast("string").alias("unit_key"), F.col("ord").alias("ord"), F.col("node_id").alias("chunk_id"), "text")
+    d = table(spark, sf_dir, "documents")
+    units = d.select(F.col("doc_id").cast("string").alias("unit_key"), F.when(F.col("lang") == "en", "document").otherwise("social_bucket").alias("kind"), F.col("source").alias("label"), F.col("doc_id").alias("position"), F.sha2("text", 256).alias("fingerprint"))
+    cache = units.where("position % 3 = 0").select("unit_key", "fingerprint", F.concat(F.lit("kept "), F.substring("fingerprint", 1, 8)).alias("summary"), F.array().cast("array<string>").alias("evidence_ids"))
+    return summary.build(units, c, told, cache, max_calls=max_calls, window_chars=2000)
+
+
+@query()
+def summary_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = summarised(spark, sf_dir, 50_000).units
+    return u.select("unit_key", "kind", "summary", F.array_join("evidence_ids", ";").alias("evidence"), "from_cache", "truncated")
+
+
+@query()
+def summary_build_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A budget that the units nearly use up: what is left doesn't fold all briefs."""
+    b = summarised(spark, sf_dir, 500)
+    return b.totals.crossJoin(b.tiers.agg(F.count(F.lit(1)).alias("folds"), F.coalesce(F.max("tier"), F.lit(0)).alias("tiers")))  # one row each
+
+
 @query()
 def source_budget_alloc(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
