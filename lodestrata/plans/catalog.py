@@ -14,7 +14,7 @@ from ..functions import labels as lb
 from ..functions import text as t
 from ..operators import collections as co
 from ..operators import entities as en
-from ..operators import exports, layout
+from ..operators import exports, layout, plugs
 from ..operators import postprocess as pp
 from ..operators import resolution, rollups, search, segment, state, summary
 from ..operators import vectors as ve
@@ -589,6 +589,45 @@ def resolve_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.resolve(v, 0.3)
 
 
+def surfaces_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("name "), "vec_id").alias("surface"), F.concat(F.lit("T"), "label").alias("entity_type"), (F.col("vec_id") % 17).alias("mentions"), "embedding")
+
+
+def no_entities(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame([], "entity_id string, canonical_name string, type string, embedding array<float>"), spark.createDataFrame([], "entity_id string, surface string, type string")
+
+
+def first_or_none(ties: DataFrame) -> DataFrame:
+    """Of every second question the answer is the candidate asked for first, of the others none."""
+    named = F.when(F.pmod(F.crc32("surface"), F.lit(2)) == 0, F.element_at("candidates", 1)["entity_id"]).otherwise("NONE")
+    return ties.select("pos", F.concat(F.lit("It is "), named, F.lit(".")).alias("reply"))
+
+
+@query()
+def resolve_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.resolve_into(*no_entities(spark), surfaces_of(spark, sf_dir), first_or_none, threshold=0.3).surfaces
+
+
+@query("select count(*) as processed, 0::bigint as minted, 0::bigint as attached, count(*) as skipped from embeddings")
+def resolve_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second run over what the first has stored: everything is skipped."""
+    first = resolution.resolve_into(*no_entities(spark), surfaces_of(spark, sf_dir), threshold=0.3)
+    return resolution.resolve_into(first.entities, first.aliases, surfaces_of(spark, sf_dir), threshold=0.3).counts.drop("entities_touched")
+
+
+@query("select doc_id, case when not contains(text, '#') then length(text) end as chars, case when contains(text, '#') then 'ValueError: a mark' end as error from documents")
+def enriched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plug that refuses texts with a certain mark: its other rows are whole."""
+
+    def call(client: None, rows: list[dict]) -> list[int]:
+        if any("#" in r["text"] for r in rows):
+            raise ValueError("a mark")
+        return [len(r["text"]) for r in rows]
+
+    good, failed = plugs.split(plugs.enrich(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], plugs.Plug(call, "long", retries=0), "chars"))
+    return good.select("doc_id", "chars", F.lit(None).cast("string").alias("error")).unionByName(failed.select("doc_id", "chars", "error"))
+
+
 @query()
 def keyframe_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ve.prune_near(table(spark, sf_dir, "embeddings"), "label", 0.35)
