@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as t
 
+ERROR_CHARS = 512
+
 
 def sessions(turns: DataFrame) -> DataFrame:
     """conv_id, title (the first user text), turns, last role."""
@@ -63,9 +65,11 @@ def merge_manifest(events: DataFrame) -> DataFrame:
     """The manifest after a batch of (collection, file_hash, status, at, error): a start never takes back a completion, a failure does.
 
     A fold over any number of events by two aggregates: the last decisive event (completed or failed), and the first start.
-    Errors are cut to 512 characters.
+    Errors are cut to ERROR_CHARS characters, the last of which shows the cut. Events without collection or hash are none.
     """
-    decisive = F.when(F.col("status").isin("completed", "failed"), F.struct("at", "status", F.substring("error", 1, 512).alias("error")))
+    events = events.where("collection <> '' and file_hash <> ''")
+    error = F.when(F.length("error") > ERROR_CHARS, F.concat(F.substring("error", 1, ERROR_CHARS - 1), F.lit("…"))).otherwise(F.nullif("error", F.lit("")))
+    decisive = F.when(F.col("status").isin("completed", "failed"), F.struct("at", "status", error.alias("error")))
     out = events.groupBy("collection", "file_hash").agg(F.min(F.when(F.col("status") == "started", F.col("at"))).alias("started_at"), F.max(decisive).alias("d"), F.max("at").alias("updated_at"), F.max(F.when(F.col("status") == "started", F.col("at"))).alias("last_start"))
     status = F.when(F.col("d").isNull(), "in_progress").when((F.col("d.status") == "failed") & (F.col("last_start") > F.col("d.at")), "in_progress").otherwise(F.col("d.status"))
     return out.select("collection", "file_hash", status.alias("status"), "started_at", "updated_at", F.when(status == "failed", F.col("d.error")).alias("error"))
