@@ -8,6 +8,7 @@ checked against the bytes. Every record is made from one input row, so that noth
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import html as htmllib
 import json
@@ -17,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,16 +29,20 @@ PIECE = 1 << 16  #: bytes of a compressed file at a time
 DERIVED = (
     "record_key string, kind string, record_id string, refers_to string, target_uri string, warc_date string, "
     "source_headers map<string,array<string>>, http_headers map<string,array<string>>, source_payload_digest string, digest_ok boolean, "
-    "block_digest string, content_length long, title string, n_links int, block string, record binary"
+    "block_digest string, content_length long, title string, n_links int, block string, record binary, mime string, problem string"
 )
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg)\b.*?</\1\s*>|<![^>]*>|<\?[^>]*>", re.S | re.I)
-#: What can't hold a link: comments, and the bodies of scripts and styles (not their start tags).
-RAW = re.compile(r"<!--.*?-->|(<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>).*?</\2\s*>|(<(script|style)\b[^>]*>).*?</\4\s*>|<![^>]*>|<\?[^>]*>", re.S | re.I)
-BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|title|blockquote|pre|hr|dd|dt|dl|form|option)\b[^>]*>", re.I)
-CELLS = re.compile(r"</?(?:td|th)\b[^>]*>", re.I)
-TAG = re.compile(r"<[/a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LINK = re.compile(r"<(a|link|img|script|iframe)\b[^>]*?\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article nav header footer title blockquote pre hr dd dt dl form option".split())
+CELLS = frozenset(("td", "th"))
+HIDDEN = frozenset(("noscript", "template", "svg"))  #: no text, but links
+RAW = frozenset(("script", "style"))  #: neither
+LINKS = frozenset(("a", "link", "img", "script", "iframe"))
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+QUOTED_OR_END = re.compile(r"[>\"']")
+CLOSING = {x: re.compile(rf"</{x}\s*>", re.I) for x in (*HIDDEN, *RAW, "title")}
+URL = re.compile(r"[\s\"'/](?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HTML = frozenset(("text/html", "application/xhtml+xml"))
+TEXTS = re.compile(r"text/|application/(?:[\w.+-]+\+)?(?:xml|json|javascript)$|application/(?:x-ndjson|rss|atom)")
+MOST_BYTES = 1 << 28  #: of a payload once it is unpacked
 BLANKS = re.compile(r"[ \t\r\f\v ]+")
 
 
@@ -115,40 +121,227 @@ def as_json(headers: dict[str, list[str]]) -> dict[str, str | list[str]]:
     return {k: v[0] if len(v) == 1 else v for k, v in headers.items()}
 
 
+class Page:
+    """Text, title and links of a page, by one scan of its tags from left to right.
+
+    What was looked for once and isn't there is not looked for again, so that the time goes with the length, whatever is left open.
+    A tag ends at the first > outside its quotes; without one, < is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.parts, self.links, self.title = page, [], [], None
+        self.absent: set[str] = set()
+        self.closed: dict[str, re.Match | None] = {}
+        self.special, self.looked_from, self.bad = -1, 0, set()
+        self.last = {q: page.rfind(q) for q in ">\"'"}
+        self.scan()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.absent:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def closing(self, name: str, at: int) -> re.Match | None:
+        found = self.closed.get(name)
+        if name not in self.absent and (found is None or found.start() < at):
+            found = self.closed[name] = CLOSING[name].search(self.page, at)
+            if found is None:
+                self.absent.add(name)
+        return found if name not in self.absent else None
+
+    def tag_end(self, at: int) -> int:
+        """Behind the > that ends the tag at ``at``; -1 if none does."""
+        if not self.looked_from <= at <= self.special:
+            found = QUOTED_OR_END.search(self.page, at)
+            self.looked_from, self.special = at, found.start() if found else len(self.page)
+        place = first = self.special
+        while place not in self.bad:
+            if place >= len(self.page) or place > self.last[">"]:
+                break
+            char = self.page[place]
+            if char == ">":
+                return place + 1
+            if self.last[char] <= place:
+                break
+            found = QUOTED_OR_END.search(self.page, self.page.index(char, place + 1) + 1)
+            place = found.start() if found else len(self.page)
+        self.bad |= {first, place}
+        return -1
+
+    def scan(self) -> None:
+        page, at, hidden = self.page, 0, -1
+        say = lambda x: self.parts.append(x) if at >= hidden else None
+        while True:
+            lt = page.find("<", at)
+            if lt < 0:
+                say(page[at:])
+                return
+            say(page[at:lt])
+            at = lt
+            kind = page[lt + 1 : lt + 2]
+            if kind in ("!", "?"):
+                end = self.find("-->", lt + 4) + 2 if page.startswith("<!--", lt) else 1
+                end = end if end > 1 else self.find(">", lt)
+                say(" " if end > 0 else "<")
+                at = end + 1 if end > 0 else lt + 1
+                continue
+            end = self.tag_end(lt + 2) if kind == "/" or kind.isascii() and kind.isalpha() else -1
+            if end < 0:
+                say("<")
+                at = lt + 1
+                continue
+            found = NAME.match(page, lt + 1, end)
+            name = found[1].lower() if found else ""
+            if kind != "/" and name in LINKS and (m := URL.search(page, found.end(), end)):
+                self.links.append({"path": name, "url": htmllib.unescape(m[1] or m[2] or m[3] or "")})
+            close = self.closing(name, end) if kind != "/" and name in CLOSING else None
+            if close and name == "title":
+                if self.title is None:
+                    self.title = BLANKS.sub(" ", htmllib.unescape(Page(page[end : close.start()]).text_with_breaks())).strip()
+                say(" ")
+                at = close.end()
+            elif close and name in RAW:
+                say(" ")
+                at = close.end()
+            else:
+                if close:
+                    say(" ")
+                    hidden = max(hidden, close.end())
+                elif name in BREAKS:
+                    say("\n")
+                elif name in CELLS:
+                    say("\t")
+                at = end
+
+    def text_with_breaks(self) -> str:
+        return "".join(self.parts)
+
+    def text(self) -> str:
+        """What a reader sees, one line for each block of the page, without empty lines."""
+        lines = (BLANKS.sub(" ", x).strip() for x in htmllib.unescape(self.text_with_breaks()).split("\n"))
+        return "\n".join(x for x in lines if x)
+
+
 def plain_text(page: str) -> str:
-    """What a reader sees, one line for each block of the page, without empty lines."""
-    text = TAG.sub("", CELLS.sub("\t", BREAKS.sub("\n", HIDDEN.sub(" ", TITLE.sub(" ", page)))))
-    lines = (BLANKS.sub(" ", x).strip() for x in htmllib.unescape(text).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return Page(page).text()
+
+
+def dechunked(body: bytes) -> bytes:
+    """A body sent in chunks, as one; ValueError if the chunks' sizes don't fit."""
+    out, at = [], 0
+    while True:
+        end = body.find(CRLF, at)
+        size = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
+        if size < 0 or end + 2 + size > len(body):
+            raise ValueError("chunks cut short")
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def inflated(body: bytes, coding: str) -> bytes:
+    """A body without one content coding. ValueError for unknown ones, broken data, and more than MOST_BYTES."""
+    if coding in ("identity", ""):
+        return body
+    if coding == "zstd":
+        try:
+            return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+        except zstandard.ZstdError as e:
+            raise ValueError(f"zstd: {e}") from e
+    if coding not in ("gzip", "x-gzip", "deflate"):
+        raise ValueError(f"content coding {coding}")
+    bits = 31 if coding != "deflate" else 15 if body[:1] and body[0] & 15 == 8 and int.from_bytes(body[:2]) % 31 == 0 else -15
+    out, left = [], MOST_BYTES
+    while body:
+        z = zlib.decompressobj(bits)
+        try:
+            out.append(z.decompress(body, left))
+        except zlib.error as e:
+            raise ValueError(f"{coding}: {e}") from e
+        left -= len(out[-1])
+        if not z.eof:
+            raise ValueError(f"{coding}: " + ("too large" if left <= 0 else "cut short"))
+        body = z.unused_data if bits == 31 and z.unused_data[:2] == b"\x1f\x8b" else b""
+    return b"".join(out)
+
+
+def digest_is(given: str, *data: bytes) -> bool | None:
+    """Whether a digest (name:base32 or hex) is that of one of the data; null for algorithms that aren't known."""
+    name, _, value = given.strip().partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("sha1", "sha256", "sha512", "md5", "sha224", "sha384"):
+        return None
+    value = value.strip()
+    for d in data:
+        raw = hashlib.new(name, d).digest()
+        if value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("="):
+            return True
+    return False
+
+
+def unpacked(payload: bytes, http: dict[str, list[str]]) -> tuple[bytes, bytes, str | None]:
+    """(body without transfer coding, body without content codings, why that failed). A body that says it comes in chunks and
+    doesn't is taken as it is, since archives often undo this coding and keep the field."""
+    body, coded = payload, [x.strip().lower() for v in values(http, "Transfer-Encoding") for x in v.split(",")]
+    if "chunked" in coded:
+        with contextlib.suppress(ValueError):
+            body = dechunked(payload)
+    plain, codings = body, [x.strip().lower() for v in values(http, "Content-Encoding") for x in v.split(",")]
+    try:
+        for coding in reversed(codings):
+            if coding in ("gzip", "x-gzip") and plain[:2] != b"\x1f\x8b":
+                continue  # undone by the archive
+            plain = inflated(plain, coding)
+    except ValueError as e:
+        return body, b"", str(e)
+    return body, plain, None
+
+
+def values(headers: dict[str, list[str]], name: str) -> list[str]:
+    return next((v for k, v in headers.items() if k.lower() == name.lower()), [])
 
 
 def derive_one(key: str, raw: bytes) -> list[tuple]:
-    """The metadata and the conversion record of one response record; other kinds of record have none."""
+    """The metadata record of one response record, and the conversion record if its payload is text; other kinds of record have none."""
     headers, block = parse(raw)
     if field(headers, "WARC-Type") != "response":
         return []
     head, _, payload = block.partition(b"\r\n\r\n")
     http = grouped(header_lines(head))
     source = field(headers, "WARC-Payload-Digest")
-    checks = [given == sha1(data) for given, data in ((source, payload), (field(headers, "WARC-Block-Digest"), block)) if given]
-    page = decoded(payload, field(http, "Content-Type") or "")
+    body, plain, problem = unpacked(payload, http)
+    given = field(headers, "WARC-Block-Digest")
+    checks = [digest_is(source, payload, body) if source else None, digest_is(given, block) if given else None]
+    named = field(http, "Content-Type") or ""
+    mime = named.split(";")[0].strip().lower()
+    is_html = mime in HTML or not mime
+    is_text = is_html or bool(TEXTS.match(mime))
+    page, title, links, text = "", None, [], ""
+    if is_text and not problem:
+        page = decoded(plain, named)
+    if is_html and page:
+        scanned = Page(page)
+        title, links, text = scanned.title, scanned.links, scanned.text()
+    elif is_text:
+        text = page
     source_id, target, date = (field(headers, n) for n in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
-    title = TITLE.search(page)
-    title = BLANKS.sub(" ", htmllib.unescape(TAG.sub("", title[1]))).strip() if title else None
-    links = [{"path": f"{m[1].lower()}", "url": htmllib.unescape(m[2] or m[3] or m[4] or "")} for m in LINK.finditer(RAW.sub(lambda m: m[1] or m[3] or " ", page))]
-    info = {
-        "Envelope": {
-            "WARC-Header-Metadata": as_json(headers),
-            "Payload-Metadata": {"HTTP-Response-Metadata": {"Response-Message": head.split(b"\r\n")[0].decode("utf-8", "replace"), "Headers": as_json(http), "HTML-Metadata": {"Title": title, "Links": links}}},
-        }
-    }
+    message = {"Response-Message": head.split(b"\r\n")[0].decode("utf-8", "replace"), "Headers": as_json(http)}
+    message |= {"HTML-Metadata": {"Title": title, "Links": links}} if is_html else {}
+    message |= {"Entity-Problem": problem} if problem else {}
+    info = {"Envelope": {"WARC-Header-Metadata": as_json(headers), "Payload-Metadata": {"HTTP-Response-Metadata": message}}}
     out = []
-    for kind, body, mime in (("metadata", json.dumps(info, ensure_ascii=False), "application/json"), ("conversion", plain_text(page), "text/plain")):
-        data = body.encode()
+    records = [("metadata", json.dumps(info, ensure_ascii=False), "application/json")]
+    records += [("conversion", text, "text/plain")] if is_text and not problem else []
+    for kind, content, made in records:
+        data = content.encode("utf-8", "surrogatepass")
         own = urn(kind, source_id)
-        fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source_id), ("WARC-Target-URI", target), ("WARC-Date", date), ("Content-Type", mime), ("WARC-Block-Digest", sha1(data)), ("WARC-Source-Payload-Digest", source)]
+        fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source_id), ("WARC-Target-URI", target), ("WARC-Date", date), ("Content-Type", made), ("WARC-Block-Digest", sha1(data)), ("WARC-Source-Payload-Digest", source)]
         whole = record([(k, v) for k, v in fields if v], data)
-        out.append((key, kind, own, source_id, target, date, list(headers.items()), list(http.items()), source, all(checks), sha1(data), len(data), title, len(links), body, whole))
+        out.append((key, kind, own, source_id, target, date, list(headers.items()), list(http.items()), source, False not in checks, sha1(data), len(data), title, len(links), content, whole, mime or None, problem))
     return out
 
 
@@ -170,14 +363,18 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", body: st
 def derive(records: DataFrame) -> DataFrame:
     """Derivatives of (record_key, record). Rows that are null, not a WARC record or no response give none.
 
-    Repeated header fields keep all their values. A page of an unknown charset is read as UTF-8, an empty one has an
-    empty text; pages of any length count whole, equal rows give equal rows each, and other columns are left out.
+    Transfer and content codings are undone (chunked; gzip, deflate, zstd). A payload in another coding, a broken one, or one of
+    more than MOST_BYTES has a metadata record only, which names the problem; so have payloads that are no text by their type
+    (images, archives), without a problem. HTML is scanned for text, title and links in time that goes with its length; other
+    texts are converted as they are. Digests of SHA-1, SHA-2 and MD5 are checked, payload digests against the body as sent or
+    without its transfer coding; others can't make digest_ok false. Repeated header fields keep all their values. A page of an
+    unknown charset is read as UTF-8, an empty one has an empty text; equal rows give equal rows each, and other columns are left out.
     """
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = pa.map_(pa.string(), pa.list_(pa.string()))
-        kinds = [*[pa.string()] * 6, strings, strings, pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary()]
+        kinds = [*[pa.string()] * 6, strings, strings, pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string(), pa.string()]
         names = [x.split()[0] for x in DERIVED.split(", ")]
         for b in batches:
             for lo in range(0, b.num_rows, 256):
