@@ -131,9 +131,34 @@ def basis() -> np.ndarray:
     return c
 
 
+# Fixed values of the JPEG standard (tables K.3 to K.6), which frames of motion JPEG mean by having no tables of their own: how many
+# codes there are of each length, and the symbols of the shorter ones. All other (run, size) symbols follow in order, in 16 bits.
+DC_LENGTHS = ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0])
+AC_LENGTHS = ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119])
+AC_FIRST = (
+    bytes.fromhex("01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"),
+    bytes.fromhex("00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"),
+)
+
+
+def standard_tables() -> dict[int, dict[int, tuple[int, int]]]:
+    symbols = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    out = {}
+    for i in range(2):
+        out[i] = canonical(DC_LENGTHS[i], list(range(12)))
+        out[0x10 | i] = canonical(AC_LENGTHS[i], [*AC_FIRST[i], *sorted(set(symbols) - set(AC_FIRST[i]))])
+    return out
+
+
+STANDARD = standard_tables()
+
+
 def decode_frame(jpeg: bytes) -> np.ndarray:
-    """Grey samples of an intra frame: of a colour frame its first component. Raises ValueError for other kinds of JPEG."""
-    at, quant, huff, restart, parts = 2, {}, {}, 0, []
+    """Grey samples of an intra frame: of a colour frame its first component. Raises ValueError for other kinds of JPEG.
+
+    Huffman tables that a frame doesn't bring are the standard's.
+    """
+    at, quant, huff, restart, parts = 2, {}, dict(STANDARD), 0, []
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
     while True:
@@ -357,7 +382,7 @@ def media(docs: DataFrame) -> DataFrame:
 
 
 def clips(files: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """Timed clip rows of AVI files in a binary column; null files, and files that aren't readable, have no rows."""
+    """Timed clip rows of AVI files in a binary column; null files, and files that aren't readable, have none (see problems)."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,6 +400,28 @@ def clips(files: DataFrame, key: str = "doc_id", column: str = "media") -> DataF
     return files.select(key, column).mapInArrow(run, f"{key} {dict(files.dtypes)[key]}, {CLIP}")
 
 
+def problems(files: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
+    """(key, problem): why files have no clip rows; 'no file' for a null, 'no frame' for an AVI without any. A file is here or in clips()."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if data is None:
+                    found.append((k, "no file"))
+                    continue
+                try:
+                    if not clips_of(data):
+                        found.append((k, "no frame"))
+                except (ValueError, IndexError, KeyError, struct.error) as e:
+                    found.append((k, f"{type(e).__name__}: {e}"))
+            cols = list(zip(*found)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.string())], names=[key, "problem"])
+
+    return files.select(key, column).mapInArrow(run, f"{key} {dict(files.dtypes)[key]}, problem string")
+
+
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, n_clips int"
 
 
@@ -391,7 +438,9 @@ def digest(text: str | None) -> tuple:
 def digests(docs: DataFrame) -> DataFrame:
     """Store every whole text, read the stored bytes back and keep digests and features, one row for each row.
 
-    The feature lists all clips; n_clips counts them. Equal texts have equal values.
+    The feature lists all clips; n_clips counts them. Equal texts have equal values. A null text is an empty one, which is stored
+    as 64 zeros; texts of any length are stored whole, in as many frames as they need. Rows that repeat a doc_id, or have none, have
+    a row each; other columns are left out.
     """
 
     @tidied
