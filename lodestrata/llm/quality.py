@@ -13,11 +13,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import ids_join, keep, tidied
+from .common import discard, keep, tidied
 
 SURE = 0.98  #: of a pseudo-label, by the view that gives it
 ROUNDS, FIRST_STEPS, STEPS = 2, 6, 3
@@ -103,10 +103,15 @@ def features(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "text_view", "page_view"],
                 )
 
+    return docs.select("doc_id", "text", *page_parts(docs)).mapInArrow(run, FEATURES)
+
+
+def page_parts(docs: DataFrame) -> list[Column]:
+    """What a row's page view takes from other columns than text, under names of their own."""
     have = set(docs.columns)
     part = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(1 << 20)) if c in have else F.lit(0)
     n_chars = F.coalesce(F.col("n_chars").cast("long"), F.lit(0)) if "n_chars" in have else F.lit(0)
-    return docs.select("doc_id", "text", n_chars.cast("long").alias("n"), part("source").cast("long").alias("s"), part("lang").cast("long").alias("l")).mapInArrow(run, FEATURES)
+    return [n_chars.cast("long").alias("__n"), part("source").cast("long").alias("__s"), part("lang").cast("long").alias("__l")]
 
 
 def matrix(col: pa.Array) -> np.ndarray:
@@ -240,6 +245,13 @@ def co_train(table: DataFrame) -> Views:
     return views
 
 
+def learned(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, Views]:
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int")
+    table = keep(features(docs).join(known, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(-1))).withColumn("fold", fold), "views")
+    return table, co_train(table)
+
+
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """doc_id, each view's calibrated score, their combination, and whether the document stays.
 
@@ -247,10 +259,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFra
     the smallest counts. Without labels of both kinds every score is 0.5 and all documents stay. An
     empty text is scored by its features like any other.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int")
-    table = keep(features(docs).join(known, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(-1))).withColumn("fold", fold), "views")
-    views = co_train(table)
+    table, views = learned(docs, labels, label)
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +272,20 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that are rejected; a null doc_id stays."""
-    bad = keep(score(docs, labels).where("not keep and doc_id is not null").select("doc_id").distinct(), "rejected")
-    return ids_join(docs, bad, "doc_id", "left_anti")
+    """docs without the rows that are rejected, each judged by itself: of rows that repeat a doc_id some may go and others stay. A null doc_id stays."""
+    table, views = learned(docs, labels, "quality")
+    discard(table)
+    given = docs.withColumns({f"__{i}": c for i, c in enumerate(page_parts(docs))})
+    text, doc_id = docs.columns.index("text"), docs.columns.index("doc_id")
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in tb.blocks(batch, "text"):
+                data, offs = tb.raw(b.column(text))
+                page = page_view(data, offs, *(c.to_numpy(zero_copy_only=False) for c in b.columns[-3:]))
+                s = views.score(text_view(data, offs).astype(np.float64), page.astype(np.float64))[2]
+                stays = (s >= KEPT_FROM) | b.column(doc_id).is_null().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(b.columns[:-3], names=b.schema.names[:-3]).filter(pa.array(stays))
+
+    return given.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import discard, ids_join, keep, tidied
+from .common import discard, keep, tidied
 
 SAMPLE = 6000  #: labelled documents that the classifier may learn from, at most
 SAMPLE_CHARS = 60_000_000  #: characters that their texts may have together; longer texts beyond this are passed over whole
@@ -285,6 +285,15 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that are predicted toxic; a null doc_id stays."""
-    bad = keep(score(docs, train(docs, labels)).where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "toxic")
-    return ids_join(docs, bad, "doc_id", "left_anti")
+    """docs without the rows that are predicted toxic, each judged by its own text, also where a doc_id repeats. A null doc_id stays."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    text, doc_id = docs.columns.index("text"), docs.columns.index("doc_id")
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in tb.blocks(batch, "text"):
+                scores, _ = sent.value.score(*word_ids(b.column(text)))
+                yield b.filter(pa.array((scores < PREDICTED_FROM) | b.column(doc_id).is_null().to_numpy(zero_copy_only=False)))
+
+    return docs.mapInArrow(run, docs.schema)
