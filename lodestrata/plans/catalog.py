@@ -9,17 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import filters
+from ..functions import filters, json_safe, lenient
 from ..functions import labels as lb
 from ..functions import text as t
 from ..operators import collections as co
 from ..operators import entities as en
-from ..operators import exports, layout, plugs
+from ..operators import exports, kept, layout, plugs
 from ..operators import postprocess as pp
 from ..operators import resolution, rollups, search, segment, state, summary
 from ..operators import vectors as ve
 from ..sources import documents as dc
 from ..sources import tables as tb
+from ..streaming import files, ingest, transcripts
 from .adapters import chunks, flags, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -628,6 +629,47 @@ def enriched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("doc_id", "chars", F.lit(None).cast("string").alias("error")).unionByName(failed.select("doc_id", "chars", "error"))
 
 
+@query("""
+select event_id, json_extract_string(props, '$.k') as k, event_type as category, case when value > 90 then null else value end as value,
+  strftime(ts::timestamp, '%Y-%m-%dT%H:%M:%S') || case when date_part('microsecond', ts::timestamp)::bigint % 1000000 = 0 then '' else strftime(ts::timestamp, '.%f') end as at
+from events""")
+def answers_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties and types of events as a model would tell them, read back; values and times as JSON can hold them."""
+    said = F.concat(F.lit("Of {course}:\n```json\n"), "props", F.lit("\n``` and {\"category\": \""), F.upper("event_type"), F.lit("\"} too"))
+    flag = F.concat(F.lit("<think>{\"category\": \"no\"}</think> {\"category\": \""), F.upper("event_type"), F.lit("\", \"hate_speech\": 1"), F.lit("} {"))
+    e = table(spark, sf_dir, "events").withColumn("wild", F.when(F.col("value") > 90, F.lit(float("inf"))).otherwise(F.col("value")))
+    safe = json_safe.safe_columns(e.select("event_id", "wild", F.col("ts").cast("timestamp_ntz").alias("at")))
+    e = e.select("event_id", F.get_json_object(lenient.first_object(said), "$.k").alias("k"), lenient.flag_of(flag)["category"].alias("category"))
+    return e.join(safe.withColumnRenamed("wild", "value"), "event_id")
+
+
+@query("select 'c' as collection, sha256(text) as file_hash, 'completed' as status, count(*) as documents from documents where regexp_matches(text, '\\S') group by text")
+def ingested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the ingest stream; the manifest beside how many documents have each text."""
+    root = kept.new_path(spark, "ingest")
+    docs = table(spark, sf_dir, "documents")
+    ingest.ingest(ingest.stream_documents(spark, f"{sf_dir}/documents.parque[t]", docs.schema), f"{root}/chunks", f"{root}/manifest", f"{root}/checkpoint", "c").awaitTermination()
+    n = docs.groupBy(F.sha2("text", 256).alias("file_hash")).agg(F.count(F.lit(1)).alias("documents"))
+    return ingest.manifest(spark, f"{root}/manifest").join(n, "file_hash").select("collection", "file_hash", "status", "documents")
+
+
+@query("select sha256(html) as file_hash, 'said ' || length(html) as transcript, count(*) as places from pages group by html")
+def transcripts_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as media, twice: the second time a plug that refuses everything is asked for nothing."""
+    cache = transcripts.cache_table(kept.new_path(spark, "transcripts"))
+    media = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").cast("binary").alias("content"))
+
+    def once(client: None, rows: list[dict]) -> list[str]:
+        return [f"said {len(r['content'].decode())}" for r in rows]
+
+    def refuse(client: None, rows: list[dict]) -> list[str]:
+        raise RuntimeError("asked again")
+
+    transcripts.transcribe(media, cache, plugs.Plug(once))
+    again = transcripts.transcribe(media, cache, plugs.Plug(refuse))
+    return again.where("cached and error is null").groupBy("file_hash", "transcript").agg(F.count(F.lit(1)).alias("places"))
+
+
 @query()
 def keyframe_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ve.prune_near(table(spark, sf_dir, "embeddings"), "label", 0.35)
@@ -725,6 +767,28 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", (F.col("i") / 400).cast("long").alias("page_index"), "text", x0.alias("x0"), y0.alias("y0"), (x0 + 50.0).alias("x1"), (y0 + 10.0).alias("y1"), F.lit(10.0).alias("font_size"))
 
 
+@query("""
+with e as (
+  select 'c' || (user_id % 3) as collection, md5(user_id::varchar) as file_hash, ts::timestamp as t, event_id,
+    case event_type when 'purchase' then 'completed' when 'error' then 'failed' else 'started' end as status, case when event_type = 'error' then event_id::varchar end as error from events),
+s as (
+  select collection, file_hash, max(t) as updated_at, min(t) as started_at, max(t) filter (status = 'started') as last_start,
+    arg_max(status, {'t': t, 'r': case status when 'completed' then 1 else 2 end}) filter (status <> 'started') as d, max(t) filter (status <> 'started') as d_at
+  from e group by 1, 2)
+select collection, file_hash, case when d is null or (d = 'failed' and last_start > d_at) then 'in_progress' else d end as status, started_at, updated_at from s""")
+def file_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as those of files, followed as a stream whose time limits are longer than the table's time."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("started")
+    root = kept.new_path(spark, "states")
+    stream = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as the table may be one file
+    stream = stream.select(F.concat(F.lit("c"), F.col("user_id") % 3).alias("collection"), F.md5(F.col("user_id").cast("string")).alias("file_hash"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "error", F.col("event_id").cast("string")).alias("error"))
+    manifest = files.manifest_table(f"{root}/manifest")
+    files.follow(stream, manifest, f"{root}/checkpoint", late="3650 days", limit=10**9, memory=10**9).awaitTermination()
+    rows = manifest.read(spark)
+    return rows.select("collection", "file_hash", "status", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "updated_at")))
+
+
 @query()
 def reading_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reading_order(cells(spark, sf_dir))
