@@ -16,7 +16,7 @@ from ..operators import collections as co
 from ..operators import entities as en
 from ..operators import exports, kept, layout, plugs
 from ..operators import postprocess as pp
-from ..operators import resolution, rollups, search, segment, state, summary
+from ..operators import regions, resolution, rollups, search, segment, state, summary
 from ..operators import vectors as ve
 from ..sources import documents as dc
 from ..sources import tables as tb
@@ -789,6 +789,59 @@ def file_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("collection", "file_hash", "status", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "updated_at")))
 
 
+REGION_LINES = r"""
+l0 as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents),
+l as (
+  select doc_id, line, trim(case line % 11 when 3 then 'Table ' || line || ': ' || text when 5 then replace(text, ', ', '   ') when 7 then '' when 8 then left(text, 40) else text end, ' ' || chr(9) || chr(13)) as text
+  from l0)"""
+
+
+def region_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as those of pages, some made captions, rows of tables, and blank."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    k = F.col("line") % 11
+    text = F.when(k == 3, F.concat(F.lit("Table "), "line", F.lit(": "), "text")).when(k == 5, F.replace("text", F.lit(", "), F.lit("   "))).when(k == 7, "").when(k == 8, F.left("text", F.lit(40))).otherwise(F.col("text"))
+    return d.select("doc_id", F.lit(0).cast("long").alias("page_index"), "line", F.btrim(text, F.lit(" \t\r")).alias("text"))
+
+
+@query("with " + REGION_LINES + r""",
+f as (
+  select *, regexp_matches(text, '(?i)^table\s+\d+\s*[:.]') as caption, length(regexp_replace(text, '\s{2,}', chr(1), 'g')) - length(replace(regexp_replace(text, '\s{2,}', chr(1), 'g'), chr(1), '')) as gaps,
+    coalesce(lag(text) over (partition by doc_id order by line) = '', false) as after_blank from l),
+b as (
+  select *, text <> '' and (regexp_matches(text, '^\d+(\.\d+)*\s+[A-Z]') or regexp_matches(text, '(?i)^(table|figure)\s+\d+\s*[:.]')
+    or not (gaps >= 2 or (gaps >= 1 and length(text) < 60) or (not after_blank and length(text) < 60))) as stops from f),
+s as (select doc_id, line, (select min(line) from b x where x.doc_id = c.doc_id and x.line > c.line and x.stops) as stop from b c where caption)
+select doc_id, line::int as start, (select max(x.line) from b x where x.doc_id = s.doc_id and x.line < coalesce(s.stop, 1000000000) and x.text <> '')::int as "end" from s""")
+def table_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.text_regions(region_lines(spark, sf_dir)).select("doc_id", "start", "end")
+
+
+@query("with " + REGION_LINES + r""",
+w as (select doc_id, line // 40 as block, text, length(text) as n, len(string_split_regex(text, '\s+')) as words from l where text <> ''),
+a as (select doc_id, block, count(*) as lines, count(*) filter (words <= 2) as short, median(n) as m from w group by 1, 2)
+select doc_id, block, lines, lines >= 15 and short >= 0.6 * lines and m <= 8 as is_figure_text from a""")
+def figure_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty lines are a block."""
+    lines = region_lines(spark, sf_dir).withColumn("block", F.floor(F.col("line") / 40))
+    return regions.figure_texts(lines.where("text <> ''")).select("doc_id", "block", "lines", "is_figure_text")
+
+
+@query("""
+with c as (select l_orderkey as doc_id, l_linenumber as line, l_quantity::double * 10 as y0, l_quantity::double * 10 + l_linenumber as y1 from lineitem),
+r as (select o_orderkey as doc_id, (o_totalprice::bigint % 500)::double as top from orders),
+n as (
+  select r.doc_id, arg_min(line, {'g': y0 - top, 'l': line}) as caption from r join c on r.doc_id = c.doc_id and y0 - top >= -greatest(y1 - y0, 1) and y0 - top <= 8 * greatest(y1 - y0, 1) group by 1)
+select r.doc_id, caption::int as caption from r left join n using (doc_id)""")
+def captions_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of an order as captions on its page, at a height by their quantity; the order as a region."""
+    y0, page = F.col("l_quantity").cast("double") * 10, F.lit(0).cast("long").alias("page_index")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), page, F.col("l_linenumber").cast("int").alias("line"), F.concat(F.lit("Table "), "l_linenumber", F.lit(":")).alias("text"), y0.alias("y0"), (y0 + F.col("l_linenumber")).alias("y1"))
+    top = (F.bround("o_totalprice", 0).cast("long") % 500).cast("double")
+    boxes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), page, F.lit(0).alias("region"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(0.0).alias("x1"), top.alias("y1"))
+    return regions.captions_above(boxes, lines).select("doc_id", "caption")
+
+
 @query()
 def reading_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reading_order(cells(spark, sf_dir))
