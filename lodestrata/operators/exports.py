@@ -12,6 +12,10 @@ POSTING = ("url", "posting_uuid", "posting_id", "media_id", "posting_network", "
 FINDING = ("network", "ref_type", "uuid", "timestamp", "author", "author_id", "vanity", "text_id", "anchor_text", "parent_text", *POSTING, "translation")
 ENTITY_SOURCES = ("entity", "source", "page", "row", "chunk_id", "chunk_text", *FINDING)
 FLAGGED = ("source", "page", "row", "chunk_id", "category", "confidence", "reason", "chunk_text", *FINDING)
+SEARCH = (
+    "marked", "kind", "source", "page", "row", "chunk_id", "chunk_text", "network", "author", "author_id", "vanity", "url", "timestamp", "posting_network", "posting_author", "posting_author_id",
+    "posting_vanity", "posting_timestamp", "posting_url", "posting_text", "type", "uuid", "posting_uuid", "posting_id", "media_id", "speaker", "language", "detected_language", "source_file",
+)
 DOCUMENTS = ("filename", "mimetype", "file_hash", "node_count", "page_count", "max_rows", "max_duration", "entity_types")
 ENTITIES = ("rank", "entity", "type", "mentions")
 
@@ -45,6 +49,13 @@ def flagged(chunks: DataFrame) -> DataFrame:
     return rows(chunks, FLAGGED, source=F.col("filename"), chunk_id=F.col("node_id"), chunk_text=F.col("text"))
 
 
+def search(found: DataFrame, marked: list[str] = ()) -> DataFrame:
+    """Chunks (node_id, filename, text; kind, page, row, reference) that a search found, whole; those chosen by hand are marked."""
+    kind = F.coalesce(t.non_blank(F.col("kind")), F.lit("text")) if "kind" in found.columns else F.lit("text")
+    chosen = F.when(F.col("node_id").isin(list(marked)), "true").otherwise("false")
+    return rows(found, SEARCH, marked=chosen, kind=kind, source=F.col("filename"), chunk_id=F.col("node_id"), chunk_text=F.col("text"))
+
+
 def entities(top: DataFrame) -> DataFrame:
     return rows(top, ENTITIES, entity=F.coalesce(t.non_blank(F.col("text")), F.lit("Unknown")))
 

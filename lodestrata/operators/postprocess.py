@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .kept import keep
+
 
 def first_per_parent(hits: DataFrame, parent: str, order: list[Column]) -> DataFrame:
     """The best child of each parent; hits without a parent stay."""
@@ -38,9 +40,25 @@ def pack_parents(hits: DataFrame, budget: int) -> DataFrame:
 
 
 def diverse(hits: DataFrame, identity: str, bucket: str, most: int, order: list[Column]) -> DataFrame:
-    """Each identity once, then at most ``most`` of a bucket, where an identity lies in one bucket."""
-    once = hits.withColumn("__i", F.row_number().over(Window.partitionBy(identity).orderBy(*order))).where("__i = 1")
-    return once.withColumn("bucket_rank", F.row_number().over(Window.partitionBy(bucket).orderBy(*order))).where(F.col("bucket_rank") <= most).drop("__i")
+    """The hits in order, without those whose identity was kept before, and without those whose bucket has ``most`` kept already.
+
+    An identity that a full bucket turned away stays open and may enter with a later hit of another bucket. As a hit depends on
+    earlier ones only, deciding all of them by the decisions of the round before, until none changes, ends at what one pass over
+    the list would keep. A null identity repeats nothing. With ``bucket_rank``, the place among the kept of the bucket.
+    """
+    h = keep(hits.withColumn("__i", F.row_number().over(Window.partitionBy(identity).orderBy(*order))).withColumn("__kept", (F.col("__i") == 1) | F.col(identity).isNull()), "hits")
+    before = lambda by: Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        again = F.col(identity).isNotNull() & F.coalesce(F.max("__kept").over(before(identity)), F.lit(False))
+        h = h.withColumn("__again", again)
+        h = h.withColumn("__new", ~F.col("__again") & (F.coalesce(F.sum(F.when(F.col("__kept") & ~F.col("__again"), 1)).over(before(bucket)), F.lit(0)) < most))
+        new = keep(h, "hits")
+        changed = not new.where("__new <> __kept").isEmpty()
+        h = new.withColumn("__kept", F.col("__new")).drop("__new", "__again")
+        if not changed:
+            break
+    kept_ = h.where("__kept").drop("__kept", "__i")
+    return kept_.withColumn("bucket_rank", F.row_number().over(Window.partitionBy(bucket).orderBy(*order)))
 
 
 def follow_links(hits: DataFrame, siblings: DataFrame, key: str, node: str, most: int = 12) -> DataFrame:

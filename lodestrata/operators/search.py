@@ -128,15 +128,6 @@ def page(df: DataFrame, key: str, limit: int, cursor: str | None = None) -> Data
     return df.orderBy(key).limit(limit)
 
 
-EXPORT = ("filename", "node_id", "doc_id", "ord", "text", "lang", "kind", "marked", "est_tokens")
-
-
-def export(found: DataFrame, marked: list[str] = ()) -> DataFrame:
-    """Rows of the search export; every cell is text."""
-    rows = found.withColumns({"kind": F.lit("text"), "marked": F.when(F.col("node_id").isin(list(marked)), "true").otherwise("false"), "est_tokens": t.estimated_tokens(F.col("text"))})
-    return rows.select(*[t.csv_cell(F.col(c)).alias(c) for c in EXPORT])
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """An export as CSV part files with headers; RFC 4180 quotes, lists joined by semicolons, nulls empty."""
     arrays = {f.name for f in df.schema.fields if f.dataType.typeName() == "array"}

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -155,3 +155,16 @@ def overlapping(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     b, r = blocks.alias("b"), regions.alias("r")
     on = (F.col("b.page_id") == F.col("r.page_id")) & (F.col("b.x0") < F.col("r.x1")) & (F.col("r.x0") < F.col("b.x1")) & (F.col("b.y0") < F.col("r.y1")) & (F.col("r.y0") < F.col("b.y1"))
     return b.join(r, on).select("b.page_id", F.col("b.block_id"), F.col("r.region_id"))
+
+
+def guarded(rows: DataFrame, text: str, budget: int, ratio: float = 3.5) -> tuple[DataFrame, Observation]:
+    """rows, of which one whose text is estimated over the budget stops the job that reads them, so that nothing of it is committed.
+
+    The second value has rows, tokens and largest once the job has run, without another scan.
+    """
+    tokens = t.estimated_tokens(F.coalesce(F.col(text), F.lit("")), ratio)
+    over = F.raise_error(F.concat(F.lit("a text of "), tokens.cast("string"), F.lit(f" tokens is over the budget of {budget}")))
+    out = rows.withColumn("__tokens", F.when(tokens <= budget, tokens).otherwise(over))
+    seen = Observation()
+    out = out.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("__tokens"), F.lit(0)).cast("long").alias("tokens"), F.coalesce(F.max("__tokens"), F.lit(0)).cast("long").alias("largest"))
+    return out.drop("__tokens"), seen

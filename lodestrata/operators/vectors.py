@@ -1,6 +1,6 @@
 """Dense, sparse and hybrid retrieval, re-ranking and greedy selection.
 
-Rows are scored against blocks of queries, and a top-k keeps k rows of every query and task before any is sent.
+Blocks of rows are scored against blocks of queries, and a task keeps k rows of every query before any is sent.
 """
 
 from __future__ import annotations
@@ -31,24 +31,29 @@ def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
-def score_all(rows: DataFrame, queries: DataFrame, same: str | None = None, block: int = 1000) -> DataFrame:
-    """(query_id, vec_id, label, score): every row against every query, in blocks of about ``block`` queries.
+def nearest(rows: DataFrame, queries: DataFrame, k: int, same: str | None = None, threshold: float | None = None) -> DataFrame:
+    """(query_id, vec_id, score, rank): each query's k rows with the greatest cosine, its own id left out; ties to smaller ids.
 
-    One block is sent along with the tasks; with more, a row meets each block by an equi-join on its number.
-    ``same``: score within equal values of this column only. Norms are computed once for each row.
+    Blocks of rows meet blocks of queries as matrix products, and a task keeps k rows of each of its queries. ``same``: only
+    rows with the query's value of this column, whose groups of any size are cut into blocks, too. ``threshold``: the least cosine.
+    Vectors that are null or of no length take no part. Ids must be distinct.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"), *([F.col(same).alias("q_same")] if same else []))
-    r = rows.select("vec_id", "embedding", norm(F.col("embedding")).alias("n"), "label")
-    other = F.col("query_id") != F.col("vec_id")
-    blocks = -(-queries.count() // block)
-    if same:
-        both = r.join(F.broadcast(q) if blocks <= 1 else q, F.col(same) == F.col("q_same")).where(other)
-    elif blocks <= 1:
-        both = r.join(F.broadcast(q), other)
-    else:
-        q = q.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        both = r.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "__b").where(other)
-    return both.select("query_id", "vec_id", "label", F.round(dot(F.col("embedding"), F.col("q")) / F.nullif(F.col("n") * F.col("qn"), F.lit(0.0)), 6).alias("score"))
+    g = F.to_json(F.struct(same)) if same else F.lit("")
+    cols = [g.alias("g"), F.col("vec_id").alias("pos"), F.col("embedding").alias("v")]
+    long = F.exists("v", lambda x: x != 0)
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("pos")
+        ids, asked = x.pos.to_numpy(), y.pos.to_numpy()
+        s = nearness.cosines(y, x, 6)
+        s[asked[:, None] == ids] = -np.inf
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        top = np.take_along_axis(s, order, 1)
+        use = np.isfinite(top) if threshold is None else top >= threshold
+        return pd.DataFrame({"query_id": np.repeat(asked, use.sum(1)), "vec_id": ids[order[use]], "score": top[use]})
+
+    met = nearness.meet(rows.select(*cols).where(long), queries.select(*cols).where(long), best, "query_id long, vec_id long, score double")
+    return top_k(met, k)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", key: str = "vec_id") -> DataFrame:
@@ -126,7 +131,4 @@ def prune_near(rows: DataFrame, by: str, threshold: float = 0.95) -> DataFrame:
 
 def candidates(rows: DataFrame, stored: DataFrame, block: str, threshold: float = 0.86, k: int = 5) -> DataFrame:
     """Stored rows of the same block with a cosine of the threshold or more, k at most for each row."""
-    a = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col(block).alias("__b"))
-    both = a.join(stored.select("vec_id", "embedding", F.col(block).alias("__b")), "__b").where("query_id <> vec_id")
-    return top_k(both.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score")).where(F.col("score") >= threshold), k)
-
+    return nearest(stored, rows, k, block, threshold)

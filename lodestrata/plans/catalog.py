@@ -14,7 +14,7 @@ from ..functions import labels as lb
 from ..functions import text as t
 from ..operators import collections as co
 from ..operators import entities as en
-from ..operators import exports, kept, layout, plugs
+from ..operators import exports, image_index, kept, layout, plugs
 from ..operators import postprocess as pp
 from ..operators import regions, resolution, rollups, search, segment, state, summary
 from ..operators import vectors as ve
@@ -41,6 +41,19 @@ CHUNKS = """
 c0 as (select doc_id, lang, source as filename, sha256(text) as file_hash, string_split(text, chr(10)) as l from documents),
 c1 as (select doc_id, lang, filename, file_hash, unnest(l) as text, generate_subscripts(l, 1) - 1 as ord from c0),
 c as (select doc_id || ':' || ord as node_id, doc_id, ord, filename, lang, file_hash, text from c1 where regexp_matches(text, '\\S'))"""
+
+
+def blanks(columns: tuple[str, ...], **given: str) -> str:
+    """The select list of an export: what is given, else an empty cell."""
+    return ", ".join(f"{given.get(c, repr(''))} as {c}" for c in columns)
+
+
+def referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with a reference to what they were taken from."""
+    ref = F.struct(F.upper("filename").alias("network"), F.lit("posting").alias("type"), F.col("doc_id").alias("text_id"), F.lit(" ").alias("author"))
+    return chunks(spark, sf_dir).withColumns({"reference": ref, "row": F.col("ord")})
+
+
 MENTIONS = (
     CHUNKS
     + r""",
@@ -277,12 +290,10 @@ def fulltext_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.page(table(spark, sf_dir, "documents"), "doc_id", 50, search.encode_cursor(49)).select("doc_id", "source", "n_chars")
 
 
-@query("with " + CHUNKS + r"""
-select filename, node_id, doc_id::varchar as doc_id, ord::varchar as ord, text, lang, 'text' as kind, case when node_id = '733:0' then 'true' else 'false' end as marked,
-  ceil(length(text) / 3.5)::bigint::varchar as est_tokens
+@query("with " + CHUNKS + " select " + blanks(exports.SEARCH, marked="case when node_id = '733:0' then 'true' else 'false' end", kind="'text'", source="filename", row="ord::varchar", chunk_id="node_id", chunk_text="text", network="upper(filename)", type="'posting'", author="' '") + r"""
 from c where regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])pathetic')""")
 def search_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.export(search.find(chunks(spark, sf_dir), "pathetic"), ["733:0"])
+    return exports.search(search.find(referenced(spark, sf_dir), "pathetic"), ["733:0"])
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -291,6 +302,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return v, v.where("vec_id % 100 = 0")
 
 
+def labelled(hits: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits.join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", "score", "rank")
+
+
 COSINE = """
 with s as (
   select q.vec_id as query_id, x.vec_id, x.label, round(list_cosine_similarity(x.embedding::double[], q.embedding::double[]), 6) as score, q.label as q_label
@@ -299,12 +314,12 @@ with s as (
 
 @query(COSINE + " select query_id, vec_id, label, score, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s qualify rank <= 5")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ve.top_k(ve.score_all(*vectors(spark, sf_dir)), 5)
+    return labelled(ve.nearest(*vectors(spark, sf_dir), 5), spark, sf_dir)
 
 
 @query(COSINE + " select query_id, vec_id, label, score, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s where label = q_label qualify rank <= 5")
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ve.top_k(ve.score_all(*vectors(spark, sf_dir), same="label"), 5)
+    return labelled(ve.nearest(*vectors(spark, sf_dir), 5, same="label"), spark, sf_dir)
 
 
 @query("""
@@ -335,23 +350,51 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ve.top_k(sparse(spark, sf_dir), 10, "item_id", "doc_id")
 
 
-@query(COSINE + """,
-d0 as (select query_id, vec_id, score from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20),
-l as (select query_id, vec_id, round(1.0 / (1 + abs(vec_id - query_id)), 6) as score from s qualify row_number() over (partition by query_id order by round(1.0 / (1 + abs(vec_id - query_id)), 6) desc, vec_id) <= 20),
-d as (select query_id, vec_id, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as d from d0 window w as (partition by query_id)),
+@query("with " + TERMS.replace("s as (", "t as (") + """,
+c as (
+  select q.vec_id as query_id, x.vec_id, round(list_cosine_similarity(x.embedding::double[], q.embedding::double[]), 6) as score
+  from embeddings x join embeddings q on q.vec_id in (select item_id from benchmark) and x.vec_id <> q.vec_id),
+d0 as (select * from c qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20),
+l as (select item_id as query_id, doc_id as vec_id, score from t qualify row_number() over (partition by item_id order by score desc, doc_id) <= 20),
+dd as (select query_id, vec_id, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as d from d0 window w as (partition by query_id)),
 p as (select query_id, vec_id, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as s from l window w as (partition by query_id)),
-f as (select query_id, vec_id, round(0.5 * coalesce(d, 0) + 0.5 * coalesce(s, 0), 6) as score from d full join p using (query_id, vec_id))
+f as (select query_id, vec_id, round(0.5 * coalesce(d, 0) + 0.5 * coalesce(s, 0), 6) as score from dd full join p using (query_id, vec_id))
 select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from f qualify rank <= 20""")
 def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ve.score_all(*vectors(spark, sf_dir))
-    lexical = s.withColumn("score", F.round(1.0 / (1 + F.abs(F.col("vec_id") - F.col("query_id"))), 6))
-    return ve.fuse(ve.top_k(s, 20), ve.top_k(lexical, 20), "query_id", "vec_id")
+    """Items of the benchmark ask: by their words for documents, and by the vector of their id for vectors of documents."""
+    v = table(spark, sf_dir, "embeddings")
+    q = v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    lexical = ve.top_k(sparse(spark, sf_dir), 20, "item_id", "doc_id").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("vec_id"), "score", "rank")
+    return ve.fuse(ve.nearest(v, q, 20), lexical, "query_id", "vec_id")
+
+
+@query(COSINE + " select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s qualify rank <= 5")
+def image_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as those of images, stored by coarse cells, and read whole again."""
+    v, q = vectors(spark, sf_dir)
+    return image_index.search(image_index.build(v, kept.new_path(spark, "images")), q, 5, exact=True)
+
+
+@query()
+def image_index_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that each query probes are all that is read for it."""
+    v, q = vectors(spark, sf_dir)
+    return image_index.search(image_index.build(v, kept.new_path(spark, "images")), q, 5)
+
+
+@query("with " + CHUNKS + " select count(*) as rows, sum(ceil(length(text) / 3.5))::bigint as tokens, max(ceil(length(text) / 3.5))::bigint as largest from c where length(text) <= 100000")
+def guarded_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks written behind a guard of their budget, and what it observed while they were."""
+    c = chunks(spark, sf_dir).where(F.length("text") <= 100_000)
+    rows, seen = segment.guarded(c, "text", 30_000)
+    kept.keep(rows, "payloads")
+    return spark.createDataFrame([tuple(seen.get[x] for x in ("rows", "tokens", "largest"))], "rows long, tokens long, largest long")
 
 
 @query()
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, q = vectors(spark, sf_dir)
-    return ve.mmr(ve.top_k(ve.score_all(v, q), 40).join(v.select("vec_id", "embedding"), "vec_id"), 10)
+    return ve.mmr(ve.nearest(v, q, 40).join(v.select("vec_id", "embedding"), "vec_id"), 10)
 
 
 @query(COSINE + """,
@@ -360,7 +403,7 @@ r as (select *, round(score * (1 + label / 10.0), 6) as rerank from h),
 f as (select query_id, vec_id, rerank, rank from r where label >= 5 or rerank >= 0.35)
 select query_id, vec_id, rerank, row_number() over (partition by query_id order by rerank desc, rank, vec_id)::int as rerank_rank from f qualify rerank_rank <= 5""")
 def rerank_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = ve.top_k(ve.score_all(*vectors(spark, sf_dir)), 20)
+    h = labelled(ve.nearest(*vectors(spark, sf_dir), 20), spark, sf_dir)
     return ve.rerank(h, F.col("score") * (1 + F.col("label") / 10.0), 5, 0.35, F.col("label") < 5).select("query_id", "vec_id", "rerank", "rerank_rank")
 
 
@@ -911,11 +954,6 @@ def parent_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- exports
 
 
-def blanks(columns: tuple[str, ...], **given: str) -> str:
-    """The select list of an export: what is given, else an empty cell."""
-    return ", ".join(f"{given.get(c, repr(''))} as {c}" for c in columns)
-
-
 @query("with " + M + ENTITIES + """
 select (row_number() over (order by mentions desc, lower(text), first))::varchar as rank, text as entity, first.k as type, mentions::varchar as mentions
 from e where mentions >= 2 qualify row_number() over (order by mentions desc, lower(text), first) <= 100""")
@@ -923,12 +961,6 @@ def entity_stats_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.entities(en.top(entities(spark, sf_dir).where("mentions >= 2"), 100))
 
 
-def referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with a reference to what they were taken from."""
-    ref = F.struct(F.upper("filename").alias("network"), F.lit("posting").alias("type"), F.col("doc_id").alias("text_id"), F.lit(" ").alias("author"))
-    return chunks(spark, sf_dir).withColumns({"reference": ref, "row": F.col("ord")})
-
-
 @query("with " + M + " select " + blanks(exports.ENTITY_SOURCES, entity="'Thing'", source="filename", row="ord::varchar", chunk_id="node_id", chunk_text="text", network="upper(filename)", ref_type="'posting'", text_id="doc_id::varchar", author="' '") + """
 from c where exists (select 1 from m where m.doc_id = c.doc_id and m.ord = c.ord and lower(m.text) = 'thing')""")
 def entity_source_export(spark: SparkSession, sf_dir: str) -> DataFrame:
