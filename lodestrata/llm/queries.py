@@ -69,13 +69,13 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dated list entries, from the tables: every event acts on the hosts that share its user's bucket (a fifth of them on the domain above)."""
-    hosts = read(spark, sf_dir, "pages").select(url_lists.host(F.col("url")).alias("host")).where("host is not null").distinct()
-    hosts = hosts.withColumn("bucket", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("long") % 97)
-    events = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("effective"), (F.col("user_id") % 97).alias("bucket"), "event_type", "value")
+    """Dated list entries, from the tables: every event acts on the hosts of four pages (a fifth of the events on the domain above)."""
+    pages = read(spark, sf_dir, "pages").select("page_id", url_lists.host(F.col("url")).alias("host"))
+    page = F.pmod(F.col("event_id") * 7 + F.col("j") * 1013, F.lit(max(1, pages.count())))
+    events = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("effective"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"), "event_type", "value").withColumn("page_id", page)
     action = F.when(F.col("event_type").isin("error", "signup"), "block").when(F.col("event_type") == "purchase", "allow").otherwise("remove")
     key = F.when(F.col("event_id") % 5 == 0, F.substring_index("host", ".", -2)).otherwise(F.col("host"))
-    return events.join(hosts, "bucket").select(F.concat(F.lit("list"), F.col("event_id") % 3).alias("list_name"), key.alias("key"), action.alias("action"), F.col("value").alias("weight"), "effective")
+    return events.join(pages.where("host is not null"), "page_id").select(F.concat(F.lit("list"), F.col("event_id") % 3).alias("list_name"), key.alias("key"), action.alias("action"), F.col("value").alias("weight"), "effective")
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,13 +87,12 @@ with c as (
   select page_id, to_timestamp(1704067200 + (page_id * 7919) % 15552000)::timestamp as fetched,
     nullif(rtrim(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'), '') as host
   from pages),
-h as (select distinct host, ('0x' || substr(md5(host), 1, 4))::bigint % 97 as bucket from c where host is not null),
 e as (
   select 'list' || (event_id % 3) as list_name,
     case when event_id % 5 = 0 then array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') else host end as key,
     case when event_type in ('error', 'signup') then 'block' when event_type = 'purchase' then 'allow' else 'remove' end as action,
     value as weight, ts::timestamp as valid_from
-  from events join h on user_id % 97 = bucket),
+  from events cross join range(4) t(j) join c on c.page_id = (event_id * 7 + j * 1013) % (select count(*) from pages) where host is not null),
 l as (select list_name, key, valid_from, max({'action': action, 'weight': weight}) as last from e group by all),
 i as (select list_name, key, valid_from, last.action as action, lead(valid_from) over (partition by list_name, key order by valid_from) as valid_to from l),
 k as (
