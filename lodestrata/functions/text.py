@@ -120,13 +120,36 @@ def progress_key(c: Column) -> Column:
     return F.regexp_replace(c, r"\d+", "#")
 
 
+# How models mark their reasoning, by tags and by channels.
+THINK, THINK_OPEN, THINK_CLOSE = r"(?is)<think\b[^>]*>(.*?)</think\s*>", r"(?i)<think\b[^>]*>", r"(?i)</think\s*>"
+CHANNEL = r"(?is)<\|channel\|>\s*%s\s*<\|message\|>(.*?)(?=<\|end\|>|<\|return\|>|<\|channel\|>|\z)"
+STOPS = r"(?i)<\|(?:end|return|start|constrain)\|>"
+
+
+def of_channels(c: Column) -> Column:
+    """The first final channel, if there is one; else the text without analysis channels."""
+    final = CHANNEL % "final"
+    return F.when(c.rlike(final), strip(F.regexp_extract(c, final, 1))).otherwise(F.regexp_replace(c, CHANNEL % "analysis", ""))
+
+
 def without_reasoning(c: Column) -> Column:
-    """Text without <think> blocks and stray tags of this kind."""
-    return strip(F.regexp_replace(F.regexp_replace(c, r"(?is)<think(?:ing)?\b[^>]*>.*?</think(?:ing)?\s*>", ""), r"(?i)</?think(?:ing)?\b[^>]*>", ""))
+    """An answer without what its model thought: channels and <think> blocks; what stands before a closing tag that was never opened,
+    and after an opening one that never closes, is thought, too."""
+    out = F.regexp_replace(of_channels(c), THINK, "")
+    closes, opens = F.regexp_instr(out, F.lit(THINK_CLOSE)), F.regexp_instr(out, F.lit(THINK_OPEN))
+    out = F.when((closes > 0) & ((opens == 0) | (closes < opens)), F.regexp_replace(out, r"(?is)\A.*?</think\s*>", "")).otherwise(out)
+    return strip(F.regexp_replace(F.regexp_replace(out, r"(?is)<think\b[^>]*>.*", ""), STOPS, ""))
 
 
 def reasoning(c: Column) -> Column:
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(?is)<think(?:ing)?\b[^>]*>(.*?)</think(?:ing)?\s*>"), 1), lambda x: strip(x)), "\n\n")
+    """What without_reasoning takes out, without its marks, a line for each part; null if there is nothing."""
+    rest = of_channels(c)
+    bare = F.regexp_replace(rest, THINK, "")
+    closes, opens = F.regexp_instr(bare, F.lit(THINK_CLOSE)), F.regexp_instr(bare, F.lit(THINK_OPEN))
+    dangling = (closes > 0) & ((opens == 0) | (closes < opens))
+    before, after = F.when(dangling, F.regexp_extract(bare, r"(?is)\A(.*?)</think\s*>", 1)), F.regexp_extract(bare, r"(?is)<think\b[^>]*>(.*)", 1)
+    parts = F.concat(F.regexp_extract_all(c, F.lit(CHANNEL % "analysis"), 1), F.regexp_extract_all(rest, F.lit(THINK), 1), F.array(before, after))
+    return F.nullif(F.array_join(F.filter(F.transform(parts, strip), lambda x: x != ""), "\n"), F.lit(""))
 
 
 def clamped(c: Column, most: int = 1024, mark: str = "… [truncated]") -> Column:
@@ -138,7 +161,7 @@ def clamped(c: Column, most: int = 1024, mark: str = "… [truncated]") -> Colum
 def cut_body(c: Column, allowance: int) -> Column:
     """The text, or its beginning and a note of how much isn't shown."""
     n = F.length(c)
-    return F.when(n <= allowance, c).otherwise(F.concat(F.substring(c, 1, allowance), F.format_string("\n[... %d of %d characters not shown ...]", n - allowance, n)))
+    return F.when(n <= allowance, c).otherwise(F.concat(F.substring(c, 1, allowance), F.format_string("[... %d of %d characters not shown ...]", n - allowance, n)))
 
 
 def preview(c: Column, most: int = 600) -> Column:
@@ -181,11 +204,47 @@ def csv_cell(c: Column, is_array: bool = False) -> Column:
     return F.coalesce(F.array_join(c, ";") if is_array else c.cast("string"), F.lit(""))
 
 
+# Phrases of answers that tell that nothing was found, of answers that no image came, and words that show what is asked for.
+WEAK_PHRASES = (
+    "evidence insufficient", "evidence is insufficient", "i couldn't generate", "cannot answer based on the provided", "the retrieved context does not", "no information", "keine informationen", "keine belege",
+    "unzureichende belege", "belege sind unzureichend", "kann auf grundlage der bereitgestellten", "konnte keine antwort",
+)
+NO_IMAGE = (
+    "i don't see any image", "i do not see any image", "i don't see an image", "i do not see an image", "no image attached", "no image provided", "no image was attached", "no image was provided",
+    "i cannot see an image", "i can't see an image", "there is no image", "there's no image", "you haven't provided an image", "you have not provided an image", "image is not attached", "image wasn't attached",
+)
+NO_IMAGE_IF_SHORT = ("please provide the document image", "please provide the image", "please share the image")
+INTENTS = {"ner": ("entity", "extract", "ner", "relation"), "table": ("table", "row", "column", "csv"), "summary": ("summary", "summarize", "overview")}
+
+
+def holds_any(c: Column, phrases: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(c, p))
+
+
 def weak_answer(c: Column) -> Column:
-    """Too short, or a phrase that says that nothing was found."""
-    return F.coalesce(F.length(strip(c)) < 40, F.lit(True)) | F.lower(c).rlike("i don't know|no relevant|not enough information|cannot answer|could not find|no information")
+    """Shorter than 40 characters, or with a phrase that says that nothing was found."""
+    return F.coalesce(F.length(strip(c)) < 40, F.lit(True)) | holds_any(F.lower(c), WEAK_PHRASES)
+
+
+def no_image_refusal(c: Column) -> Column:
+    """Does the answer say that no image came? Some phrases count in short answers only."""
+    low = strip(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+", " "))
+    return holds_any(low, NO_IMAGE) | ((F.length(low) <= 160) & holds_any(low, NO_IMAGE_IF_SHORT))
 
 
 def intent(c: Column) -> Column:
+    """The first intent of which a keyword occurs, in any case; 'qa' without one."""
     low = F.lower(c)
-    return F.when(low.rlike(r"\b(summari[sz]e|summary|overview)\b"), "summarize").when(low.rlike(r"\b(who|people|entit|names?)\b"), "entities").when(low.rlike(r"\b(table|csv|rows?)\b"), "table").otherwise("qa")
+    out = F.lit("qa")
+    for name, words in reversed(INTENTS.items()):
+        out = F.when(holds_any(low, words), name).otherwise(out)
+    return out
+
+
+def understood(c: Column) -> Column:
+    """struct<intent, confidence, reason, query, page> of a question; the page is the number behind the word."""
+    kind = intent(c)
+    return F.struct(
+        kind.alias("intent"), F.when(kind == "qa", 0.6).otherwise(0.8).alias("confidence"), F.when(kind != "qa", F.concat(F.lit("matched keywords for "), kind)).alias("reason"),
+        F.nullif(c, F.lit("")).alias("query"), F.nullif(F.regexp_extract(c, r"(?i)page\s*(\d+)", 1), F.lit("")).alias("page"),
+    )

@@ -142,3 +142,38 @@ def published(log: DataFrame) -> DataFrame:
     ok = (F.col("kind") == "store") & (F.col("expected") == F.col("revision"))
     out = seen.groupBy("collection").agg(F.max("revision").alias("revision"), F.max(F.when(ok, F.struct("at", "revision", "payload"))).alias("s"))
     return out.select("collection", "revision", F.when(F.col("s.revision") == F.col("revision"), F.col("s.payload")).alias("payload"))
+
+
+# Kinds of a report's items, and the file of each in a bundle.
+BUNDLE = {"entity": "entity-findings", "hate_speech": "hate-speech", "chat": "chat-answers", "summary": "summaries"}
+
+
+def merged_findings(items: DataFrame, joint: str = " · ") -> DataFrame:
+    """Entity findings of a report that show one chunk as one: (report_id, key, position, labels, notes, entities, translation).
+
+    items: (report_id, position, chunk_id, filename, page, row, chunk_text, entity_label, note, entities array<string>, translation). The key is
+    the chunk's id, or file, place and text of old items without one. Labels and notes are those of all, each once, in the order
+    in which they came; entities are joined whole; the first translation there is stays.
+    """
+    key = F.coalesce(t.non_blank(F.col("chunk_id")), F.to_json(F.struct("filename", "page", "row", "chunk_text"), {"ignoreNullFields": "false"}))
+    each = items.select("report_id", "position", key.alias("key"), t.non_blank(F.col("entity_label")).alias("label"), t.non_blank(F.col("note")).alias("note"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), t.non_blank(F.col("translation")).alias("translation"))
+    all_ = each.groupBy("report_id", "key").agg(F.min("position").alias("position"), F.array_sort(F.collect_list(F.struct("position", "label", "note", "entities", "translation"))).alias("i"))
+    once = lambda k: F.array_join(F.array_distinct(F.array_compact(F.transform("i", lambda x: x[k]))), joint)
+    return all_.select("report_id", "key", "position", once("label").alias("labels"), F.nullif(once("note"), F.lit("")).alias("notes"), F.flatten(F.transform("i", lambda x: x["entities"])).alias("entities"), F.get(F.array_compact(F.transform("i", lambda x: x["translation"])), F.lit(0)).alias("translation"))
+
+
+def write_bundle(items: DataFrame, columns: dict[str, tuple[str, ...]], path: str) -> list[str]:
+    """A report's items (kind, position, and any columns) as one CSV folder for each kind that has any, named after its file; their names.
+
+    columns: of each kind. The kinds are told apart by one count; rows go in the order of their positions.
+    """
+    from .search import write_csv
+
+    have = {r.kind for r in items.groupBy("kind").count().collect()}
+    names = []
+    for kind, name in BUNDLE.items():
+        if kind in have:
+            own = items.where(F.col("kind") == kind).orderBy("position")
+            write_csv(own.select(*(F.col(c) if c in items.columns else F.lit(None).cast("string").alias(c) for c in columns[kind])), f"{path}/{name}")
+            names.append(name)
+    return names

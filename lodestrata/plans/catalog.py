@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import filters, json_safe, lenient
 from ..functions import labels as lb
 from ..functions import text as t
+from ..operators import answers
 from ..operators import collections as co
 from ..operators import entities as en
 from ..operators import exports, image_index, kept, layout, plugs
@@ -713,6 +714,67 @@ def transcripts_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.where("cached and error is null").groupBy("file_hash", "transcript").agg(F.count(F.lit(1)).alias("places"))
 
 
+@query("""
+with c as (select conv_id, turn, trim(text) as text, role, trim(text) as answer from conversations)
+select conv_id, turn, answer, case when turn % 4 = 3 then null else role end as thought,
+  length(answer) < 40 or list_bool_or(list_transform(['""" + "', '".join(t.WEAK_PHRASES).replace("couldn't", "couldn''t") + """'], lambda x: contains(lower(answer), x))) as weak,
+  case when regexp_matches(lower(text), 'entity|extract|ner|relation') then 'ner' when regexp_matches(lower(text), 'table|row|column|csv') then 'table' when regexp_matches(lower(text), 'summary|summarize|overview') then 'summary' else 'qa' end as intent
+from c""")
+def answers_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as answers of models that tell their thoughts before, or after, or without an opening or a closing tag."""
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.trim("text"))
+    k = F.col("turn") % 4
+    said = F.when(k == 0, F.concat(F.lit("<think>"), "role", F.lit("</think> "), "text")).when(k == 1, F.concat("role", F.lit("</think>"), "text")).when(k == 2, F.concat("text", F.lit("<think>"), "role")).otherwise(F.col("text"))
+    answer = t.without_reasoning(said)
+    return c.select("conv_id", "turn", answer.alias("answer"), t.reasoning(said).alias("thought"), t.weak_answer(answer).alias("weak"), t.intent(F.col("text")).alias("intent"))
+
+
+@query("""
+with e as (
+  select event_id, event_type, user_id, value, case event_id % 3 when 0 then event_type || '.pdf' when 1 then user_id || '.csv' end as filename,
+    case when event_id % 3 = 2 then md5(event_id::varchar) end as h, case event_id % 4 when 0 then event_id % 50 + 1 when 1 then user_id + 1 end as page from events)
+select 'e' || event_id as id, event_type || ' ' || user_id as text, filename, h as file_hash, '/sources/preview?collection=c&file_hash=' || h as preview_url, page::int as page,
+  case when event_id % 5 = 0 then user_id::int end as "row" from e""")
+def payload_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as stored payloads, their fields in one of the places where readers put them."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    text = F.concat_ws(" ", "event_type", F.col("user_id").cast("string"))
+    origin = F.struct(F.when(k % 3 == 0, F.concat("event_type", F.lit(".pdf"))).alias("filename"), F.when(k % 4 == 0, k % 50 + 1).alias("page_no"))
+    provenance = F.when(k % 4 == 1, F.array(F.struct((F.col("user_id") + 1).alias("page_no"))))
+    payload = F.to_json(F.struct(
+        origin.alias("origin"), F.when(k % 3 == 1, F.concat(F.col("user_id").cast("string"), F.lit(".csv"))).alias("file_name"), F.when(k % 3 == 2, F.struct(F.md5(k.cast("string")).alias("file_hash"))).alias("metadata"),
+        provenance.alias("provenance"), F.when(k % 5 == 0, F.struct(F.col("user_id").alias("row_index"))).alias("table"), F.when(k % 2 == 0, text).alias("chunk"), F.when(k % 2 == 1, F.to_json(F.struct(text.alias("text")))).alias("_node_content"),
+    ))
+    rows = answers.source_rows(e.select(F.concat(F.lit("e"), k).alias("node_id"), payload.alias("payload")), "c")
+    return rows.select("id", "text", "filename", "file_hash", "preview_url", "page", "row")
+
+
+@query("""
+with n as (select *, row_number() over (partition by conv_id order by turn) as n from conversations qualify n <= 6)
+select conv_id, string_agg('Source ' || n || ' [c' || conv_id || ' | page=' || turn || ' | row=n/a]:' || chr(10) || '- Author: ' || role || case when text = '' then '' else chr(10) || 'Text: ' || text end, chr(10) || chr(10) order by n) as sources, false as truncated
+from n group by conv_id""")
+def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns as the sources of one answer."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("position"), F.concat(F.lit("c"), "conv_id").alias("filename"), F.col("turn").alias("page"), F.lit(None).cast("int").alias("row"), "text", F.struct(F.col("role").alias("author")).alias("reference"))
+    return answers.sources_text(c, "conv_id")
+
+
+@query("""
+with i as (select user_id, event_id, event_id % 7 as chunk, event_type as label, case when value > 50 then 'note ' || event_type end as note from events),
+f as (select user_id, chunk, label, min(event_id) as seen from i group by all),
+m as (select user_id, chunk, note, min(event_id) as seen from i where note is not null group by all),
+l as (select user_id, chunk, string_agg(label, ' · ' order by seen) as labels from f group by all),
+n as (select user_id, chunk, string_agg(note, ' · ' order by seen) as notes from m group by all)
+select 'r' || user_id as report_id, 'c' || chunk as key, min(event_id) as position, any_value(labels) as labels, any_value(notes) as notes, count(*) as entities from i join l using (user_id, chunk) left join n using (user_id, chunk) group by user_id, chunk""")
+def report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as findings of a user's report, each in one of seven chunks."""
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    items = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("r"), "user_id").alias("report_id"), F.col("event_id").alias("position"), F.concat(F.lit("c"), F.col("event_id") % 7).alias("chunk_id"), none("filename"), none("page"), none("row"), none("chunk_text"),
+        F.col("event_type").alias("entity_label"), F.when(F.col("value") > 50, F.concat(F.lit("note "), "event_type")).alias("note"), F.array("event_type").alias("entities"), none("translation"))
+    return state.merged_findings(items).select("report_id", "key", "position", "labels", "notes", F.size("entities").cast("long").alias("entities"))
+
+
 @query()
 def keyframe_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ve.prune_near(table(spark, sf_dir, "embeddings"), "label", 0.35)

@@ -46,13 +46,22 @@ def test_scalars(spark):
     assert one(spark, t.mime_of_name(F.col("a")), a="x/Y.JPEG") == "image/jpeg"
     assert [one(spark, t.clock(F.col("a")), a=v) for v in (2.5, 3661.0, float("nan"), -1.0)] == ["00:00:02", "01:01:01", "00:00:00", "00:00:00"]
     assert [one(spark, t.seconds(F.col("a")), a=v) for v in ("01:02:03.5", "02:03", "7", "99:99", "x")] == [3723.5, 123.0, 7.0, None, None]
-    assert one(spark, t.without_reasoning(F.col("a")), a="<think>no</think> yes </think>") == "yes"
+    answers = {
+        "<think>no</think> yes": "yes", "thought </think> yes": "yes", "yes <THINK x> cut sh": "yes", "a </think> b <think> c": "b", "<think>a</think >b<think>c</think>d": "bd", "<thinking>stays": "<thinking>stays",
+        "<|channel|>analysis<|message|>hm<|end|><|start|>assistant<|channel|> final <|message|> yes <|return|>": "yes", "<|channel|>analysis<|message|>hm<|end|> yes": "yes", "yes": "yes", "": "",
+    }
+    assert {a: one(spark, t.without_reasoning(F.col("a")), a=a) for a in answers} == answers
+    thoughts = {"<think> no </think> yes <think> cut": "no\ncut", "x </think> y": "x", "<|channel|>analysis<|message|> hm <|end|><think>so</think>": "hm\nso", "yes": None}
+    assert {a: one(spark, t.reasoning(F.col("a")), a=a) for a in thoughts} == thoughts
+    assert [one(spark, t.no_image_refusal(F.col("a")), a=a) for a in ("Sorry, I  DON'T\nsee an image.", "Please share the image", "Please share the image" + "x" * 160, "A cat")] == [True, True, False, False]
+    assert one(spark, t.understood(F.col("a")), a="Which rows are on Page 12?").asDict() == {"intent": "table", "confidence": 0.8, "reason": "matched keywords for table", "query": "Which rows are on Page 12?", "page": "12"}
+    assert one(spark, t.weak_answer(F.col("a")), a="Dazu gibt es leider keine Informationen in den Dokumenten") and not one(spark, t.weak_answer(F.col("a")), a="The answer is long enough, and it says what was asked for.")
     assert one(spark, t.reasoning(F.col("a")), a="<think> no </think> yes") == "no"
     assert one(spark, t.clamped(F.col("a"), 3), a="a\n\tbcd") == "a b… [truncated]"
     assert one(spark, t.strip_counter(F.col("a")), a="id_1_22") == "id_1"
     assert one(spark, t.readable_bytes(F.col("a")), a=1536) == "1.5 KB"
     assert (one(spark, t.counter(F.col("a"), 1), a="page 3 / 10"), one(spark, t.counter(F.col("a"), 2), a="none")) == (3, None)
-    assert one(spark, t.weak_answer(F.col("a")), a="short") and one(spark, t.intent(F.col("a")), a="Summarise it: an overview") == "summarize"
+    assert one(spark, t.weak_answer(F.col("a")), a="short") and one(spark, t.intent(F.col("a")), a="Summarise it: an overview") == "summary"
 
 
 ROWS = [(1, "text/plain", 5.0, "2024-01-05T12:00:00", ["a", "B c"], '{"k": {"v": "7"}}'), (2, None, None, None, None, None), (3, "image/png", 10.0, "2024-01-04", [" a "], '{"k": {"v": 3}}')]
