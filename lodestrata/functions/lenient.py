@@ -6,6 +6,8 @@ it stays in Spark's expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ from . import text as t
 TOKENS = r'("[^"]*"|[{}\[\]]|[^"{}\[\]]+|")'
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(c: Column) -> Column:
     """Whole strings, brackets, what lies between, and a quote that never closes; as long together as c. Escaped characters are blanked first."""
     return F.regexp_extract_all(F.regexp_replace(c, r"(?s)\\.", "__"), F.lit(TOKENS), 1)
@@ -43,8 +50,8 @@ def is_json(c: Column) -> Column:
 
 def balanced_object(c: Column) -> Column:
     """The object with which c begins; null if it isn't complete and right."""
-    whole = F.substring(c, F.lit(1), F.element_at(ends_at_depth(c, 0, ("}",)), 1))
-    return F.when(F.get(ends_at_depth(c, 0, ("}",)), F.lit(0)).isNotNull() & is_json(whole), whole)
+    right = lambda whole: F.when(is_json(whole), whole)
+    return bound(F.get(ends_at_depth(c, 0, ("}",)), F.lit(0)), lambda n: F.when(n.isNotNull(), bound(F.substring(c, F.lit(1), n), right)))
 
 
 def first_object(c: Column) -> Column:
@@ -57,7 +64,7 @@ def first_object(c: Column) -> Column:
 
     def attempt(state: Column, part: Column) -> Column:
         here = F.substring(c, state["at"] + 1, F.length(c))
-        found = F.when(state["found"].isNotNull(), state["found"]).otherwise(balanced_object(here))
+        found = F.when(state["found"].isNotNull(), state["found"]).otherwise(bound(here, balanced_object))
         return F.struct(found.alias("found"), (state["at"] + 1 + F.length(part)).alias("at"))
 
     return F.when(F.size(parts) > 1, F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start, attempt, lambda s: s["found"]))
@@ -68,8 +75,8 @@ def object_of(answer: Column) -> Column:
 
     An answer that is other JSON (a list, a number) holds none.
     """
-    c = t.strip(t.without_reasoning(F.coalesce(answer, F.lit(""))))
-    return F.when(is_json(c), F.when(c.startswith("{"), c)).otherwise(first_object(c))
+    bare = t.strip(t.without_reasoning(F.coalesce(answer, F.lit(""))))
+    return bound(bare, lambda c: F.when(is_json(c), F.when(c.startswith("{"), c)).otherwise(first_object(c)))
 
 
 def kind_of(c: Column, key: str) -> Column:
@@ -92,24 +99,29 @@ def word(c: Column, key: str, default: str) -> Column:
 
 def flag_of(answer: Column) -> Column:
     """struct<flag, category, confidence, reason> of a classifier's answer; a fixed one for answers that are JSON, but no object."""
-    c = t.strip(t.without_reasoning(F.coalesce(answer, F.lit(""))))
-    found = F.coalesce(object_of(answer), F.lit("{}"))
-    confidence = word(found, "confidence", "low")
-    good = F.struct(
-        truth(found, "hate_speech").alias("flag"), word(found, "category", "none").alias("category"), F.when(confidence.isin("high", "medium", "low"), confidence).otherwise("low").alias("confidence"),
-        t.strip(F.coalesce(F.when(truth(found, "reason"), F.get_json_object(found, "$.reason")), F.lit(""))).alias("reason"),
-    )
     bad = F.struct(F.lit(False).alias("flag"), F.lit("none").alias("category"), F.lit("low").alias("confidence"), F.lit("Invalid model response format").alias("reason"))
-    return F.when(is_json(c) & ~c.startswith("{"), bad).otherwise(good)
+
+    def good(found: Column) -> Column:
+        confidence = word(found, "confidence", "low")
+        return F.struct(
+            truth(found, "hate_speech").alias("flag"), word(found, "category", "none").alias("category"), F.when(confidence.isin("high", "medium", "low"), confidence).otherwise("low").alias("confidence"),
+            t.strip(F.coalesce(F.when(truth(found, "reason"), F.get_json_object(found, "$.reason")), F.lit(""))).alias("reason"),
+        )
+
+    whole = t.strip(t.without_reasoning(F.coalesce(answer, F.lit(""))))
+    return bound(whole, lambda c: F.when(is_json(c) & ~c.startswith("{"), bad).otherwise(bound(F.coalesce(F.when(is_json(c), c).otherwise(first_object(c)), F.lit("{}")), good)))
 
 
 def tags_of(answer: Column) -> Column:
     """struct<description, tags> of an image tagger's answer: tags of one to three words; both empty where there is no object."""
-    found = F.coalesce(object_of(answer), F.lit("{}"))
-    text = F.when(truth(found, "description"), F.get_json_object(found, "$.description"))
-    listed = F.try_variant_get(F.try_parse_json(found), "$.tags", "array<string>")
-    tags = F.filter(F.transform(listed, lambda x: t.strip(F.coalesce(x, F.lit("None")))), lambda x: (x != "") & (F.size(F.split(x, r"(?U)\s+")) <= 3))
-    return F.struct(t.strip(F.coalesce(text, F.lit(""))).alias("description"), F.coalesce(tags, F.array().cast("array<string>")).alias("tags"))
+
+    def read(found: Column) -> Column:
+        text = F.when(truth(found, "description"), F.get_json_object(found, "$.description"))
+        listed = F.try_variant_get(F.try_parse_json(found), "$.tags", "array<string>")
+        tags = F.filter(F.transform(listed, lambda x: t.strip(F.coalesce(x, F.lit("None")))), lambda x: (x != "") & (F.size(F.split(x, r"(?U)\s+")) <= 3))
+        return F.struct(t.strip(F.coalesce(text, F.lit(""))).alias("description"), F.coalesce(tags, F.array().cast("array<string>")).alias("tags"))
+
+    return bound(F.coalesce(object_of(answer), F.lit("{}")), read)
 
 
 def array_of(answer: Column) -> Column:
