@@ -17,6 +17,7 @@ task. No link between different components is missed.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,6 +32,7 @@ from .common import discard, ids_join, keep, partitions, tidied
 from .graphs import components
 
 WORDS, PERCENT = 5, 80
+KEY = tuple(secrets.randbits(64) for _ in range(3))  #: of the words' hashes; tasks get the driver's
 HOT_TOKENS = 1 << 19  #: tokens that go last in the order, at most; any number gives the same links
 HOT_IN_TASK = 2  #: rows of one task that make a token a candidate for it
 MAP = 16  #: 64-bit words of a bitmap
@@ -87,7 +89,7 @@ def summarise(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for b in tb.blocks(batch, "text"):
-                sets = tb.shingles(b.column(1), WORDS)
+                sets = tb.shingles(b.column(1), WORDS, KEY)
                 n = np.array([len(s) for s in sets])
                 flat = np.concatenate(sets)
                 at = np.repeat(np.arange(len(n)), n)
@@ -168,7 +170,7 @@ def witnesses(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
         for batch in batches:
             for b in tb.blocks(batch, "text"):
-                for d, c, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), tb.shingles(b.column(1), WORDS)):
+                for d, c, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), tb.shingles(b.column(1), WORDS, KEY)):
                     m, grp = len(s), c
                     if not m:
                         continue
@@ -324,7 +326,7 @@ def tokens_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tb.blocks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in tb.shingles(b.column(1), WORDS)], pa.binary())], names=["doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in tb.shingles(b.column(1), WORDS, KEY)], pa.binary())], names=["doc_id", "tokens"])
 
     return keep(ids_join(docs.select("doc_id", "text"), keep(ids.distinct(), "ids"), "doc_id").mapInArrow(run, "doc_id long, tokens binary"), "tokens")
 

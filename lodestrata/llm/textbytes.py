@@ -15,7 +15,6 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 KEPT = 1 << 19
-WORDS_KEPT = 200_000
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -84,21 +83,26 @@ def table(ranges: list[tuple[int, int]]) -> np.ndarray:
 NOT_SPACE = ~SPACE
 
 
-def tokens(data: np.ndarray, offs: np.ndarray, inner: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
-    """All maximal runs of ``inner`` bytes of a block's rows as one Arrow column, and where each row's begin (one more at the end).
-
-    What is no inner byte must be ASCII, so that no character is cut. No Python object for a word.
-    """
+def inner_runs(data: np.ndarray, offs: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all maximal runs of ``inner`` bytes of a block's rows, where each row's begin (one more at the end), and which bytes are inner."""
     use = inner[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
     first, last = use.copy(), use.copy()
     first[1:] &= ~use[:-1] | edge[1:-1]
     last[:-1] &= ~use[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs), use
+
+
+def tokens(data: np.ndarray, offs: np.ndarray, inner: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """All maximal runs of ``inner`` bytes of a block's rows as one Arrow column, and where each row's begin (one more at the end).
+
+    What is no inner byte must be ASCII, so that no character is cut. No Python object for a word.
+    """
+    starts, ends, at, use = inner_runs(data, offs, inner)
     places = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
-    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[use]))
-    return words, np.searchsorted(starts, offs)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[use])), at
 
 
 def coded(words: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
@@ -131,34 +135,40 @@ def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return np.frombuffer(b"".join([one(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())]), U).reshape(-1, 2)
 
 
-_known: dict[bytes, int] = {}
-
+PACKED = 16  #: bytes of words that are hashed as two 64-bit integers
+MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U)
 
-def word_hash(word: bytes) -> int:
-    """64 bits of BLAKE2b; those of short words are kept, WORDS_KEPT at most."""
-    h = _known.get(word)
-    if h is None:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 32:
-            if len(_known) >= WORDS_KEPT:
-                _known.clear()
-            _known[word] = h
-    return h
 
+def words(data: np.ndarray, offs: np.ndarray, key: tuple[int, ...] = (1, 2, 3)) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of a block, A-Z lower-cased, and where each row's words begin (one more at the end).
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of a block, A-Z lower-cased, and where each row's words begin (one more at the end)."""
-    found, at = tokens(LOWER[data], offs, NOT_SPACE)
-    code, names = coded(found)
-    return np.fromiter(map(word_hash, names.cast(pa.binary()).to_pylist()), U, len(names))[code], at
-
-
-def shingles(col: pa.Array, k: int = 5) -> list[np.ndarray]:
+    Words of up to PACKED bytes are hashed by their bytes as integers, longer ones by BLAKE2b. With a key that whoever writes texts doesn't
+    know, no two words can be made to collide.
+    """
+    low = LOWER[data]
+    starts, ends, at, _ = inner_runs(low, offs, NOT_SPACE)
+    n = ends - starts
+    full = np.r_[low, np.zeros(PACKED, np.uint8)]
+    eight = np.ndarray((len(full) - 7,), "<u8", full, strides=(1,))  # the eight bytes from each place on
+    a, b, c = (U(k & 0xFFFFFFFFFFFFFFFF) for k in key)
+    with np.errstate(over="ignore"):
+        h = mix((eight[starts] & MASK[np.minimum(n, 8)]) ^ a)
+        h = mix(h + ((eight[starts + 8 * (n > 8)] & MASK[np.clip(n - 8, 0, 8)]) ^ b))
+        h = mix(h + (n.astype(U) ^ c))
+    long = np.flatnonzero(n > PACKED)
+    if len(long):
+        secret = b"".join(int(k).to_bytes(8, "little") for k in (a, b, c))
+        view = memoryview(low)
+        h[long] = [int.from_bytes(hashlib.blake2b(view[s:e], digest_size=8, key=secret).digest(), "little") for s, e in zip(starts[long].tolist(), ends[long].tolist())]
+    return h, at
+
+
+def shingles(col: pa.Array, k: int = 5, key: tuple[int, ...] = (1, 2, 3)) -> list[np.ndarray]:
     """Each row's distinct k-word shingles as sorted hashes; with fewer words the whole sequence is one."""
     data, offs = raw(col)
     if not len(col):
         return []
-    hashes, at = words(data, offs)
+    hashes, at = words(data, offs, key)
     n = len(hashes) - k + 1
     with np.errstate(over="ignore"):
         if n > 0:
