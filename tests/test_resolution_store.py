@@ -65,8 +65,8 @@ def test_resolution_equals_one_loop(spark, answers, monkeypatch):
     monkeypatch.setattr(nearness, "FEW", 16)
     r = random.Random(4)
     vector = lambda: [r.gauss(0, 1) for _ in range(3)]
-    surfaces = {(f"Name {i}", r.choice(["loc", "loc", "org"])): (r.randrange(6), vector()) for i in range(70)}
-    surfaces |= {(f" nAME {i} ", "loc"): (r.randrange(6), vector()) for i in range(0, 40, 3)} | {("Name 1", "LOC"): (3, vector())}
+    surfaces = {(f"Name {i}", r.choice(["loc", "loc", "org"])): (r.randrange(6), vector()) for i in range(45)}
+    surfaces |= {(f" nAME {i} ", "loc"): (r.randrange(6), vector()) for i in range(0, 30, 3)} | {("Name 1", "LOC"): (3, vector())}
     surfaces = [(s, t, m, v) for (s, t), (m, v) in surfaces.items()]
     entities = [(f"e-{i}", f"E {i}", r.choice(["loc", "org"]), vector()) for i in range(9)]
     aliases = [(f"e-{i}", f"Name {3 * i}", entities[i][2]) for i in range(9)] + [("e-1", "E 1", entities[1][2])]

@@ -109,7 +109,7 @@ def check(spark, units, chunks, cache, **how):
     assert {r.unit_key for r in got.fresh.collect()} == {u for u, x in want.items() if not x[2] and not x[3]}
 
 
-@pytest.mark.parametrize("budget", [0, 1, 7, 24, 31, 45, 1000])
+@pytest.mark.parametrize("budget", [0, 7, 31, 1000])
 def test_build_equals_calls_in_turn(spark, budget):
     r = random.Random(budget)
     units = [(f"u{i:02d}", r.choice(["document", "social_bucket"]), f"label {i}", 100 - 3 * i, f"f{i}") for i in range(14)]
@@ -122,7 +122,7 @@ def test_build_equals_calls_in_turn(spark, budget):
 def test_a_tier_keeps_the_folds_it_has_paid_for(spark):
     units = [(f"u{i:02d}", "document", "l", i, f"f{i}") for i in range(10)]
     cache = {(u[0], u[4]): (f"s{u[0]}", []) for u in units}
-    for budget in (0, 3, 4, 5, 9):
+    for budget in (0, 4, 9):
         check(spark, units, {}, cache, max_calls=budget, window_chars=100, fan_in=2)
     check(spark, [], {}, {}, max_calls=5, window_chars=100, fan_in=2)
 
