@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-ROWS_IN_BATCH = 1000  #: of Arrow data between Spark and Python while a table is written
+ROWS_IN_BATCH, BYTES_IN_BATCH = 1000, "4m"  #: of Arrow data between Spark and Python while a table is written, at most (a longer row is a batch)
 
 
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
@@ -49,13 +49,16 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, str(min(int(before), ROWS_IN_BATCH) if int(before) > 0 else ROWS_IN_BATCH))  # texts may be long
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {k: spark.conf.get(k, None) for k in (rows, size)}
+    most = int(before[rows] or 0)
+    spark.conf.set(rows, str(min(most, ROWS_IN_BATCH) if most > 0 else ROWS_IN_BATCH))  # texts, and sets of words, may be long
+    spark.conf.set(size, BYTES_IN_BATCH)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(batch, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
