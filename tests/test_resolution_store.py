@@ -89,17 +89,22 @@ def test_resolution_equals_one_loop(spark, answers, monkeypatch):
 
 
 def test_one_several_abstaining_and_disabled_ties(spark):
-    entities = [("e-1", "Berlin", "loc", [1.0, 0.0]), ("e-12", "Berlin City", "loc", [0.98, 0.1]), ("p", "Berlin", "person", [1.0, 0.0])]
-    surfaces = [("berlin", "loc", 1, [0.99, 0.02])]
-    for reply, method, entity in (("e-1", "vector_llm", "e-1"), ("I think e-12, yes", "vector_llm", "e-12"), ("NONE", "minted", None), ("e-1 e-12", "minted", None), ("e-2 or e-123", "minted", None), (None, "minted", None)):
-        decide = lambda ties, x=reply: ties.select("pos", F.lit(x).alias("reply"))
-        got = run(spark, entities, [], surfaces, decide, threshold=0.9).surfaces.first()
-        assert got.method == method and (entity is None or got.entity_id == entity)
-    got = run(spark, entities, [], surfaces, None, threshold=0.9).surfaces.first()
-    assert (got.method, got.entity_id) == ("vector_topk", "e-1")
+    replies = [("e-1-{}", "vector_llm", "e-1-{}"), ("I think e-12-{}, yes", "vector_llm", "e-12-{}"), ("NONE", "minted", None), ("e-1-{0} e-12-{0}", "minted", None), ("e-2-{0} or e-12-{0}3", "minted", None), (None, "minted", None)]
+    entities = [(f"{e}-{k}", name, f"t{k}", v) for k in range(len(replies)) for e, name, v in (("e-1", "Berlin", [1.0, 0.0]), ("e-12", "Berlin City", [0.98, 0.1]))] + [("p", "Berlin", "person", [1.0, 0.0])]
+    surfaces = [("berlin", f"t{k}", 1, [0.99, 0.02]) for k in range(len(replies))] + [("berlin", "person", 1, [0.99, 0.02])]
+    said = F.create_map(*(F.lit(x) for k, (r, _, _) in enumerate(replies) for x in (f"t{k}", r and r.format(k))))
     asked = []
-    run(spark, entities[:1], [], surfaces, lambda ties: asked.append(ties.count()) or ties.select("pos", F.lit("").alias("reply")), threshold=0.9)
-    assert set(asked) <= {0}
+
+    def decide(ties):
+        asked.extend(r.entity_type for r in ties.select("entity_type").collect())
+        return ties.select("pos", said[F.col("entity_type")].alias("reply"))
+
+    got = {r.entity_type: r for r in run(spark, entities, [], surfaces, decide, threshold=0.9).surfaces.collect()}
+    for k, (_, method, entity) in enumerate(replies):
+        assert got[f"t{k}"].method == method and (entity is None or got[f"t{k}"].entity_id == entity.format(k))
+    assert (got["person"].method, got["person"].entity_id) == ("vector_single", "p") and sorted(asked) == [f"t{k}" for k in range(len(replies))]  # each once, and no single one
+    got = run(spark, entities, [], surfaces[:1], None, threshold=0.9).surfaces.first()
+    assert (got.method, got.entity_id) == ("vector_topk", "e-1-0")
     assert run(spark, [], [], [], None).counts.first().processed == 0
 
 
