@@ -1130,13 +1130,13 @@ def entity_alias_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- search by field, totals, pages
 
 
-POSTS = "select event_id, ts as timestamp, case when event_id % 11 = 0 then 'nextext' else event_type end as network, 'User ' || user_id || ' Smith' as author, user_id as author_id, md5(event_id::varchar) as uuid, case when event_id % 3 = 0 then 'Poster ' || (user_id % 7) end as posting_author, ' ' || event_type || ' ' as text from events"
+POSTS = "select event_id, ts as timestamp, case when event_id % 11 = 0 then 'INTERNAL' else event_type end as network, 'User ' || user_id || ' Smith' as author, user_id as author_id, md5(event_id::varchar) as uuid, case when event_id % 3 = 0 then 'Poster ' || (user_id % 7) end as posting_author, ' ' || event_type || ' ' as text from events".replace("INTERNAL", lb.INTERNAL_NETWORKS[0])
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as posts of a network."""
     return table(spark, sf_dir, "events").select(
-        "event_id", F.col("ts").alias("timestamp"), F.when(F.col("event_id") % 11 == 0, "nextext").otherwise(F.col("event_type")).alias("network"),
+        "event_id", F.col("ts").alias("timestamp"), F.when(F.col("event_id") % 11 == 0, lb.INTERNAL_NETWORKS[0]).otherwise(F.col("event_type")).alias("network"),
         F.concat(F.lit("User "), "user_id", F.lit(" Smith")).alias("author"), F.col("user_id").alias("author_id"), F.md5(F.col("event_id").cast("string")).alias("uuid"),
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Poster "), F.col("user_id") % 7)).alias("posting_author"), F.concat(F.lit(" "), "event_type", F.lit(" ")).alias("text"),
     )
@@ -1231,8 +1231,8 @@ def parent_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with p as ({POSTS})" + r"""
 select event_id, 'network: ' || network || chr(10) as head,
   concat_ws(chr(10), '- Network: ' || network, '- UUID: ' || uuid, '- Posting Author: ' || posting_author, '- Author: ' || author, '- Author ID: ' || author_id, '- Text: ' || trim(text)) as block,
-  coalesce(posting_author, case when network = 'nextext' then '' else author end) as posted_by, 5 + (posting_author is not null)::int as items, uuid as posting_group
-from p""")
+  coalesce(posting_author, case when network = 'INTERNAL' then '' else author end) as posted_by, 5 + (posting_author is not null)::int as items, uuid as posting_group
+from p""".replace("INTERNAL", lb.INTERNAL_NETWORKS[0]))
 def reference_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["network", "uuid", "author", "author_id", "posting_author", "text"]
     p = posts(spark, sf_dir).select("event_id", "network", F.struct(*fields).alias("ref"))
