@@ -64,14 +64,17 @@ def containing(docs: DataFrame, passages: DataFrame, words: int = 4) -> DataFram
     """(query_id, doc_id): documents that hold a passage (query_id, passage).
 
     An equi-join on the hash of some words inside the passage finds the candidates, the text decides. A passage
-    too short for that is looked for in every text.
+    too short for that is looked for in every text. A text is split once and its words are laid beside the next ones,
+    in time that goes with its length.
     """
     parts = F.split("passage", r"\s+")
-    p = passages.withColumn("n", F.size(parts)).withColumn("key", F.when(F.col("n") >= words + 2, F.xxhash64(F.slice(parts, 2, words))))
+    inside = F.struct(*[F.get(parts, F.lit(i)) for i in range(1, words + 1)])
+    p = passages.withColumn("n", F.size(parts)).withColumn("key", F.when(F.col("n") >= words + 2, F.xxhash64(inside)))
     w = F.split("text", r"\s+")
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, words))))
+    runs = F.arrays_zip(w, *[F.slice(w, i + 1, F.size(w)) for i in range(1, words)])
+    keys = docs.select("doc_id", F.explode(runs).alias("run")).select("doc_id", F.xxhash64("run").alias("key"))
     wanted = p.where("key is not null").select("query_id", "passage", "key")
-    hit = docs.select("doc_id", F.explode(keys).alias("key")).join(wanted.select("query_id", "key"), "key").select("query_id", "doc_id").distinct()
+    hit = keys.join(wanted.select("query_id", "key"), "key").select("query_id", "doc_id").distinct()
     found = hit.join(docs.select("doc_id", "text"), "doc_id").join(passages, "query_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
     short = p.where("key is null")
     if short.take(1):
