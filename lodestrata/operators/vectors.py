@@ -61,12 +61,19 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", key: str = "vec_id")
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def words(texts: DataFrame, key: str, column: str = "text", among: DataFrame | None = None) -> DataFrame:
+    """(key, token), a row for each place; with ``among`` of its tokens only."""
+    each = texts.select(key, F.explode(F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x).between(2, 30))).alias("token"))
+    return each if among is None else each.join(among.select("token").distinct(), "token", "left_semi")
+
+
+def counted(each: DataFrame, *by: str) -> DataFrame:
+    return each.groupBy(*by, "token").agg((1 + F.log(F.count(F.lit(1)).cast("double"))).alias("weight"))
+
+
 def term_weights(texts: DataFrame, key: str, column: str = "text", among: DataFrame | None = None) -> DataFrame:
     """(key, token, weight): 1 + log(count) of tokens; with ``among`` of its tokens only, before anything is counted."""
-    words = texts.select(key, F.explode(F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x).between(2, 30))).alias("token"))
-    if among is not None:
-        words = words.join(among.select("token").distinct(), "token", "left_semi")
-    return words.groupBy(key, "token").agg((1 + F.log(F.count(F.lit(1)).cast("double"))).alias("weight"))
+    return counted(words(texts, key, column, among), key)
 
 
 def sparse_scores(rows: DataFrame, queries: DataFrame, key: str, query_key: str) -> DataFrame:
@@ -75,6 +82,50 @@ def sparse_scores(rows: DataFrame, queries: DataFrame, key: str, query_key: str)
     return both.groupBy(query_key, key).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
 
 
+ROWS, QUERIES, CELLS = 2048, 512, 4_000_000  #: texts and queries of a block; numbers of a matrix
+
+
+def sparse_top(texts: DataFrame, queries: DataFrame, k: int, key: str, query_key: str) -> DataFrame:
+    """(query_key, key, score, rank): each query's k texts with the greatest sparse score, ties to smaller keys.
+
+    Blocks of texts meet blocks of queries as matrix products, and a task sends k texts of each of its queries only: pairs of
+    a text and a query are never rows. Texts without a token of the query are no hits.
+    """
+    q = term_weights(queries, query_key)
+    down, across = max(1, -(-texts.count() // ROWS)), max(1, -(-queries.count() // QUERIES))
+    n = down * across  # blocks, and partitions, so that a task's share doesn't grow
+    i, j = (F.pmod(F.xxhash64(c), F.lit(m)).cast("int") for c, m in ((key, down), (query_key, across)))
+    d = words(texts, key, among=q).withColumn("b", F.explode(F.sequence(i * across, i * across + across - 1)))
+    d = counted(d.repartition(n, "b"), "b", key)
+    q = q.withColumn("b", F.explode(F.sequence(j, F.lit(n - 1), F.lit(across)))).repartition(n, "b")
+    names = [query_key, key, "score"]
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        tokens, asked = pd.factorize(y.token), np.unique(y[query_key], return_inverse=True)
+        x = x.assign(t=pd.Index(tokens[1]).get_indexer(x.token))
+        x = x[x.t >= 0]
+        ids, at = np.unique(x[key], return_inverse=True)
+        weights = np.zeros((len(tokens[1]), len(asked[0])))
+        weights[tokens[0], asked[1]] = y.weight
+        step, out = max(1, CELLS // max(1, len(tokens[1]))), [pd.DataFrame({c: [] for c in names})]
+        order = np.argsort(at, kind="stable")
+        at, t, w = at[order], x.t.to_numpy()[order], x.weight.to_numpy()[order]
+        for a in range(0, len(ids), step):
+            own = slice(*np.searchsorted(at, [a, a + step]))
+            m = np.zeros((min(step, len(ids) - a), len(tokens[1])))
+            m[at[own] - a, t[own]] = w[own]
+            s = np.round(m @ weights, 6).T
+            first = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            top = np.take_along_axis(s, first, 1)
+            use = top > 0
+            out.append(pd.DataFrame(dict(zip(names, (np.repeat(asked[0], use.sum(1)), ids[a:][first[use]], top[use])))))
+        return pd.concat(out[1:] or out)
+
+    kinds = [f"{query_key} {queries.schema[query_key].dataType.simpleString()}", f"{key} {texts.schema[key].dataType.simpleString()}", "score double"]
+    met = d.groupBy("b").cogroup(q.groupBy("b")).applyInPandas(best, ", ".join(kinds))
+    return top_k(met, k, query_key, key)
+
+
 def scaled(lane: DataFrame, name: str, by: str) -> DataFrame:
     """Min-max scores of each query's own list; a constant list is 1."""
     w = Window.partitionBy(by)

@@ -341,14 +341,13 @@ d as (select doc_id, token, 1 + ln(count(*)) as weight from b group by 1, 2),
 s as (select item_id, doc_id, round(sum(d.weight * q.weight), 6) as score from d join q using (token) group by 1, 2)"""
 
 
-def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = ve.term_weights(table(spark, sf_dir, "benchmark"), "item_id")
-    return ve.sparse_scores(ve.term_weights(table(spark, sf_dir, "documents"), "doc_id", among=q), q, "doc_id", "item_id")
+def sparse(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return ve.sparse_top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k, "doc_id", "item_id")
 
 
 @query("with " + TERMS + " select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s qualify rank <= 10")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ve.top_k(sparse(spark, sf_dir), 10, "item_id", "doc_id")
+    return sparse(spark, sf_dir, 10)
 
 
 @query("with " + TERMS.replace("s as (", "t as (") + """,
@@ -365,7 +364,7 @@ def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the benchmark ask: by their words for documents, and by the vector of their id for vectors of documents."""
     v = table(spark, sf_dir, "embeddings")
     q = v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    lexical = ve.top_k(sparse(spark, sf_dir), 20, "item_id", "doc_id").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("vec_id"), "score", "rank")
+    lexical = sparse(spark, sf_dir, 20).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("vec_id"), "score", "rank")
     return ve.fuse(ve.nearest(v, q, 20), lexical, "query_id", "vec_id")
 
 
@@ -613,7 +612,7 @@ g as (select item_id, list(doc_id) as found from k group by 1),
 j as (select g.item_id, coalesce(list_has_any(found, wanted), false) as hit, wanted is not null as has from g left join h using (item_id))
 select 'sparse' as mode, count(*) as queries, count(*) filter (has) as expected_queries, round(avg(case when has then hit::int end), 6) as hit_rate from j""")
 def eval_hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = ve.top_k(sparse(spark, sf_dir), 10, "item_id", "doc_id").groupBy(F.col("item_id").alias("query_id")).agg(F.collect_list("doc_id").alias("found"))
+    got = sparse(spark, sf_dir, 10).groupBy(F.col("item_id").alias("query_id")).agg(F.collect_list("doc_id").alias("found"))
     passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     wanted = rollups.containing(table(spark, sf_dir, "documents"), passages).groupBy("query_id").agg(F.collect_list("doc_id").alias("wanted"))
     return rollups.hit_rates(got.withColumn("mode", F.lit("sparse")), wanted)

@@ -1,8 +1,14 @@
 """Steps whose time and memory go with the input."""
 
+import math
+import re
 import time
+from collections import Counter
+
+import pytest
 
 from lodestrata.operators import rollups
+from lodestrata.operators import vectors as ve
 
 
 def test_passages_are_found_in_a_long_text_in_time_that_goes_with_its_length(spark):
@@ -12,3 +18,17 @@ def test_passages_are_found_in_a_long_text_in_time_that_goes_with_its_length(spa
     began = time.time()
     assert sorted(map(tuple, rollups.containing(docs, passages).collect())) == [(7, 1), (8, 1), (9, 4)]
     assert time.time() - began < 40
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 7])
+def test_best_texts_of_each_query_by_blocks(spark, monkeypatch, cells):
+    monkeypatch.setattr(ve, "ROWS", 5), monkeypatch.setattr(ve, "QUERIES", 2), monkeypatch.setattr(ve, "CELLS", cells)
+    texts = [(i, " ".join(f"t{(i * k) % 7}" for k in range(1 + i % 5))) for i in range(40)] + [(40, None), (41, "")]
+    queries = [(1, "t0 t1 t1"), (2, "T3 none"), (3, "zz"), (4, "t2 t4 t6 t6"), (5, None)]
+    got = ve.sparse_top(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(queries, "item_id long, text string"), 3, "doc_id", "item_id")
+    weights = lambda s: {t: 1 + math.log(n) for t, n in Counter(x for x in re.split(r"\W+", (s or "").lower()) if len(x) > 1).items()}
+    want = []
+    for q, a in queries:
+        scores = [(-round(sum(w * weights(b)[t] for t, w in weights(a).items() if t in weights(b)), 6), d) for d, b in texts if weights(a).keys() & weights(b).keys()]
+        want += [(q, d, -s, r) for r, (s, d) in enumerate(sorted(scores)[:3], 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 6
