@@ -22,21 +22,23 @@ def pack_parents(hits: DataFrame, budget: int) -> DataFrame:
     """Hits of each query (query_id, position, node_id, parent_id, parent_tokens, child_tokens) in order: a parent that fits stands for
     its first child, else the child stands alone; later children of a parent seen go. A query's hits are a bounded list."""
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, seen, out = budget, set(), []
-        for r in pdf.sort_values("position").itertuples():
-            if r.parent_id is None or pd.isna(r.parent_id):
-                out.append((r.query_id, r.position, r.node_id, "hit"))
-                continue
-            if r.parent_id in seen:
-                continue
-            seen.add(r.parent_id)
-            whole = left > 0 and not pd.isna(r.parent_tokens) and r.parent_tokens <= left
-            left -= int(r.parent_tokens) if whole else 0
-            out.append((r.query_id, r.position, str(r.parent_id) if whole else r.node_id, "parent" if whole else "child"))
-        return pd.DataFrame(out, columns=["query_id", "position", "node_id", "shown"])
-
-    return hits.groupBy("query_id").applyInPandas(pack, "query_id long, position int, node_id string, shown string")
+    parentless = hits.where("parent_id is null").select("query_id", "position", "node_id", F.lit("hit").alias("shown"))
+    first = F.min(F.struct("position", "node_id", "parent_tokens", F.col("parent_id").cast("string").alias("parent"))).alias("x")
+    firsts = hits.where("parent_id is not null").groupBy("query_id", "parent_id").agg(first)
+    lists = firsts.groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("l"))
+    fits = lambda left, x: (left > 0) & F.coalesce(x["parent_tokens"] <= left, F.lit(False))
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<boolean>").alias("whole"))
+
+    def step(s: Column, x: Column) -> Column:
+        whole = fits(s["left"], x)
+        return F.struct(F.when(whole, s["left"] - x["parent_tokens"].cast("long")).otherwise(s["left"]).alias("left"), F.concat(s["whole"], F.array(whole)).alias("whole"))
+
+    each = lists.select("query_id", F.inline(F.arrays_zip("l", F.aggregate("l", start, step)["whole"].alias("whole"))))
+    shown = each.select(
+        "query_id", "l.position", F.when(F.col("whole"), F.col("l.parent")).otherwise(F.col("l.node_id")).alias("node_id"), F.when(F.col("whole"), "parent").otherwise("child").alias("shown"),
+    )
+    kinds = {"query_id": "long", "position": "int", "node_id": "string", "shown": "string"}
+    return parentless.unionByName(shown).select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()))
 
 
 def diverse(hits: DataFrame, identity: str, bucket: str, most: int, order: list[Column]) -> DataFrame:

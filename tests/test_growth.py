@@ -7,6 +7,9 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from lodestrata.operators import postprocess as pp
 from lodestrata.operators import rollups
 from lodestrata.operators import vectors as ve
 
@@ -32,3 +35,22 @@ def test_best_texts_of_each_query_by_blocks(spark, monkeypatch, cells):
         scores = [(-round(sum(w * weights(b)[t] for t, w in weights(a).items() if t in weights(b)), 6), d) for d, b in texts if weights(a).keys() & weights(b).keys()]
         want += [(q, d, -s, r) for r, (s, d) in enumerate(sorted(scores)[:3], 1)]
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 6
+
+
+def test_parents_are_packed_without_a_python_call_for_each_query(spark):
+    rows = [(q, p, f"c{p}", None if (q + p) % 5 == 0 else f"p{(q * p) % 4}", None if (q * p) % 4 == 3 else 10 + 7 * ((q * p) % 4)) for q in range(30) for p in range(q % 9)]
+    want = []
+    for q in range(30):
+        left, seen = 30, set()
+        for _, p, node, parent, n in (r for r in rows if r[0] == q):
+            if parent is None:
+                want.append((q, p, node, "hit"))
+            elif parent not in seen:
+                seen.add(parent)
+                whole = left > 0 and n is not None and n <= left
+                left -= n if whole else 0
+                want.append((q, p, parent if whole else node, "parent" if whole else "child"))
+    hits = spark.createDataFrame(rows, "query_id long, position int, node_id string, parent_id string, parent_tokens long").withColumn("child_tokens", F.lit(1))
+    got = pp.pack_parents(hits, 30)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {w[3] for w in want} == {"hit", "parent", "child"}
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
