@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
+from .kept import keep
 
 PATTERNS = {"CAP": "[A-Z][a-z]{4,}", "EMAIL": r"[\w.+-]+@[\w-]+\.[\w.]+"}
 
@@ -200,8 +201,10 @@ def endpoints(relations_: DataFrame, found: DataFrame) -> DataFrame:
 
     An end takes the key that its text has in its chunk, else its compact form there, else the text's and the compact form's
     among all mentions, each only if there is one such key; else it is its own lower-case text. Relations without an end are none.
+    The forms of a chunk are kept, as eight lookups read them.
     """
     m = normalized(found).select("doc_id", "ord", F.lower("text").alias("low"), t.compact_ascii(F.col("text")).alias("small"), t.cluster_key(F.col("text"), F.col("kind")).alias("key")).distinct()
+    m = keep(m, "forms")
 
     def only(by: list[str], name: str) -> DataFrame:
         return m.where(F.col(by[-1]) != "").groupBy(*by).agg(F.min("key").alias(name), F.max("key").alias("most")).where(F.col(name) == F.col("most")).drop("most")

@@ -160,9 +160,10 @@ g as (
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, both kept: they are few, and what follows reads them several times."""
     m = found(spark, sf_dir)
-    n = en.nodes(en.aggregate(m))
-    return n, en.co_occurrence(m, n, 2)
+    n = kept.keep(en.nodes(en.aggregate(m)), "nodes")
+    return n, kept.keep(en.co_occurrence(m, n, 2), "edges")
 
 
 @query("with " + M + EDGES + " select source, target, weight, 'co_occurs' as label from g")
@@ -196,9 +197,10 @@ z as (select y.*, n.text from y join n on n.key = y.b order by score desc, depth
 select (select source from t1) || chr(10) || chr(10) || 'Related entities for retrieval: ' || string_agg(text, ', ' order by score desc, depth, lower(text)) as expanded from z""")
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, edges = graph(spark, sf_dir)
-    near = en.neighbours(edges, centre_of(edges)).join(n.select("key", "text"), "key").orderBy(F.desc("score"), "depth", F.lower("text")).limit(6)
+    centre = centre_of(edges)
+    near = en.neighbours(edges, centre).join(n.select("key", "text"), "key").orderBy(F.desc("score"), "depth", F.lower("text")).limit(6)
     names = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "depth", F.lower("text").alias("l"), "text"))), lambda x: x["text"])
-    return near.agg(F.concat(F.lit(f"{centre_of(edges)}\n\nRelated entities for retrieval: "), F.array_join(names, ", ")).alias("expanded"))
+    return near.agg(F.concat(F.lit(f"{centre}\n\nRelated entities for retrieval: "), F.array_join(names, ", ")).alias("expanded"))
 
 
 @query("with " + M + """,
@@ -1093,7 +1095,7 @@ select h.key as head_key, 'rel' as label, t.key as tail_key, count(*) as mention
 from i join q h on h.id = i.id and h.side = 'h' join q t on t.id = i.id and t.side = 't' group by 1, 3""")
 def relation_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations between neighbours whose ends are written in other ways than the mentions."""
-    m = found(spark, sf_dir)
+    m = kept.keep(found(spark, sf_dir), "mentions")
     tail = F.lead("text").over(Window.partitionBy("doc_id", "ord", "kind").orderBy("pos"))
     written = F.when(F.col("pos") % 3 == 0, F.concat("tail", F.lit("!"))).when(F.col("pos") % 3 == 1, F.concat(F.lit("The "), "tail")).otherwise(F.col("tail"))
     r = m.withColumn("tail", tail).where("tail is not null").select("doc_id", "ord", F.upper("text").alias("head"), F.lit("").alias("label"), written.alias("tail"), "score")

@@ -6,12 +6,12 @@ import time
 from collections import Counter
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from lodestrata.operators import postprocess as pp
 from lodestrata.operators import rollups
 from lodestrata.operators import vectors as ve
+from lodestrata.plans import catalog
 
 
 def test_passages_are_found_in_a_long_text_in_time_that_goes_with_its_length(spark):
@@ -54,3 +54,9 @@ def test_parents_are_packed_without_a_python_call_for_each_query(spark):
     got = pp.pack_parents(hits, 30)
     assert sorted(map(tuple, got.collect())) == sorted(want) and {w[3] for w in want} == {"hit", "parent", "child"}
     assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["query_expansion", "relation_endpoints"])
+def test_mentions_are_not_found_again_for_each_later_step(spark, name):
+    got = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert not any("documents.parquet" in f for f in got.inputFiles())
