@@ -7,7 +7,9 @@ what needs a page as a whole is done for each page, whose cells are a bounded li
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,18 +89,76 @@ def merge_cells(cells: list[dict]) -> list[dict]:
     return out
 
 
-def reading_order(cells: DataFrame) -> DataFrame:
-    """Lines of every page in reading order."""
+def merged(page: pd.DataFrame, y: np.ndarray) -> list[dict] | None:
+    """merge_cells() of a page by comparing neighbours in its order; y: baselines as they are rounded there.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = float(pdf.font_size.median() or 1)
-        lines = cut(merge_cells(pdf.to_dict("records")), 1.5 * size, 1.2 * size)
-        out = pd.DataFrame(lines)
-        out["line"] = range(len(out))
-        return out[[x.split()[0] for x in LINES.split(", ")]]
-
-    cols = [x.split()[0] for x in LINES.split(", ") if not x.startswith("line ")]
-    return cells.select(cols).groupBy("doc_id", "page_index").applyInPandas(run, LINES)
+    None where a line's baselines differ, a cell ends before the one to its left or a number is missing: then the rule
+    needs the line so far.
+    """
+    order = np.lexsort((page.x0.to_numpy(), y))
+    x0, y0, x1, y1, size = (page[c].to_numpy()[order] for c in ("x0", "y0", "x1", "y1", "font_size"))
+    gap, down = x0[1:] - x1[:-1], np.abs(y1[1:] - y1[:-1])
+    one = (down <= 0.3 * size[1:]) & (gap >= -size[1:]) & (gap <= 1.5 * size[1:])
+    if np.isnan(x0.sum() + y0.sum() + x1.sum() + y1.sum() + size.sum()) or (down[one] != 0).any() or (x1[1:] < x1[:-1])[one].any():
+        return None
+    starts = np.flatnonzero(np.r_[True, ~one])
+    texts = page.text.to_numpy()[order]
+    texts[1:] = np.where(one & (gap > 0.15 * size[1:]), " ", "").astype(object) + texts[1:]
+    ends = np.r_[starts[1:], len(order)]
+    joined = ["".join(texts[i:j]) for i, j in zip(starts.tolist(), ends.tolist())]
+    columns = (joined, x0[starts].tolist(), np.minimum.reduceat(y0, starts).tolist(), x1[ends - 1].tolist(), y1[starts].tolist(), size[starts].tolist())
+    return [dict(zip(("text", "x0", "y0", "x1", "y1", "font_size"), r)) for r in zip(*columns)]
+
+
+def lines_of(page: pd.DataFrame, y: np.ndarray) -> list[dict]:
+    sizes = page.font_size.to_numpy()
+    size = float(sizes[0] if (sizes == sizes[0]).all() else page.font_size.median()) or 1.0
+    lines = merged(page, y) if page.text.notna().all() else None
+    return cut(merge_cells(page.to_dict("records")) if lines is None else lines, 1.5 * size, 1.2 * size)
+
+
+def reading_order(cells: DataFrame) -> DataFrame:
+    """Lines of every page in reading order.
+
+    Cells are dealt and sorted by page, and a task reads its pages from batches that hold many of them; a page that goes on in the
+    next batch waits for it.
+    """
+    names = [x.split()[0] for x in LINES.split(", ")]
+    cols, by = [c for c in names if c != "line"], ["doc_id", "page_index"]
+
+    def of_pages(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        values, at = np.unique(pdf.y1.to_numpy(), return_inverse=True)
+        y, out = np.array([round(v, 1) for v in values.tolist()])[at], {c: [] for c in names}
+        docs, pages = pdf.doc_id.to_numpy(), pdf.page_index.to_numpy()
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)]):
+            lines = lines_of(pdf.iloc[a:b], y[a:b])
+            out["doc_id"] += [docs[a]] * len(lines)
+            out["page_index"] += [pages[a]] * len(lines)
+            out["line"] += range(len(lines))
+            for c in names[3:]:
+                out[c] += [x[c] for x in lines]
+        return pd.DataFrame(out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            d, p = pdf.doc_id.to_numpy(), pdf.page_index.to_numpy()
+            starts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])])
+            if left and (left[0].doc_id.iloc[0], left[0].page_index.iloc[0]) != (d[0], p[0]):
+                yield of_pages(pd.concat(left, ignore_index=True), np.array([0]))
+                left = []
+            if len(starts) > 1:
+                whole = pd.concat([*left, pdf.iloc[: starts[-1]]], ignore_index=True)
+                before = sum(map(len, left))
+                yield of_pages(whole, np.r_[0, starts[1:-1] + before])
+                left = []
+            left.append(pdf.iloc[starts[-1] :])
+        if left:
+            yield of_pages(pd.concat(left, ignore_index=True), np.array([0]))
+
+    return cells.select(cols).repartition(*by).sortWithinPartitions(*by).mapInPandas(run, LINES)
 
 
 def dehyphenate(lines: list[str]) -> str:

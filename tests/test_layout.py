@@ -1,5 +1,7 @@
 """Layout rules on small pages."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from lodestrata.operators import collections as co
@@ -58,3 +60,20 @@ def test_jobs_and_images(spark):
     names = spark.createDataFrame([("a",), ("a_images",), ("a_dockv",)], "name string")
     assert [r.name for r in co.visible(names).collect()] == ["a"]
     assert spark.createDataFrame([("An idiotic day",)], "t string").select(co.highlighted(F.col("t"), ["idiot"]).alias("x")).first().x == "An **idiotic** day"
+
+
+def test_pages_over_several_batches_equal_pages_alone(spark):
+    r = random.Random(3)
+    rows = [(d, p, f"w{k}", 55.0 * r.randrange(9) + r.choice([0, 0, 3]), 12.0 * r.randrange(5) + r.choice([0, 0, 0, 1]), 50 + r.choice([0, 0, 40])) for d in range(9) for p in range(3) for k in range(r.randrange(1, 40))]
+    rows = [(d, p, t, x, y, x + w, y + 10, 10.0) for d, p, t, x, y, w in {(a, b, x, y): (a, b, t, x, y, w) for a, b, t, x, y, w in rows}.values()] + [(7, 9, f"v{k}", 55.0 * (k % 5), 12.0 * (k // 5), 55.0 * (k % 5) + 50, 12.0 * (k // 5) + 10, 10.0) for k in range(60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = layout.reading_order(spark.createDataFrame(rows, CELL).repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    names, want = CELL.replace(" long", "").replace(" string", "").replace(" double", "").split(", "), []
+    for key in {x[:2] for x in rows}:
+        page = [dict(zip(names, x)) for x in rows if x[:2] == key]
+        want += [(*key, i, *(x[c] for c in names[2:])) for i, x in enumerate(layout.cut(layout.merge_cells(page), 15.0, 12.0))]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert "FlatMapGroups" not in layout.reading_order(spark.createDataFrame(rows, CELL))._jdf.queryExecution().executedPlan().toString()
