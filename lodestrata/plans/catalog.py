@@ -426,9 +426,18 @@ def parent_pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with o as (select *, row_number() over (partition by user_id, event_type, value order by event_id) as i from events qualify i = 1)
-select event_id, user_id || '::' || strftime(ts, '%Y-%m-%dT%H') as bucket, row_number() over (partition by user_id || '::' || strftime(ts, '%Y-%m-%dT%H') order by event_id)::int as bucket_rank from o qualify bucket_rank <= 2""")
+with recursive e as (
+  select event_id, user_id, event_type, value, coalesce(user_id::varchar, 'unknown') || '::' || coalesce(strftime(ts, '%Y-%m-%dT%H'), 'undated') as bucket,
+    row_number() over (partition by user_id, event_type, value order by event_id) = 1 as kept from events),
+r as (
+  select *, true as moved from e
+  union all
+  select event_id, user_id, event_type, value, bucket, fresh as kept, bool_or(fresh <> kept) over () as moved from (
+    select *, not again and coalesce(sum(case when kept and not again then 1 else 0 end) over (partition by bucket order by event_id rows between unbounded preceding and 1 preceding), 0) < 2 as fresh from (
+      select *, coalesce(bool_or(kept) over (partition by user_id, event_type, value order by event_id rows between unbounded preceding and 1 preceding), false) as again from r where moved)))
+select event_id, bucket, row_number() over (partition by bucket order by event_id)::int as bucket_rank from r where kept and not moved""")
 def social_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two posts of an author and hour at most; a post that a full hour turned away may enter with a later one of its identity."""
     e = table(spark, sf_dir, "events").withColumns({"identity": F.concat_ws("|", "user_id", "event_type", "value"), "bucket": t.hour_bucket(F.col("user_id").cast("string"), F.col("ts"))})
     return pp.diverse(e, "identity", "bucket", 2, [F.col("event_id")]).select("event_id", "bucket", "bucket_rank")
 

@@ -5,6 +5,8 @@ import re
 import time
 from collections import Counter
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +62,20 @@ def test_parents_are_packed_without_a_python_call_for_each_query(spark):
 def test_mentions_are_not_found_again_for_each_later_step(spark, name):
     got = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert not any("documents.parquet" in f for f in got.inputFiles())
+
+
+def test_diversity_equals_its_sql_where_a_full_hour_turns_posts_away(spark, tmp_path):
+    at = [pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=17 * (i // 3)) for i in range(400)]
+    events = pd.DataFrame({"event_id": range(400), "ts": pd.Series(at).astype("datetime64[us]"), "user_id": [i % 3 for i in range(400)], "event_type": "view", "value": [float(i * i % 23) for i in range(400)], "props": "{}"})
+    events.to_parquet(tmp_path / "events.parquet")
+    seen, full, want = set(), Counter(), []
+    for r in events.itertuples():
+        bucket = f"{r.user_id}::{r.ts:%Y-%m-%dT%H}"
+        if (r.user_id, r.value) not in seen and full[bucket] < 2:
+            seen.add((r.user_id, r.value))
+            full[bucket] += 1
+            want.append((r.event_id, bucket, full[bucket]))
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    assert sorted(c.sql(catalog.ORACLES["social_diversity"]).fetchall()) == want
+    assert sorted(map(tuple, catalog.QUERIES["social_diversity"](spark, str(tmp_path)).collect())) == want
