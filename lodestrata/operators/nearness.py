@@ -1,7 +1,8 @@
 """Greedy choices by nearness in Spark rounds: no group of rows, however large, is one task's work.
 
 Rows are (g, pos, v): a group, a place in the order (unique over all groups) and a vector. Vectors meet in pairs of
-blocks of a group. The choice goes over growing prefixes of the order, and what lies near a chosen row leaves
+blocks of a group, of so many rows that there are some TASKS such pairs: a smaller side is copied to the blocks of a larger one,
+and copies don't grow with the rows until blocks have MOST of them. The choice goes over growing prefixes of the order, and what lies near a chosen row leaves
 before the next prefix, so that only near pairs within a prefix are ever written down.
 """
 
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .kept import keep
 
-FEW, MOST, SPREAD = 512, 2048, 32  #: rows in a block; groups of up to FEW * SPREAD rows have blocks of FEW
+FEW, MOST, TASKS = 512, 16384, 48  #: rows in a block, at least and at most, and pairs of blocks if these allow
+CELLS = 4_000_000  #: numbers of a matrix of cosines
 HALVES = 12
 GROUPS = 2_000_000  #: whose sizes are broadcast
 
@@ -43,33 +45,53 @@ def first_copies(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("g", "v", alone.alias("alone")).agg(F.min("pos").alias("pos")).select("g", "pos", "v")
 
 
-def meet(a: DataFrame, b: DataFrame, match: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """match() of every block of a with every block of b in the same group, one task's work each."""
+def meet(a: DataFrame, b: DataFrame, match: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """match() of rows of a with every block of b in the same group, one task's work each pair of blocks.
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        n = F.count(F.lit(1))
-        return df.groupBy("g").agg(F.greatest(F.ceil(n / MOST), F.least(F.ceil(n / FEW), F.lit(SPREAD))).cast("int").alias(name))
+    match: from places of some rows of a, places of b's block in their order, and the cosines between both, to columns. It sees as many
+    rows of a at a time as CELLS allow.
+    """
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("g").agg(F.count(F.lit(1)).alias(name))
 
-    sizes = keep(blocks(a, "na").join(blocks(b, "nb"), "g"))
+    sizes = keep(rows(a, "na").join(rows(b, "nb"), "g"))
+    of_all = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("na").cast("double") * F.col("nb")).alias("pairs")).first()
+    most = int(min(max(((of_all.pairs or 0) / TASKS) ** 0.5, FEW), MOST))
+    sizes = sizes.select("g", *(F.ceil(F.col(n) / most).cast("int").alias(n) for n in ("na", "nb")))
+    sizes = F.broadcast(sizes) if of_all.groups <= GROUPS else sizes
 
     def side(df: DataFrame, first: bool) -> DataFrame:
         own, other = ("na", "nb") if first else ("nb", "na")
         at, all_of = F.pmod(F.xxhash64("pos"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return of_group(df, sizes).select("g", "pos", "v", F.lit(first).alias("first"), *((at.alias("i"), all_of.alias("j")) if first else (all_of.alias("i"), at.alias("j"))))
+        return df.join(sizes, "g").select("g", "pos", "v", F.lit(first).alias("first"), *((at.alias("i"), all_of.alias("j")) if first else (all_of.alias("i"), at.alias("j"))))
+
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf["first"]], pdf[~pdf["first"]]
-        names = [c.split()[0] for c in schema.split(", ")]
-        return match(x, y) if len(x) and len(y) else pd.DataFrame({c: [] for c in names})
+        x, y = pdf[pdf["first"]], pdf[~pdf["first"]].sort_values("pos")
+        out = [pd.DataFrame({c: [] for c in names})]
+        if len(x) and len(y):
+            p, u, q, w = x.pos.to_numpy(), units(x.v), y.pos.to_numpy(), units(y.v).T
+            step = max(1, CELLS // len(y))
+            out += [pd.DataFrame(match(p[i : i + step], q, u[i : i + step] @ w)) for i in range(0, len(x), step)]
+        return pd.concat(out[1:] or out)
 
     return side(a, True).unionByName(side(b, False)).groupBy("g", "i", "j").applyInPandas(run, schema)
 
 
-def cosines(x: pd.DataFrame, y: pd.DataFrame, digits: int | None) -> np.ndarray:
-    s = units(x.v) @ units(y.v).T
+def rounded(s: np.ndarray, digits: int | None) -> np.ndarray:
     return s if digits is None else np.round(s, digits)
 
 
+def near(s: np.ndarray, threshold: float, digits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of the numbers that, rounded to ``digits``, are the threshold or more."""
+    i, j = np.divmod(np.flatnonzero(s >= threshold - (0 if digits is None else 10.0**-digits)), max(1, s.shape[1]))
+    v = rounded(s[i, j], digits)
+    use = v >= threshold
+    return i[use], j[use], v[use]
+
+
 def settle(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """pos of the rows that have no chosen earlier neighbour. edges: (later, earlier), all near pairs of rows."""
     out, left = [], keep(rows.select("pos"))
@@ -90,13 +112,13 @@ def independent(rows: DataFrame, threshold: float, digits: int | None = None, fi
     The first prefix has about ``first`` rows of a group, each further one twice as many.
     """
 
-    def pairs(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        p, q = x.pos.to_numpy(), y.pos.to_numpy()
-        i, j = np.nonzero((cosines(x, y, digits) >= threshold) & (p[:, None] > q))
-        return pd.DataFrame({"later": p[i], "earlier": q[j]})
+    def pairs(p: np.ndarray, q: np.ndarray, s: np.ndarray) -> dict[str, np.ndarray]:
+        i, j, _ = near(s, threshold, digits)
+        use = p[i] > q[j]
+        return {"later": p[i[use]], "earlier": q[j[use]]}
 
-    def reached(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"pos": x.pos.to_numpy()[(cosines(x, y, digits) >= threshold).any(axis=1)]})
+    def reached(p: np.ndarray, q: np.ndarray, s: np.ndarray) -> dict[str, np.ndarray]:
+        return {"pos": p[np.unique(near(s, threshold, digits)[0])]}
 
     out, left, size = [], keep(first_copies(rows, threshold)), first
     while not left.isEmpty():
@@ -115,13 +137,12 @@ def independent(rows: DataFrame, threshold: float, digits: int | None = None, fi
 def nearest_before(rows: DataFrame, chosen: DataFrame, digits: int) -> DataFrame:
     """(pos, to, similarity): for each row the nearest chosen row of its group before it, the first of equally near ones."""
 
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        y = y.sort_values("pos")
-        p, q = x.pos.to_numpy(), y.pos.to_numpy()
-        s = np.where(p[:, None] > q, cosines(x, y, digits), -np.inf)
+    def best(p: np.ndarray, q: np.ndarray, s: np.ndarray) -> dict[str, np.ndarray]:
+        s = np.where(p[:, None] > q, rounded(s, digits), -np.inf)
         at = s.argmax(axis=1)
         top = s[np.arange(len(p)), at]
-        return pd.DataFrame({"pos": p, "to": q[at], "similarity": top})[np.isfinite(top)]
+        use = np.isfinite(top)
+        return {"pos": p[use], "to": q[at[use]], "similarity": top[use]}
 
     found = meet(rows, chosen, best, "pos long, to long, similarity double")
     top = found.groupBy("pos").agg(F.max(F.struct("similarity", (-F.col("to")).alias("minus"))).alias("top"))

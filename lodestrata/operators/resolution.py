@@ -70,14 +70,14 @@ def question(surface: Column, candidates: Column) -> Column:
 def candidates_of(rows: DataFrame, entities: DataFrame, threshold: float, k: int) -> DataFrame:
     """(pos, found): of each row the k most similar entities of its group before it at the threshold or more, as (-similarity, to)."""
 
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        y = y.sort_values("pos")
-        p, q = x.pos.to_numpy(), y.pos.to_numpy()
-        s = np.where(p[:, None] > q, nearness.cosines(x, y, 6), -np.inf)
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        top = np.take_along_axis(s, order, 1)
-        use = top >= threshold
-        return pd.DataFrame({"pos": np.repeat(p, use.sum(1)), "minus": -top[use], "to": q[order[use]]})
+    def best(p: np.ndarray, q: np.ndarray, s: np.ndarray) -> dict[str, np.ndarray]:
+        i, j, v = nearness.near(s, threshold, 6)
+        use = p[i] > q[j]
+        i, j, v = i[use], j[use], v[use]
+        order = np.lexsort((j, -v, i))
+        i, j, v = i[order], j[order], v[order]
+        use = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return {"pos": p[i[use]], "minus": -v[use], "to": q[j[use]]}
 
     found = nearness.meet(rows, entities, best, "pos long, minus double, to long")
     return found.groupBy("pos").agg(F.slice(F.sort_array(F.collect_list(F.struct("minus", "to"))), 1, k).alias("found"))

@@ -42,17 +42,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, same: str | None = None
     cols = [g.alias("g"), F.col("vec_id").alias("pos"), F.col("embedding").alias("v")]
     long = F.exists("v", lambda x: x != 0)
 
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("pos")
-        ids, asked = x.pos.to_numpy(), y.pos.to_numpy()
-        s = nearness.cosines(y, x, 6)
+    def best(asked: np.ndarray, ids: np.ndarray, s: np.ndarray) -> dict[str, np.ndarray]:
+        s = nearness.rounded(s, 6)
         s[asked[:, None] == ids] = -np.inf
         order = np.argsort(-s, axis=1, kind="stable")[:, :k]
         top = np.take_along_axis(s, order, 1)
         use = np.isfinite(top) if threshold is None else top >= threshold
-        return pd.DataFrame({"query_id": np.repeat(asked, use.sum(1)), "vec_id": ids[order[use]], "score": top[use]})
+        return {"query_id": np.repeat(asked, use.sum(1)), "vec_id": ids[order[use]], "score": top[use]}
 
-    met = nearness.meet(rows.select(*cols).where(long), queries.select(*cols).where(long), best, "query_id long, vec_id long, score double")
+    met = nearness.meet(queries.select(*cols).where(long), rows.select(*cols).where(long), best, "query_id long, vec_id long, score double")
     return top_k(met, k)
 
 

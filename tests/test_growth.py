@@ -10,8 +10,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.operators import nearness, rollups
 from lodestrata.operators import postprocess as pp
-from lodestrata.operators import rollups
 from lodestrata.operators import vectors as ve
 from lodestrata.plans import catalog
 
@@ -79,3 +79,12 @@ def test_diversity_equals_its_sql_where_a_full_hour_turns_posts_away(spark, tmp_
     c.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
     assert sorted(c.sql(catalog.ORACLES["social_diversity"]).fetchall()) == want
     assert sorted(map(tuple, catalog.QUERIES["social_diversity"](spark, str(tmp_path)).collect())) == want
+
+
+def test_rows_that_meet_are_copied_a_few_times_only(spark, monkeypatch):
+    monkeypatch.setattr(nearness, "FEW", 16)
+    rows = spark.range(2500).select(F.when(F.col("id") < 2000, "a").otherwise("b").alias("g"), F.col("id").alias("pos"), F.array(F.sin("id"), F.cos("id")).alias("v"))
+    count = lambda p, q, s: {"pos": p, "n": (s == s).sum(axis=1)}
+    got = nearness.meet(rows, rows, count, "pos long, n long").groupBy("pos").agg(F.count("n").alias("copies"), F.sum("n").alias("met")).collect()
+    assert {(r.pos < 2000, r.met) for r in got} == {(True, 2000), (False, 500)} and len(got) == 2500
+    assert max(r.copies for r in got) <= 8
