@@ -160,8 +160,8 @@ g as (
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges, both kept: they are few, and what follows reads them several times."""
-    m = found(spark, sf_dir)
+    """Nodes and edges, both kept: they are few, and what follows reads them several times. So are mentions, found once for both."""
+    m = kept.keep(found(spark, sf_dir), "mentions")
     n = kept.keep(en.nodes(en.aggregate(m)), "nodes")
     return n, kept.keep(en.co_occurrence(m, n, 2), "edges")
 

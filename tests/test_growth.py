@@ -88,3 +88,10 @@ def test_rows_that_meet_are_copied_a_few_times_only(spark, monkeypatch):
     got = nearness.meet(rows, rows, count, "pos long, n long").groupBy("pos").agg(F.count("n").alias("copies"), F.sum("n").alias("met")).collect()
     assert {(r.pos < 2000, r.met) for r in got} == {(True, 2000), (False, 500)} and len(got) == 2500
     assert max(r.copies for r in got) <= 8
+
+
+def test_a_graph_finds_its_mentions_once(spark, monkeypatch):
+    read, made = [], catalog.en.co_occurrence
+    monkeypatch.setattr(catalog.en, "co_occurrence", lambda found, *how: read.extend(found.inputFiles()) or made(found, *how))
+    catalog.graph(spark, "/root/testdata/sf0.001")
+    assert read and not any("documents.parquet" in f for f in read)
