@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import nearness
+from .kept import keep
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,19 +60,19 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", key: str = "vec_id")
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def words(texts: DataFrame, key: str, column: str = "text", among: DataFrame | None = None) -> DataFrame:
-    """(key, token), a row for each place; with ``among`` of its tokens only."""
-    each = texts.select(key, F.explode(F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x).between(2, 30))).alias("token"))
-    return each if among is None else each.join(among.select("token").distinct(), "token", "left_semi")
+def words(texts: DataFrame, *by: str, column: str = "text", among: DataFrame | None = None) -> DataFrame:
+    """(by, token), a row for each place; with ``among``, which is broadcast, of its tokens only."""
+    each = texts.select(*by, F.explode(F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x).between(2, 30))).alias("token"))
+    return each if among is None else each.join(F.broadcast(among), "token", "left_semi")
 
 
 def counted(each: DataFrame, *by: str) -> DataFrame:
     return each.groupBy(*by, "token").agg((1 + F.log(F.count(F.lit(1)).cast("double"))).alias("weight"))
 
 
-def term_weights(texts: DataFrame, key: str, column: str = "text", among: DataFrame | None = None) -> DataFrame:
-    """(key, token, weight): 1 + log(count) of tokens; with ``among`` of its tokens only, before anything is counted."""
-    return counted(words(texts, key, column, among), key)
+def term_weights(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """(key, token, weight): 1 + log(count) of tokens."""
+    return counted(words(texts, key, column=column), key)
 
 
 def sparse_scores(rows: DataFrame, queries: DataFrame, key: str, query_key: str) -> DataFrame:
@@ -80,22 +81,26 @@ def sparse_scores(rows: DataFrame, queries: DataFrame, key: str, query_key: str)
     return both.groupBy(query_key, key).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
 
 
-ROWS, QUERIES, CELLS = 2048, 512, 4_000_000  #: texts and queries of a block; numbers of a matrix
+ROWS, BYTES, QUERIES, CELLS = 2048, 8_000_000, 512, 4_000_000  #: texts of a block, and their bytes together; its queries; numbers of a matrix
+COPIES = 500_000  #: rows of queries that a task copies to blocks
 
 
 def sparse_top(texts: DataFrame, queries: DataFrame, k: int, key: str, query_key: str) -> DataFrame:
     """(query_key, key, score, rank): each query's k texts with the greatest sparse score, ties to smaller keys.
 
     Blocks of texts meet blocks of queries as matrix products, and a task sends k texts of each of its queries only: pairs of
-    a text and a query are never rows. Texts without a token of the query are no hits.
+    a text and a query are never rows. A task has one block, of so many texts and bytes whatever the table's size. Texts without
+    a token of the query are no hits.
     """
-    q = term_weights(queries, query_key)
-    down, across = max(1, -(-texts.count() // ROWS)), max(1, -(-queries.count() // QUERIES))
-    n = down * across  # blocks, and partitions, so that a task's share doesn't grow
+    q = keep(term_weights(queries, query_key))
+    tokens, have = q.select("token").distinct(), texts.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    down, across = max(1, -(-have.rows // ROWS), -(-(have.bytes or 0) // BYTES)), max(1, -(-queries.count() // QUERIES))
+    n = down * across  # blocks, and partitions: block b goes to partition b, as a hash of it would give some tasks many blocks
     i, j = (F.pmod(F.xxhash64(c), F.lit(m)).cast("int") for c, m in ((key, down), (query_key, across)))
-    d = words(texts, key, among=q).withColumn("b", F.explode(F.sequence(i * across, i * across + across - 1)))
-    d = counted(d.repartition(n, "b"), "b", key)
-    q = q.withColumn("b", F.explode(F.sequence(j, F.lit(n - 1), F.lit(across)))).repartition(n, "b")
+    # Whole texts cross the network, not their words: a shuffle to many partitions holds what a task writes in memory.
+    dealt = texts.select(key, "text", F.explode(F.sequence(i * across, i * across + across - 1)).alias("b")).repartitionById(n, "b")
+    d = counted(words(dealt, "b", key, among=tokens if tokens.count() <= nearness.GROUPS else None), "b", key)
+    q = q.repartition(max(1, -(-q.count() * down // COPIES))).withColumn("b", F.explode(F.sequence(j, F.lit(n - 1), F.lit(across)))).repartitionById(n, "b")
     names = [query_key, key, "score"]
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:

@@ -39,6 +39,21 @@ def test_best_texts_of_each_query_by_blocks(spark, monkeypatch, cells):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 6
 
 
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_a_task_has_one_block_and_makes_its_words_itself(spark, monkeypatch, broadcast):
+    texts = spark.createDataFrame([(i, " ".join(f"t{(i * k) % 11}" for k in range(i))) for i in range(60)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "t0 t1 t1"), (2, "t3 none"), (3, "zz")], "item_id long, text string")
+    want = sorted(map(tuple, ve.sparse_top(texts, queries, 4, "doc_id", "item_id").collect()))
+    seen, made = [], ve.counted
+    monkeypatch.setattr(ve, "counted", lambda each, *by: (seen.append(each) if "b" in by else None) or made(each, *by))
+    monkeypatch.setattr(ve, "ROWS", 1000), monkeypatch.setattr(ve, "BYTES", 300), monkeypatch.setattr(ve, "COPIES", 7), monkeypatch.setattr(nearness, "GROUPS", broadcast)
+    assert sorted(map(tuple, ve.sparse_top(texts, queries, 4, "doc_id", "item_id").collect())) == want and len(want) == 8
+    at = [tuple(r) for r in seen[0].select("b", F.spark_partition_id()).distinct().collect()]
+    assert len(at) > 8 and all(b == p for b, p in at)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("split(") < plan.index("Exchange")
+
+
 def test_parents_are_packed_without_a_python_call_for_each_query(spark):
     rows = [(q, p, f"c{p}", None if (q + p) % 5 == 0 else f"p{(q * p) % 4}", None if (q * p) % 4 == 3 else 10 + 7 * ((q * p) % 4)) for q in range(30) for p in range(q % 9)]
     want = []
