@@ -111,22 +111,27 @@ def sources_with(found: DataFrame, chunks: DataFrame, name: str, kind: str | Non
     return chunks.join(own.select("doc_id", "ord").distinct(), ["doc_id", "ord"], "left_semi")
 
 
-def keys_per_chunk(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, ord, keys): the sorted node keys of every chunk with two or more."""
-    keyed = found.select("doc_id", "ord", t.cluster_key(F.col("text"), F.col("kind")).alias("key")).join(F.broadcast(nodes.select("key")), "key", "left_semi")
+def keys_per_chunk(found: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ord, keys): the sorted keys of every chunk with two or more; of these few nodes only, if there are any given."""
+    keyed = found.select("doc_id", "ord", t.cluster_key(F.col("text"), F.col("kind")).alias("key"))
+    if nodes is not None:
+        keyed = keyed.join(F.broadcast(nodes.select("key")), "key", "left_semi")
     return keyed.groupBy("doc_id", "ord").agg(F.array_sort(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
 
 
-def nodes(entities: DataFrame, most: int = 50) -> DataFrame:
-    """The first ``most`` entities: so few that they may be broadcast."""
-    return entities.orderBy(F.desc("mentions"), F.lower("text"), "first").limit(most).select("key", "text", "type", "mentions")
+def nodes(entities: DataFrame, most: int | None = None) -> DataFrame:
+    """All entities, or the first ``most``: so few that they may be broadcast."""
+    if most is not None:
+        entities = entities.orderBy(F.desc("mentions"), F.lower("text"), "first").limit(most)
+    return entities.select("key", "text", "type", "mentions")
 
 
-def co_occurrence(found: DataFrame, graph_nodes: DataFrame, least: int = 3) -> DataFrame:
-    """Undirected edges between nodes: source < target, weight = chunks that hold both. Pairs are made inside a row."""
+def co_occurrence(found: DataFrame, graph_nodes: DataFrame | None = None, least: int = 3) -> DataFrame:
+    """Undirected edges between all entities, or these few nodes: source < target, weight = chunks that hold both. A chunk's pairs are made one by one."""
     rows = keys_per_chunk(found, graph_nodes)
-    pairs = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.struct(x.alias("source"), y.alias("target")))))
-    each = rows.select(F.inline(pairs)).groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
+    lefts = rows.select("keys", F.posexplode("keys").alias("i", "source"))
+    pairs = lefts.select("source", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("target"))
+    each = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
     return each.where(F.col("weight") >= least).withColumn("label", F.lit("co_occurs"))
 
 

@@ -159,16 +159,21 @@ g as (
   group by 1, 2 having count(*) >= 2)"""
 
 
-def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges, both kept: they are few, and what follows reads them several times. So are mentions, found once for both."""
+FIRST = 50  #: nodes of the graphs that are returned themselves
+
+
+def graph(spark: SparkSession, sf_dir: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all entities, or of the ``most`` with most mentions. Mentions, found once for both, and edges are kept, as are few nodes."""
     m = kept.keep(found(spark, sf_dir), "mentions")
-    n = kept.keep(en.nodes(en.aggregate(m)), "nodes")
-    return n, kept.keep(en.co_occurrence(m, n, 2), "edges")
+    n = en.nodes(en.aggregate(m), most)
+    if most is not None:
+        n = kept.keep(n, "nodes")
+    return n, kept.keep(en.co_occurrence(m, None if most is None else n, 2), "edges")
 
 
 @query("with " + M + EDGES + " select source, target, weight, 'co_occurs' as label from g")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph(spark, sf_dir)[1]
+    return graph(spark, sf_dir, FIRST)[1]
 
 
 NEAR = """,
@@ -187,11 +192,14 @@ def centre_of(edges: DataFrame) -> str:
 
 @query("with " + M + EDGES + NEAR + " select b as key, round(sum(gain), 6) as score, min(depth)::int as depth from x group by 1")
 def graph_neighbors_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph(spark, sf_dir)[1]
+    edges = graph(spark, sf_dir, FIRST)[1]
     return en.neighbours(edges, centre_of(edges))
 
 
-@query("with " + M + EDGES + NEAR + """,
+WHOLE = EDGES.replace(" order by mentions desc, lower(text), first limit 50", "")  # every entity is a node
+
+
+@query("with " + M + WHOLE + NEAR + """,
 y as (select b, round(sum(gain), 6) as score, min(depth) as depth from x group by 1),
 z as (select y.*, n.text from y join n on n.key = y.b order by score desc, depth, lower(n.text) limit 6)
 select (select source from t1) || chr(10) || chr(10) || 'Related entities for retrieval: ' || string_agg(text, ', ' order by score desc, depth, lower(text)) as expanded from z""")
