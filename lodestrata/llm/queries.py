@@ -68,18 +68,31 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.classes(read(spark, sf_dir, "documents"))
 
 
+def entries(met: DataFrame) -> DataFrame:
+    """List entries of events beside the hosts that they act on: a fifth of them on the domain above."""
+    action = F.when(F.col("event_type").isin("error", "signup"), "block").when(F.col("event_type") == "purchase", "allow").otherwise("remove")
+    key = F.when(F.col("event_id") % 5 == 0, F.substring_index("host", ".", -2)).otherwise(F.col("host"))
+    return met.select(F.concat(F.lit("list"), F.col("event_id") % 3).alias("list_name"), key.alias("key"), action.alias("action"), F.col("value").alias("weight"), F.col("ts").cast("timestamp").alias("effective"))
+
+
 def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dated list entries, from the tables: every event acts on the hosts that share its user's bucket (a fifth of them on the domain above)."""
+    """Dated list entries, from the tables: every event acts on the hosts that share its user's bucket."""
     hosts = read(spark, sf_dir, "pages").select(url_lists.host(F.col("url")).alias("host")).where("host is not null").distinct()
     hosts = hosts.withColumn("bucket", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("long") % 97)
-    events = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("effective"), (F.col("user_id") % 97).alias("bucket"), "event_type", "value")
-    action = F.when(F.col("event_type").isin("error", "signup"), "block").when(F.col("event_type") == "purchase", "allow").otherwise("remove")
-    key = F.when(F.col("event_id") % 5 == 0, F.substring_index("host", ".", -2)).otherwise(F.col("host"))
-    return events.join(hosts, "bucket").select(F.concat(F.lit("list"), F.col("event_id") % 3).alias("list_name"), key.alias("key"), action.alias("action"), F.col("value").alias("weight"), "effective")
+    return entries(read(spark, sf_dir, "events").withColumn("bucket", F.col("user_id") % 97).join(hosts, "bucket"))
+
+
+def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More of them, as a bucket may have no host: every event acts on the hosts of the pages in four slots, of as many as there are pages."""
+    pages = read(spark, sf_dir, "pages").select("page_id", url_lists.host(F.col("url")).alias("host"))
+    slots = F.lit(max(1, pages.count()))
+    pages = pages.where("host is not null").select("host", F.pmod("page_id", slots).alias("slot")).distinct()
+    events = read(spark, sf_dir, "events").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return entries(events.withColumn("slot", F.pmod(F.col("event_id") * 7 + F.col("j") * 1013, slots)).join(pages, "slot"))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_lists.as_of(fetched(read(spark, sf_dir, "pages")), list_entries(spark, sf_dir))
+    return url_lists.as_of(fetched(read(spark, sf_dir, "pages")), list_entries(spark, sf_dir).union(page_entries(spark, sf_dir)))
 
 
 OP9 = r"""
@@ -88,12 +101,18 @@ with c as (
     nullif(rtrim(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'), '') as host
   from pages),
 h as (select distinct host, ('0x' || substr(md5(host), 1, 4))::bigint % 97 as bucket from c where host is not null),
+z as (select greatest(count(*), 1) as slots from pages),
+p as (select distinct host, (page_id % slots + slots) % slots as slot from c cross join z where host is not null),
+t as (select event_id, ((event_id * 7 + j * 1013) % slots + slots) % slots as slot, event_type, value, ts from events cross join range(4) r(j) cross join z),
+d as (
+  select event_id, host, event_type, value, ts from events join h on user_id % 97 = bucket
+  union all select event_id, host, event_type, value, ts from t join p using (slot)),
 e as (
   select 'list' || (event_id % 3) as list_name,
     case when event_id % 5 = 0 then array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') else host end as key,
     case when event_type in ('error', 'signup') then 'block' when event_type = 'purchase' then 'allow' else 'remove' end as action,
     value as weight, ts::timestamp as valid_from
-  from events join h on user_id % 97 = bucket),
+  from d),
 l as (select list_name, key, valid_from, max({'action': action, 'weight': weight}) as last from e group by all),
 i as (select list_name, key, valid_from, last.action as action, lead(valid_from) over (partition by list_name, key order by valid_from) as valid_to from l),
 k as (

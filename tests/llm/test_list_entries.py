@@ -27,3 +27,28 @@ def test_an_event_acts_on_all_hosts_of_its_bucket(spark, tmp_path):
     rows = c.sql(f"select {', '.join(names)} from ({queries.OP9}) x").fetchall()
     assert sorted(rows) == sorted(map(tuple, queries.op9_url_filters(spark, str(tmp_path)).select(*names).collect()))
     assert sum(r[2] for r in rows) > 100
+
+
+@pytest.mark.parametrize("ids", [range(12), range(1007, 1043, 3)])
+def test_an_event_whose_bucket_has_no_host_acts_on_hosts_of_pages(spark, tmp_path, ids):
+    hosts = [f"h{i % 5}.site{i % 2}.org" for i in range(11)]
+    pages = pd.DataFrame({"page_id": list(ids), "url": [*(f"http://{h}/p" for h in hosts), None], "html": "x"})
+    taken = {int(hashlib.md5(h.encode()).hexdigest()[:4], 16) % 97 for h in hosts}
+    user = next(u for u in range(97) if u not in taken)
+    at = pd.date_range("2024-01-01", periods=60, freq="13h").astype("datetime64[us]")
+    events = pd.DataFrame({"event_id": range(60), "ts": at, "user_id": user, "event_type": (["error", "purchase", "signup"] * 20), "value": [i / 4 for i in range(60)], "props": "{}"})
+    pages.to_parquet(tmp_path / "pages.parquet"), events.to_parquet(tmp_path / "events.parquet")
+    c = duckdb.connect()
+    c.execute("set timezone = 'UTC'")
+    for t in ("pages", "events"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    names = ["page_id", "host", "n_lists", "lists", "allowed", "blocked", "decision"]
+    rows = c.sql(f"select {', '.join(names)} from ({queries.OP9}) x").fetchall()
+    assert sorted(rows) == sorted(map(tuple, queries.op9_url_filters(spark, str(tmp_path)).select(*names).collect()))
+    assert sum(r[2] for r in rows) > 5
+    want = set()
+    for e in events.event_id:
+        slots = {(e * 7 + j * 1013) % 12 for j in range(4)}
+        want |= {(f"list{e % 3}", ".".join(h.split(".")[-2:]) if e % 5 == 0 else h, e / 4) for p, h in zip(ids, hosts) if p % 12 in slots}
+    got = queries.page_entries(spark, str(tmp_path)).select("list_name", "key", "weight").collect()
+    assert set(map(tuple, got)) == want and len({w for *_, w in want}) > 40
