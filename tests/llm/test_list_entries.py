@@ -5,6 +5,7 @@ import hashlib
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 queries = pytest.importorskip("lodestrata.llm.queries")
 
@@ -52,3 +53,26 @@ def test_an_event_whose_bucket_has_no_host_acts_on_hosts_of_pages(spark, tmp_pat
         want |= {(f"list{e % 3}", ".".join(h.split(".")[-2:]) if e % 5 == 0 else h, e / 4) for p, h in zip(ids, hosts) if p % 12 in slots}
     got = queries.page_entries(spark, str(tmp_path)).select("list_name", "key", "weight").collect()
     assert set(map(tuple, got)) == want and len({w for *_, w in want}) > 40
+
+
+def test_a_capture_meets_few_of_a_long_history(spark):
+    url_lists = pytest.importorskip("lodestrata.llm.url_lists")
+    start, gaps = pd.Timestamp("2023-12-30 23:58:20"), (0.5, 7, 61, 900, 3600, 7000, 90_000, 4_000_000)
+    at, entries = start, []
+    for i in range(400):
+        entries.append((f"l{i % 2}", "bad.org", ("block", "allow", "remove")[i % 3], float(i), at))
+        at += pd.Timedelta(seconds=gaps[i * i % 8] if i % 50 else gaps[-1])
+    captures = [(i, "http://bad.org/", start + pd.Timedelta(seconds=i * 9_731.25 % 30_000_000)) for i in range(900)] + [(900 + i, "http://bad.org/", e[4]) for i, e in enumerate(entries)]
+    e = spark.createDataFrame([(*x, str(t)) for *x, t in entries], "list_name string, key string, action string, weight double, effective string")
+    c = spark.createDataFrame([(*x, str(t)) for *x, t in captures], "page_id long, url string, fetched string")
+    got = {r.page_id: (r.lists, r.allowed, r.blocked) for r in url_lists.as_of(c, e).collect()}
+    for page, _, t in captures:
+        last = {}
+        for name, _, action, _, when in entries:
+            if when <= t:
+                last[name] = action
+        held = {n: a for n, a in last.items() if a != "remove"}
+        assert got[page] == (",".join(sorted(held)), "allow" in held.values(), "block" in held.values())
+    held = url_lists.intervals(e).where("valid_to is not null").select("valid_from", "valid_to", F.explode(url_lists.cells(F.col("valid_from"), F.col("valid_to"))).alias("cell"))
+    most = held.groupBy("cell").count().agg(F.max("count")).first()[0]
+    assert {r.width for r in held.select("cell.width").distinct().collect()} == set(url_lists.WIDTHS) and most < 100
